@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..session import rule_rows
+from ..session import cut_lineage, rule_rows
+from .graph import merge_edges, merge_nodes
 
 _ENTITY = "array<struct<node_id:string,type:string>>"
 _RELATION = "array<struct<source:string,relation:string,target:string>>"
@@ -79,11 +80,15 @@ def curated_graph(spark: SparkSession, *domains: str) -> tuple[DataFrame, DataFr
 
 def load_graph(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame,
                more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge new writes into existing tables; loading the same writes again changes nothing."""
-    from .graph import merge_edges, merge_nodes
+    """Merge new writes into stored tables; loading the same writes again changes nothing.
+
+    New writes come after everything stored, so the stored tables are read once for their
+    last position.
+    """
 
     def after(old, new):
         top = old.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("_top")).first()[0]
         return old.unionByName(new.withColumn("seq", F.col("seq") + F.lit(top)))
 
-    return merge_nodes(after(nodes, more_nodes)), merge_edges(after(edges, more_edges))
+    return (cut_lineage(merge_nodes(after(nodes, more_nodes)), "nodes"),
+            cut_lineage(merge_edges(after(edges, more_edges)), "edges"))

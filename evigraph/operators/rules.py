@@ -95,10 +95,12 @@ def regroup_metrics(df: DataFrame, map_col: str = "metrics", groups=None,
     percentiles = F.transform_keys(
         F.map_filter(metrics, lambda k, v: k.endswith(suffix)),
         lambda k, v: F.substr(k, F.lit(1), F.length(k) + cut))
-    grouped = F.create_map(*[x for g in names for x in (
-        F.lit(g),
-        F.map_filter(base, lambda k, v, g=g: F.array_contains(
-            F.array(*[F.lit(m) for gg, m in rows if gg == g]), k)))])
+
+    def members(group):
+        wanted = F.array(*[F.lit(m) for g, m in rows if g == group])
+        return F.map_filter(base, lambda k, v: F.array_contains(wanted, k))
+
+    grouped = F.create_map(*[x for g in names for x in (F.lit(g), members(g))])
     out = (df.withColumn("percentiles", percentiles).withColumn("grouped", grouped)
            .withColumn("unclassified",
                        F.map_filter(base, lambda k, v: ~F.array_contains(known, k))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import graph, knn, rerank, route
+from ..session import cut_lineage
 
 
 def retrieve(questions: DataFrame, vectors: DataFrame, payload: DataFrame, k: int = 5,
@@ -33,18 +34,21 @@ def answer_context(questions: DataFrame, hits: DataFrame, nodes: DataFrame, edge
     their routing decision and get a NULL context.
     """
     decided = route.route(questions, aliases, patterns, mode)
-    to_graph = decided.where(F.col("selected_mode") == "graph").select("query_id", "question")
-    graph_hits = hits.join(to_graph.select("query_id"), "query_id", "left_semi")
-    with_hits = to_graph.join(hits.select("query_id").distinct(), "query_id", "left_semi")
-    seeds = graph.seed_nodes(
-        with_hits, graph_hits, nodes,
+    # At most k rows per question, used three times below: search once.
+    hits = cut_lineage(hits, "hits")
+    answered = hits.select("query_id").distinct()
+    to_graph = decided.where(F.col("selected_mode") == "graph").select(
+        "query_id", "question").join(answered, "query_id", "left_semi")
+    graph_hits = hits.drop("text").join(to_graph.select("query_id"), "query_id", "left_semi")
+    seeds = cut_lineage(graph.seed_nodes(
+        to_graph, graph_hits, nodes,
         vocab.ALIASES if aliases is None else aliases,
         vocab.TOOL_NODES if tool_map is None else tool_map,
-        vocab.SOURCE_NODES if source_map is None else source_map, domain)
-    edges_found = graph.graph_context(seeds, nodes, edges, domain, max_depth)
-    context = rerank.assemble_context(hits, edges_found)
+        vocab.SOURCE_NODES if source_map is None else source_map, domain), "seeds")
+    found = cut_lineage(graph.graph_context(seeds, nodes, edges, domain, max_depth), "context")
+    context = rerank.assemble_context(hits, found)
     seed_lists = seeds.groupBy("query_id").agg(F.array_sort(F.collect_list("seed")).alias("seeds"))
-    counts = edges_found.groupBy("query_id").agg(F.count("*").alias("graph_edges"))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("graph_edges"))
     return (decided.join(seed_lists, "query_id", "left").join(counts, "query_id", "left")
             .join(context, "query_id", "left")
             .withColumn("graph_edges", F.coalesce("graph_edges", F.lit(0))))

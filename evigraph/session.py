@@ -63,24 +63,21 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="evigraph-")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for tables and stream checkpoints."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and continue from there.
+def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    Iterative operators call this once per level, so a lost executor replays one level
-    instead of the whole loop, and both uses of a level read the same rows.
+    Iterative operators call this once per level: a lost executor replays one level instead
+    of the whole loop, every use of a level reads the same rows, and Catalyst knows the size
+    of what it joins next.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rule_rows(rules, columns: tuple[str, ...], limit: int = 20_000) -> list[tuple]:

@@ -11,24 +11,29 @@ from ..functions import text as tx
 
 def read_corpus(spark: SparkSession, root: str, exts=vocab.SUFFIXES,
                 domains=vocab.DOMAINS) -> DataFrame:
-    """Files below ``root`` with a wanted suffix: path, source, domain, content, sha256.
+    """Files below ``root`` with a wanted suffix; see ``corpus_listing``."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+             .select("path", "content"))
+    return corpus_listing(files, root, exts, domains)
+
 
-    The first folder below ``root`` is the domain. Content stays binary so that the hash is
-    the hash of the bytes. Sort by ``path`` for the listing order.
+def corpus_listing(files: DataFrame, root: str, exts=vocab.SUFFIXES,
+                   domains=vocab.DOMAINS) -> DataFrame:
+    """Files (path, content) as path, source, domain, extension, sha256, length, content.
+
+    Suffixes are compared in lower case. The first folder below ``root`` is the domain.
+    Content stays binary, so the hash is the hash of the bytes. Sort by ``path`` for the
+    listing order.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", "content", "length", "modificationTime"))
-    pattern = r"(?i)\.(" + "|".join(exts) + r")$"
-    base = F.regexp_replace(F.lit(root), r"/+$", "")
+    base = root.rstrip("/")
     tail = F.substring_index("path", base, -1)
-    domain = F.regexp_extract(tail, r"^/+([^/]+)/", 1)
-    out = files.where(F.col("path").rlike(pattern)).select(
-        "path", tx.file_name(F.col("path")).alias("source"), domain.alias("domain"),
-        tx.extension(F.col("path")).alias("extension"),
-        tx.sha256(F.col("content")).alias("document_sha256"), "length", "content")
-    if domains is not None:
-        out = out.withColumn("known_domain", F.col("domain").isin(*domains))
-    return out
+    suffix = tx.extension(F.col("path"))
+    return files.where(suffix.isin(*["." + e.lower() for e in exts])).select(
+        "path", tx.file_name(F.col("path")).alias("source"),
+        F.regexp_extract(tail, r"^/+([^/]+)/", 1).alias("domain"),
+        suffix.alias("extension"), tx.sha256(F.col("content")).alias("document_sha256"),
+        F.octet_length("content").cast("long").alias("length"), "content",
+    ).withColumn("known_domain", F.col("domain").isin(*domains))
 
 
 def ingest_domain(corpus: DataFrame, domain: str, domains=vocab.DOMAINS) -> DataFrame:
@@ -44,8 +49,8 @@ def load_pages(files: DataFrame) -> DataFrame:
     Bytes that are not UTF-8 become replacement characters.
     """
     text = tx.strip(F.decode("content", "UTF-8"))
-    return files.drop("content").withColumn("page", F.lit(1)).withColumn("text", text).withColumn(
-        "character_count", F.char_length("text"))
+    return (files.withColumns({"page": F.lit(1), "text": text}).drop("content")
+            .withColumn("character_count", F.char_length("text")))
 
 
 def load_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,11 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, size: int = 1
         # One row per chunk id, also when a batch delivers the same content twice.
         new = chunk_rows(batch, size, overlap).dropDuplicates(["chunk_id"])
         if _exists(spark, target):
-            stored = spark.read.parquet(target).select("document_sha256", "chunk_id")
+            # The batch is small beside the table: reduce the table by the documents of the
+            # batch before ids are compared.
+            mine = new.select("document_sha256").distinct()
+            stored = (spark.read.parquet(target).select("document_sha256", "chunk_id")
+                      .join(mine, "document_sha256", "left_semi"))
             new = ingest.missing_chunks(new, stored)
         new.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target)
 
