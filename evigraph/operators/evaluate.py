@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as tx
+from ..session import cut_lineage
 from .segments import exact_median
 
 LABELS = ("vector", "graph")
@@ -73,17 +74,20 @@ def dispersion(runs: DataFrame, metrics=vocab.RUN_METRICS) -> DataFrame:
     """Run-to-run spread per mode: mean, median and maximum of the per-question deviations."""
     per = runs.groupBy("mode", "question_id").agg(
         *[F.stddev_pop(m).alias(m) for m in metrics])
-    out = per.groupBy("mode").agg(*[a for m in metrics for a in (
-        F.avg(m).alias(f"{m}_stddev_mean"), F.max(m).alias(f"{m}_stddev_max"))])
-    for m in metrics:
-        out = out.join(exact_median(per, ["mode"], m, f"{m}_stddev_median"), "mode", "left")
-    return out
+    long = cut_lineage(per.unpivot(["mode"], list(metrics), "metric", "value"), "deviations")
+    stats = long.groupBy("mode", "metric").agg(
+        F.avg("value").alias("mean"), F.max("value").alias("max"))
+    middle = exact_median(long, ["mode", "metric"], "value", "median")
+    both = stats.join(middle, ["mode", "metric"])
+    return both.groupBy("mode").agg(*[
+        F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{m}_stddev_{x}")
+        for m in metrics for x in ("mean", "median", "max")])
 
 
 def confusion(decisions: DataFrame) -> DataFrame:
     """Expected against selected mode with zero cells, as one row per expected mode."""
     counts = (decisions.groupBy("expected_mode").pivot("selected_mode", list(LABELS))
-              .agg(F.count("*")))
+              .agg(F.count(F.lit(1))))
     labels = decisions.sparkSession.createDataFrame([(x,) for x in LABELS], "expected_mode string")
     return labels.join(counts, "expected_mode", "left").select(
         "expected_mode", *[F.coalesce(F.col(x), F.lit(0)).alias(x) for x in LABELS])
@@ -117,7 +121,7 @@ def routed_runs(runs: DataFrame, questions: DataFrame) -> DataFrame:
 
 def review_tally(reviews: DataFrame, judgements: list[str] | None = None) -> DataFrame:
     """Answers per judgement with one column per mode."""
-    out = reviews.groupBy("judgement").pivot("mode", list(LABELS)).agg(F.count("*"))
+    out = reviews.groupBy("judgement").pivot("mode", list(LABELS)).agg(F.count(F.lit(1)))
     if judgements:
         out = reviews.sparkSession.createDataFrame(
             [(j,) for j in judgements], "judgement string").join(out, "judgement", "left")

@@ -143,7 +143,7 @@ def _cell_best(k, metric):
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2_squared",
         approx: bool = False, max_query_bytes: int = 64 << 20, block_rows: int = 20_000,
-        tables: int = 8, bits: int = 8) -> DataFrame:
+        tables: int = 8, bits: int | None = None) -> DataFrame:
     """The k nearest vectors of every query: ``(query_id, id, distance, rank)``.
 
     ``queries(query_id, embedding)`` and ``vectors(id, embedding)``; ties go to the smaller id.
@@ -152,8 +152,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2_sq
       table is read once, without a shuffle.
     * A larger batch is laid out on a grid of query blocks by vector blocks. Every cell holds
       at most about ``block_rows`` rows of each side, and the result is still exact.
-    * ``approx=True`` compares only vectors that share one of ``tables`` sign hashes with the
-      query. A crowded bucket is split over several cells, never truncated.
+    * ``approx=True`` compares only vectors that share one of ``tables`` sign hashes of
+      ``bits`` bits with the query (by default enough bits for a tenth of a block per bucket).
+      A crowded bucket is split over several cells, never truncated.
     """
     if k <= 0:
         raise ValueError("k must be greater than zero")
@@ -233,6 +234,8 @@ def _hashed(q, v, k, metric, block_rows, tables, bits) -> DataFrame:
     and is repeated for every query part, and the other way round.
     """
     width = q.agg(F.max(F.size("embedding"))).first()[0] or 0
+    if bits is None:
+        bits = max(1, min(40, round(math.log2(max(1.0, 10.0 * v.count() / block_rows)))))
     planes = np.random.default_rng(7).standard_normal((tables * bits, width))
     q_rows = _with_codes(q, planes, tables, bits)
     v_rows = _with_codes(v, planes, tables, bits)

@@ -13,27 +13,27 @@ from pyspark.sql import functions as F
 SLICE = "_slice"
 
 
-def with_slices(df: DataFrame, order: Column, parts: int | None = None) -> DataFrame:
+def with_slices(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     """Add a slice number that rises with ``order`` (a numeric or timestamp column).
 
     ``parts`` defaults to the shuffle partition count, so a slice is about one partition.
+    The cut points come from one aggregate over the order column alone.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts <= 1:
         return df.withColumn(SLICE, F.lit(0))
-    value = order.cast("double")
+    value = F.col(order)
+    if df.schema[order].dataType.typeName().startswith("timestamp"):
+        value = F.unix_micros(value.cast("timestamp"))
+    value = value.cast("double")
     cuts = [i / parts for i in range(1, parts)]
     bounds = df.select(value.alias("v")).agg(
         F.percentile_approx("v", cuts, 10 * parts).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    if not bounds:
-        return df.withColumn(SLICE, F.lit(0))
-    # Binary search over the constant bounds: the number of bounds at or below the value.
-    return df.withColumn(SLICE, _bucket(value, bounds))
+    return df.withColumn(SLICE, _bucket(value, sorted(set(bounds or []))))
 
 
 def _bucket(value: Column, bounds: list[float]) -> Column:
+    """How many of the constant bounds are at or below the value."""
     if not bounds:
         return F.lit(0)
     literal = F.array(*[F.lit(float(b)) for b in bounds])
@@ -47,7 +47,7 @@ def _ordered(key: list[str], order: list[str], *more: str):
 def previous_value(df: DataFrame, key: list[str], order: list[str], value: str,
                    name: str = "previous", parts: int | None = None) -> DataFrame:
     """The value of the row before, per key; NULL on the first row of a key."""
-    rows = with_slices(df, F.col(order[0]), parts)
+    rows = with_slices(df, order[0], parts)
     here = _ordered(key, order, SLICE)
     last = rows.groupBy(*key, SLICE).agg(
         F.max_by(value, F.struct(*order)).alias("_last"))
@@ -65,7 +65,7 @@ def previous_value(df: DataFrame, key: list[str], order: list[str], value: str,
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "number",
              parts: int | None = None) -> DataFrame:
     """1, 2, 3, … along each key."""
-    rows = with_slices(df, F.col(order[0]), parts)
+    rows = with_slices(df, order[0], parts)
     counts = rows.groupBy(*key, SLICE).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -82,7 +82,7 @@ def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "numbe
 def running_streak(df: DataFrame, key: list[str], order: list[str], breaks: Column,
                    name: str = "streak", parts: int | None = None) -> DataFrame:
     """Rows since the last one where ``breaks`` holds, per key; 0 on such a row."""
-    rows = with_slices(df.withColumn("_break", breaks.cast("int")), F.col(order[0]), parts)
+    rows = with_slices(df.withColumn("_break", breaks.cast("int")), order[0], parts)
     here = _ordered(key, order, SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_island", F.sum("_break").over(here))
     rows = rows.withColumn(
@@ -113,7 +113,7 @@ def exact_median(df: DataFrame, by: list[str], value: str, name: str,
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count("*").alias("_n"))
-    rows = with_slices(counted, F.col(value), parts)
+    rows = with_slices(counted, value, parts)
     sliced = rows.groupBy(*by, SLICE).agg(F.sum("_n").alias("_s"))
     whole = Window.partitionBy(*by)
     along = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)

@@ -39,8 +39,15 @@ def build_session(app: str = "evigraph", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """A shared table; its schema is read from the file footers once per process."""
+    path = f"{root}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _is_local(spark: SparkSession) -> bool:

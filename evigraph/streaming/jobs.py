@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import vocab
 from ..session import rule_rows
@@ -122,35 +123,48 @@ def stream_streaks(beats: DataFrame) -> DataFrame:
 
 
 class StaleDetector(StatefulProcessor):
-    """Reports an in-flight job once the event time has passed its last event by the limit."""
+    """Reports every silent period of an in-flight job that reaches the limit.
 
-    def __init__(self, millis: int, in_flight: tuple[str, ...]):
-        self.millis = millis
+    A period inside the data shows when the job's next event arrives; an open one is reported
+    by a timer once the watermark has passed it. So the result does not depend on how the
+    stream was cut into batches.
+    """
+
+    def __init__(self, micros: int, in_flight: tuple[str, ...]):
+        self.micros = micros
         self.in_flight = in_flight
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("last", "state string, ts_ms long, seq long")
+        self.value = handle.getValueState("last", "state string, ts_us long")
+
+    def _report(self, key, found) -> pd.DataFrame:
+        return pd.DataFrame({
+            "job_id": [key[0]] * len(found),
+            "previous_state": [state for state, _ in found],
+            "state": ["RECOVERY_REQUIRED"] * len(found),
+            "last_event": pd.to_datetime([ts for _, ts in found], unit="us")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows)
-        last = frame.iloc[-1]
-        ts_ms = int(last["ts"].value // 1_000_000)
-        known = self.value.get()
-        if known is None or (ts_ms, int(last["seq"])) >= (known[1], known[2]):
-            self.value.update((last["state"], ts_ms, int(last["seq"])))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if last["state"] in self.in_flight:
-                self.handle.registerTimer(ts_ms + self.millis)
-        yield pd.DataFrame()
+        last, found = self.value.get(), []
+        for state, ts in zip(frame["state"], frame["ts"]):
+            now = ts.value // 1000
+            if last and last[0] in self.in_flight and now - last[1] >= self.micros:
+                found.append(last)
+            last = (state, now)
+        self.value.update(last)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if last[0] in self.in_flight:
+            self.handle.registerTimer((last[1] + self.micros) // 1000)
+        yield self._report(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, ts_ms, _ = self.value.get()
-        yield pd.DataFrame({
-            "job_id": [key[0]], "previous_state": [state], "state": ["RECOVERY_REQUIRED"],
-            "last_event": [pd.Timestamp(ts_ms, unit="ms")]})
-        self.value.clear()
+        last = self.value.get()
+        if last:
+            yield self._report(key, [last])
+            self.value.clear()
 
     def close(self) -> None:
         pass
@@ -158,11 +172,11 @@ class StaleDetector(StatefulProcessor):
 
 def stream_stale(events: DataFrame, seconds: int = 300, late: str = "0 seconds",
                  in_flight: tuple[str, ...] = ("RUNNING", "VALIDATING")) -> DataFrame:
-    """Jobs (job_id, state, ts, seq) that went silent in flight, by event-time timers."""
+    """Silent in-flight jobs of an event stream (job_id, state, ts, seq)."""
     use_rocksdb(events.sparkSession)
     return (events.select("job_id", "state", "ts", "seq").withWatermark("ts", late)
             .groupBy("job_id").transformWithStateInPandas(
-                StaleDetector(seconds * 1000, in_flight),
+                StaleDetector(seconds * 1_000_000, in_flight),
                 "job_id string, previous_state string, state string, last_event timestamp",
                 "append", "eventTime"))
 
@@ -186,7 +200,8 @@ def drain(stream: DataFrame, path: str, mode: str = "append", key: list[str] | N
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    out = spark.read.schema(stream.schema.add("batch_id", "long")).parquet(table)
+    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
+    out = spark.read.schema(schema).parquet(table)
     if key:
         rest = [c for c in stream.columns if c not in key]
         out = out.groupBy(*key).agg(
