@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -91,11 +92,13 @@ def age_seconds(ts: Column, as_of: Column) -> Column:
     return (F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(1_000_000.0)
 
 
-def contains_any(text: Column, needles: list[str]) -> Column:
-    """True when any needle is a substring; needles are one array literal."""
-    if not needles:
-        return F.lit(False)
-    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once.
+
+    A lambda that names an outer expression evaluates it again for every element; inside
+    ``body`` the value is a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def matching_names(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -107,10 +110,24 @@ def matching_names(text: Column, pairs: list[tuple[str, str]]) -> Column:
         return F.array().cast("array<string>")
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("needle"))
                       for n, v in pairs])
-    hits = F.filter(rules, lambda r: F.contains(text, r["needle"]))
+    hits = bind(text, lambda t: F.filter(rules, lambda r: F.contains(t, r["needle"])))
     return F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["name"])))
 
 
+def leading_literal(pattern: str) -> str:
+    """Text that every match of ``pattern`` starts with, or '' when that is not plain.
+
+    Searching for it first keeps the regular expression away from most texts.
+    """
+    if re.search(r"[(]\?[a-zA-Z]", pattern) or "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ""
+    found = re.match(r"(?:\\b)?([A-Za-z0-9 _-]+)", pattern)
+    if not found:
+        return ""
+    rest = pattern[found.end():]
+    return found.group(1)[:-1] if rest[:1] in ("?", "*", "{") else found.group(1)
+
+
 # --- HTML -------------------------------------------------------------------
 
 _SKIPPED = r"(?is)<(script|style|svg|noscript)(?=[\s/>]).*?(?:</\1\s*>|\z)"

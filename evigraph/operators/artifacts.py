@@ -20,7 +20,8 @@ def clean_registrations(regs: DataFrame) -> DataFrame:
         "sha256": digest,
         "artifact_id": F.concat(F.lit("sha256:"), digest),
         "filename": name,
-        "error": F.when(size.isNull(), F.lit("size_bytes is invalid"))
+        "error": F.when((size > 0) & digest.rlike("^[0-9a-f]{64}$") & (name != ""), F.lit(None))
+        .when(size.isNull(), F.lit("size_bytes is invalid"))
         .when(size <= 0, F.lit("artifact is empty"))
         .when(F.length(digest) != 64, F.lit("sha256 must have 64 hexadecimal characters"))
         .when(~digest.rlike("^[0-9a-f]{64}$"), F.lit("sha256 has non-hexadecimal characters"))

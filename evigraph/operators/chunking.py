@@ -25,18 +25,20 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     """``array<struct<number:int,text:string>>`` of stripped windows, blanks included."""
     check_window(size, overlap)
     step = size - overlap
-    last = F.greatest(
-        F.lit(0), F.ceil((F.char_length(text) - F.lit(size)) / F.lit(step)).cast("int")
-    )
-    slices = F.transform(
-        F.sequence(F.lit(0), F.floor(last / _SLICE).cast("int")),
-        lambda b: F.struct(
-            b.alias("b"),
-            F.substring(text, b * (_SLICE * step) + 1, (_SLICE - 1) * step + size).alias("t"),
-        ),
-    )
-    return F.flatten(F.transform(slices, lambda s: F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(_SLICE - 1), last - s["b"] * _SLICE)),
+
+    def last_number(t):
+        return F.greatest(F.lit(0), F.ceil(
+            (F.char_length(t) - F.lit(size)) / F.lit(step)).cast("int"))
+
+    def slices(t):
+        return tx.bind(last_number(t), lambda last: F.transform(
+            F.sequence(F.lit(0), F.floor(last / _SLICE).cast("int")),
+            lambda b: F.struct(
+                b.alias("b"), last.alias("last"),
+                F.substring(t, b * (_SLICE * step) + 1, (_SLICE - 1) * step + size).alias("t"))))
+
+    return F.flatten(F.transform(tx.bind(text, slices), lambda s: F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(_SLICE - 1), s["last"] - s["b"] * _SLICE)),
         lambda j: F.struct(
             (s["b"] * _SLICE + j).alias("number"),
             tx.strip(F.substring(s["t"], j * step + 1, size)).alias("text"),

@@ -41,11 +41,12 @@ def score_answers(answers: DataFrame, claims: DataFrame, on: str = "question_id"
         c["claim_id"].alias("claim_id"),
         F.transform(c["term_groups"], lambda g: F.transform(g, tx.normalize)).alias("groups"),
     )).alias("_claims"))
-    df = answers.join(ready, on).withColumn("_text", tx.normalize(F.col("answer")))
-    df = df.withColumn("_marks", F.transform("_claims", lambda c: F.struct(
-        c["claim_id"].alias("claim_id"),
-        F.transform(c["groups"], lambda g: F.exists(
-            g, lambda t: F.contains(F.col("_text"), t))).alias("passed"))))
+    df = answers.join(ready, on)
+    df = df.withColumn("_marks", tx.bind(
+        tx.normalize(F.col("answer")), lambda text: F.transform("_claims", lambda c: F.struct(
+            c["claim_id"].alias("claim_id"),
+            F.transform(c["groups"], lambda g: F.exists(
+                g, lambda t: F.contains(text, t))).alias("passed")))))
     passed = F.transform(F.filter("_marks", lambda c: F.forall(c["passed"], lambda p: p)),
                          lambda c: c["claim_id"])
     groups = F.flatten(F.transform("_marks", lambda c: F.transform(
@@ -59,7 +60,7 @@ def score_answers(answers: DataFrame, claims: DataFrame, on: str = "question_id"
         df.withColumn("claim_coverage", F.try_divide(F.size("claims_passed"), "claims_total"))
         .withColumn("claim_group_coverage",
                     F.try_divide(F.size("claim_groups_passed"), "claim_groups_total"))
-        .drop("_claims", "_text", "_marks")
+        .drop("_claims", "_marks")
     )
 
 

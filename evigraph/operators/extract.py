@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions import text as tx
 from ..session import cut_lineage, rule_rows
 from .graph import merge_edges, merge_nodes
 
@@ -24,8 +25,8 @@ def extract_entities(chunks: DataFrame, rules=None, text_col: str = "text") -> D
         return chunks.withColumn("entities", F.array().cast(_ENTITY))
     table = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(i).alias("node_id"),
                                F.lit(t).alias("type")) for n, i, t in rows])
-    lowered = F.lower(F.col(text_col))
-    found = F.filter(table, lambda r: F.contains(lowered, r["needle"]))
+    found = tx.bind(F.lower(F.col(text_col)), lambda t: F.filter(
+        table, lambda r: F.contains(t, r["needle"])))
     return chunks.withColumn("entities", F.array_distinct(F.transform(
         found, lambda r: F.struct(r["node_id"].alias("node_id"), r["type"].alias("type")))))
 
@@ -39,8 +40,8 @@ def extract_relations(chunks: DataFrame, rules=None) -> DataFrame:
     ids = F.transform("entities", lambda e: e["node_id"])
     table = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(r).alias("relation"),
                                F.lit(t).alias("target")) for s, r, t in rows])
-    return chunks.withColumn("relations", F.filter(
-        table, lambda r: F.array_contains(ids, r["source"]) & F.array_contains(ids, r["target"])))
+    return chunks.withColumn("relations", tx.bind(ids, lambda i: F.filter(
+        table, lambda r: F.array_contains(i, r["source"]) & F.array_contains(i, r["target"]))))
 
 
 def node_writes(chunks: DataFrame, seq: str = "seq") -> DataFrame:

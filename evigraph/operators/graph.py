@@ -7,7 +7,7 @@ insertion position and is the only notion of order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -197,8 +197,8 @@ def seed_nodes(questions: DataFrame, hits: DataFrame, nodes: DataFrame, aliases,
 
     def targets(column: str, pairs):
         rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in pairs])
-        key = F.lower(tx.strip(F.col(column)))
-        return F.transform(F.filter(rules, lambda r: r["k"] == key), lambda r: r["n"])
+        return tx.bind(F.lower(tx.strip(F.col(column))), lambda key: F.transform(
+            F.filter(rules, lambda r: r["k"] == key), lambda r: r["n"]))
 
     parts = [targets(c, pairs) for c, pairs in (("tool", tools), ("source_id", sources))
              if pairs and c in hits.columns]
@@ -229,7 +229,7 @@ def terminal_edges(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
             "seed", *EDGE, "seq", F.lit(1).alias("kind"), (F.col("depth") + 1).alias("depth"))
         found = found.unionByName(onward)
     return found.groupBy("seed", *EDGE).agg(
-        F.min_by("depth", F.struct("seq", "kind")).alias("depth"))
+        F.min_by("depth", F.col("seq") * 2 + F.col("kind")).alias("depth"))
 
 
 def graph_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
@@ -249,5 +249,8 @@ def graph_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
     dead_ends = starts.join(has_way_out, "seed", "left_anti")
     back = terminal_edges(dead_ends, nodes, edges, max_depth)
     found = edges_in_domain(outward.unionByName(back), edges, nodes, domain)
-    return pairs.join(found, "seed").groupBy("query_id", *EDGE).agg(
-        F.min_by("depth", "seed").alias("depth"))
+    # A question has few seeds; their order as a number keeps the large aggregation hashed.
+    order = Window.partitionBy("query_id").orderBy("seed")
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked.join(found, "seed").groupBy("query_id", *EDGE).agg(
+        F.min_by("depth", "rank").alias("depth"))

@@ -43,13 +43,17 @@ def route(questions: DataFrame, aliases=None, patterns=None, mode: str = "auto")
                 .withColumn("confidence", F.when(~blank, F.lit(1.0)))
                 .withColumn("signals", F.when(~blank, F.array(F.lit("explicit_override")))))
 
-    lowered = F.lower("question")
+    df = df.withColumn("_lower", F.lower("question"))
+    lowered = F.col("_lower")
 
     def hit(group: str):
-        mine = [p for g, p in rows if g == group]
-        if not mine:
-            return F.lit(False)
-        return lowered.rlike(_FLAGS + "|".join(f"(?:{p})" for p in mine))
+        found = F.lit(False)
+        for g, pattern in rows:
+            if g == group:
+                start = tx.leading_literal(pattern)
+                one = lowered.rlike(_FLAGS + pattern)
+                found = found | (F.contains(lowered, F.lit(start)) & one if start else one)
+        return found
 
     for group in GROUPS:
         df = df.withColumn("_" + group, hit(group))
@@ -74,5 +78,5 @@ def route(questions: DataFrame, aliases=None, patterns=None, mode: str = "auto")
                                               .otherwise(F.lit("vector"))))
         .withColumn("confidence", F.when(~blank, confidence))
         .withColumn("signals", F.when(~blank, signals))
-        .drop(*["_" + g for g in GROUPS])
+        .drop("_lower", *["_" + g for g in GROUPS])
     )

@@ -367,9 +367,9 @@ def domain_nodes(spark, root):
 
 # Short words of the corpus stand in for entity names; they match as substrings.
 ALIASES = [("region:0", "thand"), ("region:1", "eaux"), ("nation:3", "tion"),
-           ("nation:4", "ichsch"), ("nation:5", "heit"), ("supplier:7", "oue"),
+           ("nation:4", "ichsch"), ("nation:5", "heit"), ("customer:7", "oue"),
            ("supplier:8", "hein"), ("customer:2", "ado"), ("customer:3", "cióna"),
-           ("missing:1", "the"), ("supplier:7", "ingth")]
+           ("missing:1", "the"), ("customer:7", "ingth")]
 TOOLS = [("fr", "nation:6"), ("de", "region:2"), ("es", "missing:2"), ("en", "customer:9")]
 SOURCES = [("src0", "supplier:1"), ("src0", "part:4"), ("src3", "region:4"), ("src5", "nation:1"),
            ("src7", "order:11")]

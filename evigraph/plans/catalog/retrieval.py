@@ -270,20 +270,21 @@ def evidence_audit(spark, root):
 @query("source_recall", "J15", f"""
     WITH {hits_sql()},
     gold AS (SELECT c.conv_id::VARCHAR || '-' || c.turn::VARCHAR AS query_id,
-        d.source AS source_id FROM conversations c JOIN documents d ON d.doc_id % 100 = c.conv_id
-        WHERE c.role = 'user'),
+        d.source AS source_id FROM conversations c
+        JOIN documents d ON d.doc_id BETWEEN c.conv_id AND c.conv_id + 2 WHERE c.role = 'user'),
     g AS (SELECT DISTINCT query_id, source_id FROM gold),
     h AS (SELECT DISTINCT query_id, source_id FROM hits)
     SELECT g.query_id, count(h.source_id) AS found, count(*) AS gold,
         round(count(h.source_id) / count(*), 6) AS recall
     FROM g LEFT JOIN h USING (query_id, source_id) GROUP BY g.query_id""")
 def source_recall(spark, root):
-    gold = (read_table(spark, root, "conversations").where("role = 'user'")
-            .join(read_table(spark, root, "documents").select(
-                (F.col("doc_id") % 100).alias("conv_id"), F.col("source").alias("source_id")),
-                "conv_id")
-            .select(F.concat(F.col("conv_id").cast("string"), F.lit("-"),
-                             F.col("turn").cast("string")).alias("query_id"), "source_id"))
+    c = read_table(spark, root, "conversations").where("role = 'user'")
+    wanted = c.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+        .alias("query_id"),
+        F.explode(F.sequence("conv_id", F.col("conv_id") + 2)).alias("doc_id"))
+    gold = wanted.join(read_table(spark, root, "documents").select(
+        "doc_id", F.col("source").alias("source_id")), "doc_id").drop("doc_id")
     return evaluate.source_recall(question_hits(spark, root), gold).withColumn(
         "recall", F.round("recall", 6))
 

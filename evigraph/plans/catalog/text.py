@@ -69,8 +69,9 @@ def load_documents(spark, root):
         || '<style[\\s/>].*?</style\\s*>', '', 'g') AS html FROM pages),
     nodes AS (SELECT page_id, list_filter(list_transform(
         string_split_regex(html, '(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>'),
-        lambda t: {s.strip("regexp_replace(replace(replace(replace(replace(t, '&copy;', '©'),"
-                           " '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'),"
+        lambda t: {s.strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace("
+                           "regexp_replace(t, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'),"
+                           " '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g'),"
                            " '[\\s\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}"
                            "\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')")}),
         lambda t: t <> '') AS parts FROM body),
