@@ -201,6 +201,8 @@ def html_main_text(html: Column) -> Column:
     """Readable text: one line per text node, from ``<main>`` when it has any text."""
     body = F.regexp_replace(html, _SKIPPED, "")
     bare = F.regexp_replace(body, r"(?s)<!--.*?(?:-->|\z)", "<!---->")
+    # A '<' that opens nothing is a text node of its own.
+    bare = F.regexp_replace(bare, r"<(?![!?/a-zA-Z])", "<!---->&lt;<!---->")
     mains = F.regexp_extract_all(bare, F.lit(_MAIN), 1)
     main_nodes = F.flatten(F.transform(mains, _text_nodes))
     nodes = F.when(F.size(main_nodes) > 0, main_nodes).otherwise(_text_nodes(bare))

@@ -298,7 +298,18 @@ def document_chunks(spark, root):
     return paged_chunks(docs)
 
 
-@query("embed_chunks", "T14 U1")
+_BODY = f"""body AS (SELECT doc_id, {s.strip('text')} AS text FROM documents),
+    spans AS (SELECT *, unnest(range(0, greatest(0, ceil((length(text) - 1200) / 1000.0))::BIGINT
+        + 1)) AS number FROM body),
+    chunks AS (SELECT doc_id, number,
+        {s.strip('substring(text, number * 1000 + 1, 1200)')} AS chunk_text FROM spans)"""
+
+
+@query("embed_chunks", "T14 U1", f"""
+    WITH {_BODY} SELECT 'doc' || doc_id || '.txt::p1::c' || row_number() OVER (
+        PARTITION BY doc_id ORDER BY number) AS chunk_id, length(chunk_text) AS character_count,
+        256 AS dim, CASE WHEN regexp_matches(chunk_text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]') THEN 1.0
+        ELSE 0.0 END::DOUBLE AS length FROM chunks WHERE chunk_text <> ''""")
 def embed_chunks(spark, root):
     """Hashed embeddings of all document chunks."""
     return embed(document_chunks(spark, root), "chunk_text").select(

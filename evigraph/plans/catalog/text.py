@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ... import vocab
 from ...functions import text as tx
 from ...operators import chunking, ingest, rules
 from ...session import read_table, scratch_path
@@ -64,8 +65,7 @@ def load_documents(spark, root):
         bad.select("path", F.col("reject_reason").alias("outcome")))
 
 
-@query("html_text", "S5 H1 H5", f"""
-    WITH body AS (SELECT page_id, regexp_replace(html, '(?is)<script[\\s/>].*?</script\\s*>|'
+HTML = f"""body AS (SELECT page_id, regexp_replace(html, '(?is)<script[\\s/>].*?</script\\s*>|'
         || '<style[\\s/>].*?</style\\s*>', '', 'g') AS html FROM pages),
     nodes AS (SELECT page_id, list_filter(list_transform(
         string_split_regex(html, '(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>'),
@@ -75,8 +75,11 @@ def load_documents(spark, root):
                            " '[\\s\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}"
                            "\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')")}),
         lambda t: t <> '') AS parts FROM body),
-    texts AS (SELECT page_id, array_to_string(parts, chr(10)) AS text FROM nodes)
-    SELECT page_id, length(text) AS characters, sha256(text) AS sha256,
+    texts AS (SELECT page_id, array_to_string(parts, chr(10)) AS text FROM nodes)"""
+
+
+@query("html_text", "S5 H1 H5", f"""
+    WITH {HTML} SELECT page_id, length(text) AS characters, sha256(text) AS sha256,
         length(text) >= 500 AS sufficient FROM texts""")
 def html_text(spark, root):
     return pages.html_to_text(read_table(spark, root, "pages")).select(
@@ -142,7 +145,14 @@ def chunk_paged(spark, root):
         F.md5("chunk_text").alias("text_md5"))
 
 
-@query("chunk_html_pages", "T3 S5", None)
+@query("chunk_html_pages", "T3 S5", f"""
+    WITH {HTML}, ready AS (SELECT t.page_id, p.url, t.text FROM texts t JOIN pages p USING (page_id)
+        WHERE length(t.text) >= 500),
+    {_windows(1200, 150, table='ready')}
+    SELECT 'page' || page_id || '_chunk_' || lpad(number::VARCHAR, 3, '0') AS chunk_id, url,
+        (row_number() OVER (PARTITION BY page_id ORDER BY number) - 1)::INTEGER
+        AS metadata_number, length(chunk_text) AS chunk_size, md5(chunk_text) AS text_md5
+    FROM cut WHERE chunk_text <> ''""")
 def chunk_html_pages(spark, root):
     """Readable page text cut the way the benchmark does, with the page's own fields kept."""
     ready = pages.html_to_text(read_table(spark, root, "pages")).where("sufficient").select(
@@ -441,7 +451,11 @@ def pattern_scan(spark, root):
                       .alias("matched_rules"))
 
 
-@query("secret_scan_pages", "P13", None)
+@query("secret_scan_pages", "P13", "SELECT page_id, strlen(html) > 2000000 AS skipped, "
+       "array_to_string(list_filter(["
+       + ", ".join(f"CASE WHEN regexp_matches(html, {s.quoted(p)}) THEN '{n}' END"
+                   for n, p in vocab.SECRET_PATTERNS)
+       + "], lambda x: x IS NOT NULL), ' ') AS matched_rules FROM pages")
 def secret_scan_pages(spark, root):
     """The default secret rules over all raw pages."""
     out = rules.scan_patterns(read_table(spark, root, "pages"), "html")

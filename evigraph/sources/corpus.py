@@ -48,7 +48,7 @@ def load_pages(files: DataFrame) -> DataFrame:
 
     Bytes that are not UTF-8 become replacement characters.
     """
-    text = tx.strip(F.decode("content", "UTF-8"))
+    text = tx.strip(F.make_valid_utf8(F.col("content").cast("string")))
     return (files.withColumns({"page": F.lit(1), "text": text}).drop("content")
             .withColumn("character_count", F.char_length("text")))
 

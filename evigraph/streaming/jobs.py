@@ -55,6 +55,11 @@ def drop_replays(events: DataFrame, key: list[str], late: str = "10 minutes",
 
 # --- stateful operators ---------------------------------------------------------------
 
+def _texts(values) -> pd.Series:
+    """A text column of plain objects: pieces of it join into one Arrow array."""
+    return pd.Series(list(values), dtype=object)
+
+
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     frame = pd.concat(list(rows), ignore_index=True)
     return frame.sort_values(["ts", "seq"], kind="stable")
@@ -77,7 +82,7 @@ class StateMachine(StatefulProcessor):
             else:
                 rejected += 1
         self.value.update((state, accepted, rejected))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [state],
+        yield pd.DataFrame({"job_id": _texts([key[0]]), "state": _texts([state]),
                             "accepted": [accepted], "rejected": [rejected]})
 
     def close(self) -> None:
@@ -106,7 +111,7 @@ class FailureStreak(StatefulProcessor):
             failures = 0 if health == "healthy" else failures + 1
             last = health
         self.value.update((failures,))
-        yield pd.DataFrame({"worker_id": [key[0]], "health": [last],
+        yield pd.DataFrame({"worker_id": _texts([key[0]]), "health": _texts([last]),
                             "consecutive_failures": [failures]})
 
     def close(self) -> None:
@@ -140,9 +145,9 @@ class StaleDetector(StatefulProcessor):
 
     def _report(self, key, found) -> pd.DataFrame:
         return pd.DataFrame({
-            "job_id": [key[0]] * len(found),
-            "previous_state": [state for state, _ in found],
-            "state": ["RECOVERY_REQUIRED"] * len(found),
+            "job_id": _texts(key[0] for _ in found),
+            "previous_state": _texts(state for state, _ in found),
+            "state": _texts("RECOVERY_REQUIRED" for _ in found),
             "last_event": pd.to_datetime([ts for _, ts in found], unit="us")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
