@@ -138,6 +138,9 @@ def replay_states(events: DataFrame, order: list[str], allowed=None, key: str =
     if len(seen) > 1000:
         raise ValueError("the state column has more than 1000 values; it is not a state column")
     states = sorted({r[0] for r in seen if r[0] is not None})
+    if parts is None:
+        # A slice of a job becomes one array, so it is cut finer than a shuffle partition.
+        parts = 16 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_slices(events.where(F.col(state).isNotNull()), order[0], parts)
     sliced = rows.groupBy(key, SLICE).agg(F.array_sort(F.collect_list(
         F.struct(*[F.col(o).alias(f"o{n}") for n, o in enumerate(order)],

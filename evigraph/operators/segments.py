@@ -7,6 +7,7 @@ the table at most, and only one summary row per (key, slice) is combined along t
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +30,11 @@ def with_slices(df: DataFrame, order: str, parts: int | None = None) -> DataFram
     cuts = [i / parts for i in range(1, parts)]
     bounds = df.select(value.alias("v")).agg(
         F.percentile_approx("v", cuts, 10 * parts).alias("b")).first()["b"]
-    return df.withColumn(SLICE, _bucket(value, sorted(set(bounds or []))))
-
-
-def _bucket(value: Column, bounds: list[float]) -> Column:
-    """How many of the constant bounds are at or below the value."""
-    if not bounds:
-        return F.lit(0)
-    literal = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.coalesce(F.size(F.filter(literal, lambda b: b <= value)), F.lit(0))
+    splits = [float("-inf"), *sorted(set(bounds or [])), float("inf")]
+    # Bucketizer searches the cut points by bisection, so many slices stay cheap.
+    sliced = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket",
+                        handleInvalid="keep").transform(df.withColumn("_value", value))
+    return sliced.withColumn(SLICE, F.col("_bucket").cast("int")).drop("_value", "_bucket")
 
 
 def _ordered(key: list[str], order: list[str], *more: str):

@@ -71,8 +71,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for tables and stream checkpoints."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; it is removed when the application ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
@@ -83,7 +88,7 @@ def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
     of what it joins next.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
