@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,45 +37,39 @@ def build_session(app: str = "evigraph", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-_SCHEMAS: dict[str, object] = {}
-
-
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A shared table; its schema is read from the file footers once per process."""
-    path = f"{root}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
-
-
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """A shared table; the path is opened by Spark alone, so any store it knows will do."""
+    return spark.read.parquet(f"{root}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, named by ``spark.checkpoint.dir``.
+    """The folder of this application that every executor sees.
 
-    Only a local session, which has no other machine, falls back to a temporary folder.
+    It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse, which the
+    executors share as well. A machine-local temporary folder is never used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not _is_local(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="evigraph-")
+    top = (spark.conf.get("spark.checkpoint.dir", None)
+           or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch")
+    return f"{top.rstrip('/')}/evigraph-{spark.conf.get('spark.app.id')}"
+
+
+def _files(spark: SparkSession, path: str):
+    """The store of ``path`` and the path in it; ``None`` where Spark gives no access to it."""
+    gateway = getattr(spark, "_jvm", None)
+    if gateway is None:
+        return None
+    target = gateway.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; it is removed when the application ends."""
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(target)
-    files.deleteOnExit(target)
-    return path
+    """A fresh path in the application's folder, which goes when the application ends."""
+    top = shared_dir(spark)
+    store = _files(spark, top)
+    if store:
+        store[0].mkdirs(store[1])
+        store[0].deleteOnExit(store[1])
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
@@ -85,11 +77,21 @@ def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
 
     Iterative operators call this once per level: a lost executor replays one level instead
     of the whole loop, every use of a level reads the same rows, and Catalyst knows the size
-    of what it joins next.
+    of what it joins next. ``drop_scratch`` removes a level whose readers are done.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Remove the table behind a result of ``cut_lineage``; nothing may read it afterwards."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store = _files(spark, folder)
+        if store and "/evigraph-" in folder:
+            store[0].delete(store[1], True)
 
 
 def rule_rows(rules, columns: tuple[str, ...], limit: int = 20_000) -> list[tuple]:
