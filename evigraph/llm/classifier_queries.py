@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from ..session import read_table
-from . import quality
+from . import quality, toxicity
 from .queries import query
 
 
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark, root):
     return quality.quality(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
+
+
+@query("op4_toxicity_cnn")
+def op4_toxicity_cnn(spark, root):
+    return toxicity.toxicity(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
