@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read_table
-from . import exact_dedup
+from . import exact_dedup, simhash
 from .queries import query
 
 EXACT_SQL = """
@@ -17,3 +17,8 @@ FROM t JOIN g ON t.text = g.text
 @query("op2_exact_dedup", EXACT_SQL)
 def op2_exact_dedup(spark, root):
     return exact_dedup.exact_dedup(read_table(spark, root, "documents"))
+
+
+@query("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark, root):
+    return simhash.near_duplicates(read_table(spark, root, "documents"))
