@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read_table
-from . import exact_dedup, simhash
+from . import exact_dedup, multiset, simhash
 from .queries import query
 
 EXACT_SQL = """
@@ -22,3 +22,8 @@ def op2_exact_dedup(spark, root):
 @query("op3_simhash_near_dedup")
 def op3_simhash_near_dedup(spark, root):
     return simhash.near_duplicates(read_table(spark, root, "documents"))
+
+
+@query("op6_multiset_fingerprints")
+def op6_multiset_fingerprints(spark, root):
+    return multiset.fingerprints_with_edits(read_table(spark, root, "documents"))
