@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from ..session import read_table
-from . import pii
+from . import pii, site_style
 from .queries import query
 
 
 @query("op5_pii_boosted_spans")
 def op5_pii_boosted_spans(spark, root):
     return pii.report(read_table(spark, root, "documents"))
+
+
+@query("op7_html_site_style")
+def op7_html_site_style(spark, root):
+    return site_style.extract(read_table(spark, root, "pages"))
