@@ -59,15 +59,18 @@ def statistics(text: str) -> list[float]:
         sum(line.rstrip().endswith(_SENTENCE_END) for line in lines) / n_lines, packed]
 
 
-@F.pandas_udf("array<double>")
-def _stats_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([statistics(t) for t in texts])
+def stats_udf():
+    """Text column to statistics."""
+    @F.pandas_udf("array<double>")
+    def stats(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts])
+    return stats
 
 
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and its statistics, stored once for fitting and scoring."""
     return cut_lineage(docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                                   _stats_udf(text_of(text_col)).alias("stats")), "stats")
+                                   stats_udf()(text_of(text_col)).alias("stats")), "stats")
 
 
 def _standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -177,4 +180,4 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: in
            held_out_fold: int = 2) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
     model = fit(with_stats(docs), labels, "quality", in_fold("doc_id", folds, held_out_fold))
-    return docs.filter(score_udf(model)(_stats_udf(text_of())) >= threshold)
+    return docs.filter(score_udf(model)(stats_udf()(text_of())) >= threshold)

@@ -247,18 +247,22 @@ def unimportant(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return cut_lineage(low.groupBy("site").agg(F.collect_list("path").alias("low")), "templates")
 
 
-@F.pandas_udf("long")
-def _site_udf(urls: pd.Series) -> pd.Series:
-    return pd.Series([_site(u) for u in urls], dtype="int64")
+def _site_udf():
+    @F.pandas_udf("long")
+    def site(urls: pd.Series) -> pd.Series:
+        return pd.Series([_site(u) for u in urls], dtype="int64")
+    return site
 
 
-@F.pandas_udf("string")
-def _extract_udf(pages: pd.Series, low: pd.Series) -> pd.Series:
-    out = []
-    for page, paths in zip(pages, low):
-        paths = frozenset(paths) if paths is not None else frozenset()
-        out.append(Page(page, paths).main_text() or (Page(page).main_text() if paths else ""))
-    return pd.Series(out, dtype=object)
+def _extract_udf():
+    @F.pandas_udf("string")
+    def text(pages: pd.Series, low: pd.Series) -> pd.Series:
+        out = []
+        for page, paths in zip(pages, low):
+            paths = frozenset(paths) if paths is not None else frozenset()
+            out.append(Page(page, paths).main_text() or (Page(page).main_text() if paths else ""))
+        return pd.Series(out, dtype=object)
+    return text
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,6 +273,6 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     templates = unimportant(pages, threshold)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    joined = rows.withColumn("site", _site_udf("url")).join(templates, "site", "left")
-    return joined.select("page_id", "url", _extract_udf("html", "low").alias("text")) \
+    joined = rows.withColumn("site", _site_udf()("url")).join(templates, "site", "left")
+    return joined.select("page_id", "url", _extract_udf()("html", "low").alias("text")) \
         .withColumn("n_chars", F.char_length("text").cast("long"))
