@@ -53,6 +53,7 @@ _NO_ARTICLE_NAMES = re.compile(
     r"masthead|site-header|page-header|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|"
     r"sign-?up|share|sharing|social|comments?|disqus|repl(?:y|ies)|related|recommend\w*|widget|pagination|"
     r"login|search|navigation|complementary|contentinfo)(?:$|[\s_-])", re.I)
+_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
 _BLOCK_ENDS_P = frozenset("p div ul ol li table tr td th h1 h2 h3 h4 h5 h6 section article main nav footer "
                           "header aside form blockquote pre figure dl dt dd hr".split())
 _CLOSES_SAME = frozenset("li td th tr dt dd option".split())
@@ -113,8 +114,8 @@ class Page:
             noise = noise or tag in _NO_ARTICLE or tag == "header" and not zone \
                 or bool(names and _NO_ARTICLE_NAMES.search(names)) \
                 or tag not in _PROTECTED and path in self.low
-        elif names and tag in ("article", "main") and zone and _NO_ARTICLE_NAMES.search(names):
-            noise = True                                    # comments marked up as articles
+        elif tag == "article" and _COMMENT_NAMES.search(names):
+            noise = True                                    # reader comments marked up as articles
         if not noise:
             zone = 2 if tag == "article" else max(zone, 1) if tag == "main" or "main" in names.split() else zone
         if self.survey and tag not in _INLINE:
