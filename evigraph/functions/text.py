@@ -17,10 +17,11 @@ WHITESPACE = (
 )
 
 # Words that carry no evidence when a question is compared with a text.
-STOP_WORDS = (
-    "a an and are as at be by for from how in is it of on or that the this to "
-    "was what when where which with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
+    "how", "in", "is", "it", "of", "on", "or", "that", "the", "this",
+    "to", "was", "what", "when", "where", "which", "with",
+]
 
 
 def strip(c) -> Column:
