@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import text as tx
 
 
@@ -61,10 +62,10 @@ def validate_files(listing: DataFrame, extensions: tuple[str, ...] | None = None
     good_suffix = suffix.isin(*wanted) if wanted else F.lit(True)
     shown = F.regexp_extract(tx.file_name(F.col("path")), r"^.+(\.[^./]+)$", 1)
     error = (
-        F.when(~F.col("exists"), F.lit("Artifact does not exist."))
-        .when(~F.col("is_file"), F.lit("Artifact path is not a file."))
-        .when(F.col("size_bytes") <= 0, F.lit("Artifact file is empty."))
-        .when(~good_suffix, F.concat(F.lit("Unexpected artifact extension: "), shown)))
+        F.when(~F.col("exists"), F.lit(vocab.ARTIFACT_MISSING))
+        .when(~F.col("is_file"), F.lit(vocab.ARTIFACT_NO_FILE))
+        .when(F.col("size_bytes") <= 0, F.lit(vocab.ARTIFACT_EMPTY))
+        .when(~good_suffix, F.concat(F.lit(vocab.ARTIFACT_EXTENSION), shown)))
     return (listing.withColumn("error", error)
             .withColumn("extension_valid",
                 ~F.startswith(F.coalesce("error", F.lit("")), F.lit("Unexpected")))

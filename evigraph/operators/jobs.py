@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as tx
 from ..session import rule_rows
-from .segments import SLICE, numbered, previous_value, with_slices
+from .segments import SLICE, join_nullsafe, numbered, previous_value, with_slices
 
 IN_FLIGHT = ("RUNNING", "VALIDATING")
+ROWS_PER_SLICE = 10_000
 
 
 # --- tables ------------------------------------------------------------------------
@@ -23,23 +24,25 @@ def latest(df: DataFrame, key: list[str], *order: str) -> DataFrame:
         *key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def list_jobs(jobs: DataFrame, limit: int = 100, **equal) -> DataFrame:
-    """Newest jobs first; blank filters are ignored."""
-    if limit <= 0:
+def list_jobs(jobs: DataFrame, limit: int | None = None, **equal) -> DataFrame:
+    """Newest jobs first, all or the first ``limit``; blank filters are ignored."""
+    if limit is not None and limit <= 0:
         raise ValueError("limit must be greater than zero")
     for name, value in equal.items():
         if name not in ("status", "domain", "tool", "worker"):
             raise ValueError(f"unknown filter: {name}")
         if value:
             jobs = jobs.where(F.col(name) == value)
-    return jobs.orderBy(F.desc("created_at"), "job_id").limit(limit)
+    ordered = jobs.orderBy(F.desc("created_at"), "job_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def fifo(jobs: DataFrame, limit: int = 1000) -> DataFrame:
-    """Queued jobs in the order they were created."""
-    if limit <= 0:
+def fifo(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Queued jobs in the order they were created, all or the first ``limit``."""
+    if limit is not None and limit <= 0:
         raise ValueError("limit must be greater than zero")
-    return jobs.where(F.col("status") == "QUEUED").orderBy("created_at", "job_id").limit(limit)
+    ordered = jobs.where(F.col("status") == "QUEUED").orderBy("created_at", "job_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def count_jobs(jobs: DataFrame, *by: str, **equal) -> DataFrame:
@@ -87,7 +90,7 @@ def stale_jobs(jobs: DataFrame, as_of: Column, seconds: float = 300,
 def mark_recovery(stale: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """New job versions in RECOVERY_REQUIRED and one RECOVERY_DETECTED event each."""
     text = F.concat(
-        F.lit("Stale in-flight job detected after manager/process restart. Previous state="),
+        F.lit(vocab.STALE_REASON),
         F.col("status"), F.lit("."))
     target = "RECOVERY_REQUIRED"
     events = stale.select(
@@ -126,25 +129,29 @@ def illegal_transitions(events: DataFrame, order: list[str], allowed=None,
 
 
 def replay_states(events: DataFrame, order: list[str], allowed=None, key: str = "job_id",
-                  state: str = "state", parts: int | None = None) -> DataFrame:
+                  state: str = "state", parts: int | None = None,
+                  start: DataFrame | None = None) -> DataFrame:
     """Run the state machine over a log: rejected events leave the state as it is.
 
-    Each slice of a job is reduced to a table "state before -> state after", and the tables
-    are applied in order. So no task replays the whole log of a job that owns many events.
-    Returns ``(key, state, accepted, rejected)``.
+    Each slice of a job is reduced to a table "state before -> state after" over the states
+    that job has, and the tables are applied in order. So no task replays the whole log of a
+    job that owns many events. ``start`` is an earlier result to go on from. Events without a
+    state are passed over. Returns ``(key, state, accepted, rejected)``.
     """
     pairs = [f"{a}>{b}" for a, b in _pairs(allowed)]
-    seen = events.select(state).distinct().limit(1001).collect()
-    if len(seen) > 1000:
-        raise ValueError("the state column has more than 1000 values; it is not a state column")
-    states = sorted({r[0] for r in seen if r[0] is not None})
+    events = events.where(F.col(state).isNotNull())
     if parts is None:
-        # A slice of a job becomes one array, so it is cut finer than a shuffle partition.
-        parts = 16 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_slices(events.where(F.col(state).isNotNull()), order[0], parts)
+        # A slice of a job becomes one array, so slices are sized by rows.
+        parts = max(16 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                    events.count() // ROWS_PER_SLICE)
+    rows = with_slices(events, order, parts)
     sliced = rows.groupBy(key, SLICE).agg(F.array_sort(F.collect_list(
         F.struct(*[F.col(o).alias(f"o{n}") for n, o in enumerate(order)],
                  F.col(state).alias("s")))).alias("_log"))
+    seen = events.select(key, F.col(state).alias("_s"))
+    if start is not None:
+        seen = seen.unionByName(start.select(key, F.col(state).alias("_s")))
+    seen = seen.groupBy(key).agg(F.collect_set("_s").alias("_states"))
 
     def step(acc, event):
         ok = acc["s"].isNull() | (acc["s"] == event["s"]) | F.concat(
@@ -152,29 +159,35 @@ def replay_states(events: DataFrame, order: list[str], allowed=None, key: str =
         return F.struct(F.when(ok, event["s"]).otherwise(acc["s"]).alias("s"),
                         (acc["n"] + ok.cast("long")).alias("n"))
 
-    def run(start):
-        return F.aggregate("_log", F.struct(start.cast("string").alias("s"),
-                                            F.lit(0).cast("long").alias("n")), step)
+    def run(begin):
+        return F.aggregate("_log", F.struct(begin.alias("s"), F.lit(0).cast("long").alias("n")), step)
 
-    starts = [F.lit(None), *[F.lit(s) for s in states]]
-    effect = sliced.select(
+    starts = F.concat(F.array(F.lit(None).cast("string")), F.col("_states"))
+    effect = join_nullsafe(sliced, seen, [key]).select(
         key, SLICE, F.size("_log").alias("_events"),
-        F.array(*[F.struct(s.cast("string").alias("start"), run(s).alias("end"))
-                  for s in starts]).alias("_effect"))
+        F.transform(starts, lambda s: F.struct(s.alias("start"), run(s).alias("end"))).alias("_effect"))
     along = effect.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(SLICE, "_effect"))).alias("_slices"),
         F.sum("_events").alias("_events"))
+    nothing = F.struct(F.lit(None).cast("string").alias("s"), F.lit(0).cast("long").alias("n"))
+    if start is None:
+        along = along.select(key, "_slices", "_events", nothing.alias("_start"), F.lit(0).cast("long").alias("_before"))
+    else:
+        old = start.select(F.col(key).alias("_key"), F.struct(F.col(state).alias("s"), F.col("accepted").alias("n")).alias("_old"),
+                           (F.col("accepted") + F.col("rejected")).alias("_before"))
+        along = along.join(old, F.col(key).eqNullSafe(F.col("_key")), "full_outer").select(
+            F.coalesce(key, "_key").alias(key), "_slices", F.coalesce("_events", F.lit(0)).alias("_events"),
+            F.coalesce("_old", nothing).alias("_start"), F.coalesce("_before", F.lit(0)).alias("_before"))
 
     def chain(acc, part):
         end = F.element_at(F.filter(
             part["_effect"], lambda e: e["start"].eqNullSafe(acc["s"])), 1)["end"]
         return F.struct(end["s"].alias("s"), (acc["n"] + end["n"]).alias("n"))
 
-    final = F.aggregate("_slices", F.struct(F.lit(None).cast("string").alias("s"),
-                                            F.lit(0).cast("long").alias("n")), chain)
-    return along.select(key, final.alias("_f"), "_events").select(
-        key, F.col("_f.s").alias("state"), F.col("_f.n").alias("accepted"),
-        (F.col("_events") - F.col("_f.n")).alias("rejected"))
+    final = F.coalesce(F.aggregate("_slices", F.col("_start"), chain), F.col("_start"))
+    return along.select(key, final.alias("_f"), "_events", "_before").select(
+        key, F.col("_f.s").alias(state), F.col("_f.n").alias("accepted"),
+        (F.col("_before") + F.col("_events") - F.col("_f.n")).alias("rejected"))
 
 
 # --- failures and retries -----------------------------------------------------------------
@@ -190,13 +203,13 @@ def classify_failures(df: DataFrame, rules=None, message: str = "message",
     first = F.coalesce(*[
         F.when(F.contains(text, F.lit(n)),
                F.struct(F.lit(k).alias("kind"),
-                        F.lit(f"Matched {k.lower()} failure pattern: {n}").alias("reason")))
+                        F.lit(vocab.MATCHED_REASON.format(kind=k.lower(), needle=n)).alias("reason")))
         for k, n in rows], F.struct(
             F.lit("UNKNOWN").alias("kind"),
-            F.lit("Failure could not be classified safely.").alias("reason")))
+            F.lit(vocab.UNCLASSIFIED_REASON).alias("reason")))
     if timed_out is not None:
         first = F.when(timed_out, F.struct(
-            F.lit("TIMEOUT").alias("kind"), F.lit("Execution timeout.").alias("reason"))
+            F.lit("TIMEOUT").alias("kind"), F.lit(vocab.TIMEOUT_REASON).alias("reason"))
         ).otherwise(first)
     return (df.withColumn("_first", first)
             .withColumn("failure_type", F.col("_first.kind"))
@@ -219,7 +232,7 @@ def classify_results(df: DataFrame, rules=None) -> DataFrame:
     timeout = status == "timeout"
     out = classify_failures(df.withColumn("_text", F.coalesce(joined, fallback)), rules, "_text")
     kind = F.when(ok, F.lit(None)).when(timeout, F.lit("TIMEOUT")).otherwise(F.col("failure_type"))
-    reason = (F.when(ok, F.lit(None)).when(timeout, F.lit("Tool reported timeout."))
+    reason = (F.when(ok, F.lit(None)).when(timeout, F.lit(vocab.TOOL_TIMEOUT_REASON))
               .otherwise(F.col("reason")))
     return (out.withColumns({"failure_type": kind, "reason": reason,
                              "retryable": F.when(ok, F.lit(None)).when(timeout, F.lit(True))
@@ -242,11 +255,10 @@ def retry_decision(df: DataFrame, max_attempts: int = 3, base: float = 1.0,
     delay = F.when(retry, F.least(F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1),
                                   F.lit(float(cap)))).otherwise(F.lit(0.0))
     reason = (
-        F.when(attempt <= 0, F.lit("attempt must be greater than zero"))
-        .when(~retryable, F.lit("Failure classification is not retryable."))
-        .when(attempt >= max_attempts, F.lit(f"Maximum attempts reached: {max_attempts}"))
-        .otherwise(F.concat(F.lit("Retryable "), F.col("failure_type"),
-                            F.lit(" failure; next attempt permitted."))))
+        F.when(attempt <= 0, F.lit(vocab.ATTEMPT_ERROR))
+        .when(~retryable, F.lit(vocab.NOT_RETRYABLE_REASON))
+        .when(attempt >= max_attempts, F.lit(vocab.MAX_ATTEMPTS_REASON.format(attempts=max_attempts)))
+        .otherwise(F.replace(F.lit(vocab.RETRY_REASON), F.lit("{kind}"), F.col("failure_type"))))
     return df.withColumns({"retry": retry, "delay_seconds": delay, "retry_reason": reason})
 
 

@@ -44,6 +44,8 @@ def with_slices(df: DataFrame, order: list[str] | str, parts: int | None = None)
     cuts = [i / parts for i in range(1, parts)]
     bounds = df.select(value.alias("v")).agg(
         F.percentile_approx("v", cuts, 10 * parts).alias("b")).first()["b"] or []
+    if not bounds:                                          # no row has a value
+        return df.withColumn(SLICE, F.lit(-1).cast("long"))
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
     # Bucketizer searches the cut points by bisection, so many slices stay cheap.
     sliced = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import text as tx
 from .jobs import latest
 from .segments import running_streak
@@ -125,10 +126,10 @@ def health_status(pings: DataFrame) -> DataFrame:
     return pings.withColumns({
         "health": F.when(timeout, F.lit("timeout")).when(good, F.lit("healthy"))
         .otherwise(F.lit("unhealthy")),
-        "message": F.when(timeout, F.coalesce(err, F.lit("Worker heartbeat timed out.")))
-        .when(good, F.lit("Worker heartbeat succeeded."))
+        "message": F.when(timeout, F.coalesce(err, F.lit(vocab.BEAT_TIMEOUT)))
+        .when(good, F.lit(vocab.BEAT_SUCCESS))
         .otherwise(F.coalesce(err, out, F.concat(
-            F.lit("Worker heartbeat failed with return_code="), code, F.lit(".")))),
+            F.lit(vocab.BEAT_FAILURE), code, F.lit(".")))),
         "hostname": F.when(~timeout & good, F.nullif(tx.or_empty("stdout"), F.lit(""))),
     })
 

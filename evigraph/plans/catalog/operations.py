@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ... import vocab
 from ...functions import text as tx
-from ...operators import artifacts, jobs, workers
+from ...operators import segments, artifacts, jobs, workers
 from ...session import read_table, scratch_path
 from ...sources import tables
 from . import query
@@ -124,7 +124,7 @@ def list_jobs(spark, root):
 def fifo_queue(spark, root):
     """The queue is cut to its limit before places are numbered."""
     from pyspark.sql import Window
-    return jobs.fifo(job_table(spark, root)).select("job_id", F.row_number().over(
+    return jobs.fifo(job_table(spark, root), 1000).select("job_id", F.row_number().over(
         Window.orderBy("created_at", "job_id")).alias("place"))
 
 
@@ -153,8 +153,7 @@ def stale_jobs(spark, root):
 
 
 @query("mark_recovery", "P16", f"""
-    WITH {VERSIONS}, {_AGE}, t AS (SELECT *, 'Stale in-flight job detected after '
-        || 'manager/process restart. Previous state=' || status || '.' AS text FROM stale)
+    WITH {VERSIONS}, {_AGE}, t AS (SELECT *, '{vocab.STALE_REASON}' || status || '.' AS text FROM stale)
     SELECT 'version' AS kind, job_id, 'RECOVERY_REQUIRED' AS state, text FROM t
     UNION ALL SELECT 'RECOVERY_DETECTED', job_id, 'RECOVERY_REQUIRED', text FROM t""")
 def mark_recovery(spark, root):
@@ -217,6 +216,26 @@ REPLAY = f"""{LOG}, numbered AS (SELECT *, row_number() OVER (PARTITION BY job_i
             max(rejected) AS rejected FROM r GROUP BY 1)"""
 
 
+_HOLES = """holes AS (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'job-' || user_id END AS job_id,
+    CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('day', ts) END AS day, event_id AS seq,
+    event_type AS kind FROM events)"""
+
+
+@query("previous_states_with_nulls", "W4 W8", f"""
+    WITH {_HOLES} SELECT seq, lag(kind) OVER w AS previous, row_number() OVER w AS attempt FROM holes
+    WINDOW w AS (PARTITION BY job_id ORDER BY day NULLS FIRST, seq)""")
+def previous_states_with_nulls(spark, root):
+    """Events without a job or a time, and days that many events of a job share."""
+    n = F.col("event_id")
+    holes = read_table(spark, root, "events").select(
+        F.when(n % 7 != 0, F.concat(F.lit("job-"), F.col("user_id").cast("string"))).alias("job_id"),
+        F.when(n % 5 != 0, F.date_trunc("day", "ts")).alias("day"), n.alias("seq"),
+        F.col("event_type").alias("kind"))
+    order = ["day", "seq"]
+    steps = segments.previous_value(holes, ["job_id"], order, "kind")
+    return segments.numbered(steps, ["job_id"], order, "attempt").select("seq", "previous", "attempt")
+
+
 @query("replay_states", "J14 R2", f"WITH {REPLAY} SELECT * FROM replay")
 def replay_states(spark, root):
     return jobs.replay_states(job_events(spark, root), ORDER, TRANSITIONS)
@@ -254,9 +273,9 @@ def _classify_sql(text):
     kind = " ".join(f"WHEN contains(lower({text}), {s.quoted(n)}) THEN '{k}'"
                     for k, n in vocab.FAILURE_RULES)
     why = " ".join(f"WHEN contains(lower({text}), {s.quoted(n)}) THEN "
-                   f"'Matched {k.lower()} failure pattern: {n}'" for k, n in vocab.FAILURE_RULES)
+                   f"'{vocab.MATCHED_REASON.format(kind=k.lower(), needle=n)}'" for k, n in vocab.FAILURE_RULES)
     return (f"CASE {kind} ELSE 'UNKNOWN' END",
-            f"CASE {why} ELSE 'Failure could not be classified safely.' END")
+            f"CASE {why} ELSE '{vocab.UNCLASSIFIED_REASON}' END")
 
 
 _KIND, _WHY = _classify_sql("message")
@@ -264,7 +283,7 @@ _KIND, _WHY = _classify_sql("message")
 
 @query("classify_failures", "T9", f"""
     WITH {_MESSAGES} SELECT event_id, CASE WHEN event_type = 'view' THEN 'TIMEOUT' ELSE {_KIND}
-        END AS failure_type, CASE WHEN event_type = 'view' THEN 'Execution timeout.'
+        END AS failure_type, CASE WHEN event_type = 'view' THEN '{vocab.TIMEOUT_REASON}'
         ELSE {_WHY} END AS reason FROM messages""")
 def classify_failures(spark, root):
     return jobs.classify_failures(
@@ -298,7 +317,7 @@ _RESULTS = f"""{_MESSAGES}, results AS (SELECT event_id, k, CASE event_type WHEN
     classed AS (SELECT *, CASE WHEN status = 'completed' AND coalesce(return_code, 0) = 0 THEN NULL
         WHEN status = 'timeout' THEN 'TIMEOUT' ELSE {_KIND} END AS failure_type,
         CASE WHEN status = 'completed' AND coalesce(return_code, 0) = 0 THEN NULL
-        WHEN status = 'timeout' THEN 'Tool reported timeout.' ELSE {_WHY} END AS reason
+        WHEN status = 'timeout' THEN '{vocab.TOOL_TIMEOUT_REASON}' ELSE {_WHY} END AS reason
         FROM texts)"""
 
 
@@ -317,10 +336,10 @@ def classify_results(spark, root):
     SELECT event_id, ok AND attempt BETWEEN 1 AND 2 AS retry,
         CASE WHEN ok AND attempt BETWEEN 1 AND 2 THEN least(2.5 * 2 ** (attempt - 1), 4)
             ELSE 0 END::DOUBLE AS delay_seconds,
-        CASE WHEN attempt <= 0 THEN 'attempt must be greater than zero'
-            WHEN NOT ok THEN 'Failure classification is not retryable.'
-            WHEN attempt >= 3 THEN 'Maximum attempts reached: 3'
-            ELSE 'Retryable ' || failure_type || ' failure; next attempt permitted.' END
+        CASE WHEN attempt <= 0 THEN '{vocab.ATTEMPT_ERROR}'
+            WHEN NOT ok THEN '{vocab.NOT_RETRYABLE_REASON}'
+            WHEN attempt >= 3 THEN '{vocab.MAX_ATTEMPTS_REASON.format(attempts=3)}'
+            ELSE replace('{vocab.RETRY_REASON}', '{{kind}}', failure_type) END
         AS retry_reason FROM d""")
 def retry_decisions(spark, root):
     classed = jobs.classify_results(_results(spark, root)).withColumn("attempt", F.col("k") % 5)
@@ -362,7 +381,7 @@ def current_health(spark, root):
         "worker_id", "health", "consecutive_failures", "seq")
 
 
-@query("health_status", "T12", """
+@query("health_status", "T12", f"""
     WITH p AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'timeout' ELSE 'done' END
             AS status, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1
             WHEN 'error' THEN 0 END AS code,
@@ -370,9 +389,9 @@ def current_health(spark, root):
             CASE WHEN value > 20 THEN 'slow link' END AS stderr FROM events)
     SELECT event_id, CASE WHEN status = 'timeout' THEN 'timeout' WHEN code = 0 THEN 'healthy'
             ELSE 'unhealthy' END AS health,
-        CASE WHEN status = 'timeout' THEN coalesce(stderr, 'Worker heartbeat timed out.')
-            WHEN code = 0 THEN 'Worker heartbeat succeeded.'
-            ELSE coalesce(stderr, nullif(stdout, ''), 'Worker heartbeat failed with return_code='
+        CASE WHEN status = 'timeout' THEN coalesce(stderr, '{vocab.BEAT_TIMEOUT}')
+            WHEN code = 0 THEN '{vocab.BEAT_SUCCESS}'
+            ELSE coalesce(stderr, nullif(stdout, ''), '{vocab.BEAT_FAILURE}'
                 || coalesce(code::VARCHAR, 'None') || '.') END AS message,
         CASE WHEN status <> 'timeout' AND code = 0 THEN nullif(trim(stdout), '') END AS hostname
     FROM p""")
@@ -562,12 +581,12 @@ def artifact_duplicates(spark, root):
         "registered_at", "created", "duplicate")
 
 
-@query("validate_files", "T13 H10", """
-    SELECT event_id, CASE WHEN value <= 1 THEN 'Artifact does not exist.'
-        WHEN event_type = 'view' THEN 'Artifact path is not a file.'
-        WHEN event_type = 'error' THEN 'Artifact file is empty.'
-        WHEN user_id % 3 = 0 THEN 'Unexpected artifact extension: .Log'
-        WHEN user_id % 3 = 1 AND user_id % 2 = 0 THEN 'Unexpected artifact extension: ' END
+@query("validate_files", "T13 H10", f"""
+    SELECT event_id, CASE WHEN value <= 1 THEN '{vocab.ARTIFACT_MISSING}'
+        WHEN event_type = 'view' THEN '{vocab.ARTIFACT_NO_FILE}'
+        WHEN event_type = 'error' THEN '{vocab.ARTIFACT_EMPTY}'
+        WHEN user_id % 3 = 0 THEN '{vocab.ARTIFACT_EXTENSION}.Log'
+        WHEN user_id % 3 = 1 AND user_id % 2 = 0 THEN '{vocab.ARTIFACT_EXTENSION}' END
         AS error, NOT (value > 1 AND event_type NOT IN ('view', 'error')
         AND (user_id % 3 = 0 OR (user_id % 3 = 1 AND user_id % 2 = 0))) AS extension_valid
     FROM events""")

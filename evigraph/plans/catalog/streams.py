@@ -27,84 +27,129 @@ def _jobs(stream):
         _mapped("event_type", STATES).alias("state"), "ts", F.col("event_id").alias("seq"))
 
 
-@query("stream_states", "R2", f"WITH {REPLAY} SELECT * FROM replay")
-def stream_states(spark, root):
-    stream = streams.stream_states(_jobs(event_stream(spark, root)), TRANSITIONS)
-    return streams.drain(stream, scratch_path(spark, "states"), "update", ["job_id"])
-
-
-@query("stream_streaks", "R4", f"""
-    WITH {BEATS} SELECT worker_id, arg_max(health, seq) AS health,
-        arg_max(consecutive_failures, seq) AS consecutive_failures FROM streaks GROUP BY 1""")
-def stream_streaks(spark, root):
-    beats = event_stream(spark, root).select(
+def _beats(stream):
+    return stream.select(
         F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker_id"),
         _mapped("event_type", HEALTH).alias("health"), "ts", F.col("event_id").alias("seq"))
-    return streams.drain(streams.stream_streaks(beats), scratch_path(spark, "streaks"), "update",
-                         ["worker_id"])
 
 
-@query("stream_stale", "R3 P11", f"""
+def unsorted_stream(spark, root):
+    """The log as four files that each span all of its time, read one by one."""
+    path = f"{scratch_path(spark, 'unsorted')}/in"
+    log = read_table(spark, root, "events")
+    for part in range(4):
+        log.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1) \
+            .write.mode("append").parquet(path)
+    return (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", "1").parquet(path)
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+#: Files of the unsorted log are up to a month apart in event time.
+MONTH = "40 days"
+STATES_SQL = f"WITH {REPLAY} SELECT * FROM replay"
+STREAKS_SQL = f"""
+    WITH {BEATS} SELECT worker_id, arg_max(health, seq) AS health,
+        arg_max(consecutive_failures, seq) AS consecutive_failures FROM streaks GROUP BY 1"""
+STALE_SQL = f"""
     WITH {LOG}, n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS next,
         (SELECT max(ts) FROM log) AS now FROM log)
     SELECT job_id, state AS previous_state, 'RECOVERY_REQUIRED' AS state,
         epoch_us(ts) AS last_event FROM n WHERE state IN ('RUNNING', 'VALIDATING')
-        AND epoch_us(coalesce(next, now)) - epoch_us(ts) >= 43200 * 1000000::BIGINT""")
-def stream_stale(spark, root):
+        AND epoch_us(coalesce(next, now)) - epoch_us(ts) >= 43200 * 1000000::BIGINT"""
+COUNTS_SQL = """
+    SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type AS event,
+        count(*) AS events FROM events GROUP BY 1, 2"""
+
+
+@query("stream_states", "R2", STATES_SQL)
+def stream_states(spark, root):
+    return streams.stream_states(_jobs(event_stream(spark, root)), scratch_path(spark, "states"), TRANSITIONS).state()
+
+
+@query("stream_states_unsorted", "R2", STATES_SQL)
+def stream_states_unsorted(spark, root):
+    return streams.stream_states(_jobs(unsorted_stream(spark, root)), scratch_path(spark, "states"),
+                                 TRANSITIONS, MONTH).state()
+
+
+@query("stream_streaks", "R4", STREAKS_SQL)
+def stream_streaks(spark, root):
+    return streams.stream_streaks(_beats(event_stream(spark, root)), scratch_path(spark, "streaks")).state()
+
+
+@query("stream_streaks_unsorted", "R4", STREAKS_SQL)
+def stream_streaks_unsorted(spark, root):
+    return streams.stream_streaks(_beats(unsorted_stream(spark, root)), scratch_path(spark, "streaks"), MONTH).state()
+
+
+def _stale(spark, stream, bound):
     """Jobs silent in flight for twelve hours of event time."""
-    stream = streams.stream_stale(_jobs(event_stream(spark, root)), 43200)
-    return streams.drain(stream, scratch_path(spark, "stale")).withColumn(
+    return streams.stream_stale(_jobs(stream), scratch_path(spark, "stale"), 43200, bound).withColumn(
         "last_event", F.unix_micros("last_event"))
 
 
-_CLOSED = """now AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark
-    FROM events)"""
+@query("stream_stale", "R3 P11", STALE_SQL)
+def stream_stale(spark, root):
+    return _stale(spark, event_stream(spark, root), streams.BOUND)
+
 
+@query("stream_stale_unsorted", "R3", STALE_SQL)
+def stream_stale_unsorted(spark, root):
+    return _stale(spark, unsorted_stream(spark, root), MONTH)
 
-@query("stream_event_counts", "R5", f"""
-    WITH {_CLOSED}, w AS (SELECT date_trunc('hour', ts) AS start, event_type AS event,
-        count(*) AS events FROM events GROUP BY 1, 2)
-    SELECT epoch_us(start) AS window_start, event, events FROM w, now
-    WHERE start + INTERVAL 1 HOUR <= mark""")
-def stream_event_counts(spark, root):
-    """Hourly counts per event; only windows that the watermark has closed are final."""
-    stream = streams.event_counts(event_stream(spark, root), event="event_type")
-    out = streams.drain(stream, scratch_path(spark, "counts"))
+
+def _counts(out):
     return out.select(F.unix_micros("window_start").alias("window_start"),
                       F.col("event_type").alias("event"), "events")
 
 
-@query("stream_sliding_counts", "R5", f"""
-    WITH {_CLOSED}, w AS (SELECT unnest([date_trunc('day', ts) + INTERVAL 12 HOUR
+@query("stream_event_counts", "R5", COUNTS_SQL)
+def stream_event_counts(spark, root):
+    """Hourly counts per event, of open windows as well."""
+    return _counts(streams.event_counts(event_stream(spark, root), scratch_path(spark, "counts"), event="event_type"))
+
+
+@query("stream_event_counts_unsorted", "R5", COUNTS_SQL)
+def stream_event_counts_unsorted(spark, root):
+    return _counts(streams.event_counts(unsorted_stream(spark, root), scratch_path(spark, "counts"), event="event_type"))
+
+
+@query("stream_sliding_counts", "R5", """
+    WITH w AS (SELECT unnest([date_trunc('day', ts) + INTERVAL 12 HOUR
             * (CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END),
             date_trunc('day', ts) + INTERVAL 12 HOUR
             * (CASE WHEN hour(ts) >= 12 THEN 0 ELSE -1 END)]) AS start,
             event_type AS event FROM events)
-    SELECT epoch_us(start) AS window_start, event, count(*) AS events FROM w, now
-    WHERE start + INTERVAL 1 DAY <= mark GROUP BY 1, 2""")
+    SELECT epoch_us(start) AS window_start, event, count(*) AS events FROM w GROUP BY 1, 2""")
 def stream_sliding_counts(spark, root):
-    stream = streams.event_counts(event_stream(spark, root), length="1 day", slide="12 hours",
-                                  event="event_type")
-    out = streams.drain(stream, scratch_path(spark, "sliding"))
-    return out.select(F.unix_micros("window_start").alias("window_start"),
-                      F.col("event_type").alias("event"), "events")
+    return _counts(streams.event_counts(event_stream(spark, root), scratch_path(spark, "sliding"), "1 day",
+                                        "12 hours", event="event_type"))
 
 
-@query("stream_sessions", "R5", f"""
-    WITH {_CLOSED}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
+SESSIONS_SQL = """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
             ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
-    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM g),
-    s AS (SELECT user_id, island, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b,
-        count(*) AS events FROM i GROUP BY 1, 2)
-    SELECT user_id, epoch_us(a) AS session_start, epoch_us(b) AS session_end, events FROM s, now
-    WHERE b <= mark""")
-def stream_sessions(spark, root):
-    stream = streams.job_sessions(event_stream(spark, root), gap="6 hours", key="user_id")
-    out = streams.drain(stream, scratch_path(spark, "sessions"))
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOUR) AS session_end,
+        count(*) AS events FROM i GROUP BY user_id, island"""
+
+
+def _sessions(stream, path):
+    out = streams.job_sessions(stream, path, "6 hours", key="user_id")
     return out.select("user_id", F.unix_micros("session_start").alias("session_start"),
                       F.unix_micros("session_end").alias("session_end"), "events")
 
 
+@query("stream_sessions", "R5", SESSIONS_SQL)
+def stream_sessions(spark, root):
+    return _sessions(event_stream(spark, root), scratch_path(spark, "sessions"))
+
+
+@query("stream_sessions_unsorted", "R5", SESSIONS_SQL)
+def stream_sessions_unsorted(spark, root):
+    return _sessions(unsorted_stream(spark, root), scratch_path(spark, "sessions"))
+
+
 @query("stream_without_replays", "R6", """
     SELECT event_type AS event, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events
     GROUP BY 1""")
@@ -114,8 +159,8 @@ def stream_without_replays(spark, root):
     log = read_table(spark, root, "events")
     log.write.mode("append").parquet(f"{path}/in")
     log.write.mode("append").parquet(f"{path}/in")
-    stream = streams.drop_replays(event_stream(spark, root, f"{path}/in"), ["event_id"],
-                                  "40 days")
+    # the second delivery is a whole month late
+    stream = streams.drop_replays(event_stream(spark, root, f"{path}/in"), ["event_id"], MONTH)
     out = streams.drain(stream.select("event_id", "event_type"), f"{path}/out")
     return out.groupBy(F.col("event_type").alias("event")).agg(
         F.count("*").alias("events"), F.sum("event_id").alias("ids"))

@@ -1,216 +1,236 @@
 """Structured Streaming jobs over job event logs and worker heartbeats.
 
-State per key is a handful of values. A micro-batch hands a key's new rows to one task, so
-the source should bound a micro-batch (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``);
-the rows are then bounded whatever the key distribution is.
+Two forms cover all of them. Counts and sessions add up whatever the order of arrival, so every
+micro-batch stores its partial result and the result is their sum: no row is ever too late.
+Ordered jobs (states, streaks, silent periods) hold rows back until event time has passed them
+by ``bound``, apply them in order to the state so far with the operators of the batch form, and
+put rows that arrive later still in a side table. No Python runs per row and no key is one task.
+
+Everything a job keeps is below one folder, by micro-batch: a replayed micro-batch overwrites
+its own tables and reads those of the one before, so results are exact after a restart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .. import vocab
-from ..session import rule_rows
+from ..operators import jobs as batch_jobs
+from ..operators import workers as batch_workers
+from ..operators.segments import previous_value
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BOUND = "10 minutes"
 
 
-def use_rocksdb(spark) -> None:
-    """The custom stateful operators need the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-
-
-# --- windows and duplicates ---------------------------------------------------------
-
-def event_counts(events: DataFrame, late: str = "10 minutes", length: str = "1 hour",
-                 slide: str | None = None, ts: str = "ts", event: str = "event") -> DataFrame:
-    """Events per type and window; events later than the bound are dropped by the watermark."""
-    window = F.window(ts, length, slide) if slide else F.window(ts, length)
-    return (events.withWatermark(ts, late).groupBy(window.alias("w"), event)
-            .agg(F.count("*").alias("events"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    event, "events"))
-
-
-def job_sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes",
-                 ts: str = "ts", key: str = "job_id") -> DataFrame:
-    """Bursts of activity per job, closed after ``gap`` without an event."""
-    return (events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key)
-            .agg(F.count("*").alias("events"))
-            .select(key, F.col("w.start").alias("session_start"),
-                    F.col("w.end").alias("session_end"), "events"))
-
+# --- running a stream to its end ----------------------------------------------------------
 
-def drop_replays(events: DataFrame, key: list[str], late: str = "10 minutes",
-                 ts: str = "ts") -> DataFrame:
-    """Drop repeated deliveries of an event inside the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], path: str) -> None:
+    """Hand all data that is there now to ``write``, micro-batch by micro-batch."""
+    query = (stream.writeStream.outputMode("append").foreachBatch(write)
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
 
 
-# --- stateful operators ---------------------------------------------------------------
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over the data that is there now and return what it wrote."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # A replayed batch overwrites its own folder.
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
 
-def _texts(values) -> pd.Series:
-    """A text column of plain objects: pieces of it join into one Arrow array."""
-    return pd.Series(list(values), dtype=object)
+    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return _stored(stream, f"{path}/table").drop("batch_id")
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frame = pd.concat(list(rows), ignore_index=True)
-    return frame.sort_values(["ts", "seq"], kind="stable")
+def _stored(like: DataFrame, table: str) -> DataFrame:
+    """All micro-batches of a table; an empty one if none was written."""
+    spark = like.sparkSession
+    schema = StructType([*like.schema.fields, StructField("batch_id", LongType())])
+    spark.createDataFrame([], like.schema).write.mode("overwrite").parquet(f"{table}/batch_id=-1")
+    return spark.read.schema(schema).parquet(table)
 
 
-class StateMachine(StatefulProcessor):
-    """Current state per job; a step that is not allowed is rejected and counted."""
+# --- sums: windows, sessions, duplicates ---------------------------------------------
 
-    def __init__(self, allowed: set[tuple[str, str]]):
-        self.allowed = allowed
+def event_counts(stream: DataFrame, path: str, length: str = "1 hour", slide: str | None = None,
+                 ts: str = "ts", event: str = "event") -> DataFrame:
+    """Events per type and window, of all windows that hold an event, open ones included."""
+    window = F.window(ts, length, slide) if slide else F.window(ts, length)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("job", "state string, accepted long, rejected long")
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(window.alias("w"), event).agg(F.count("*").alias("events")).select(
+            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), event, "events")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, accepted, rejected = self.value.get() or (None, 0, 0)
-        for target in _in_order(rows)["state"]:
-            if state is None or state == target or (state, target) in self.allowed:
-                state, accepted = target, accepted + 1
-            else:
-                rejected += 1
-        self.value.update((state, accepted, rejected))
-        yield pd.DataFrame({"job_id": _texts([key[0]]), "state": _texts([state]),
-                            "accepted": [accepted], "rejected": [rejected]})
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted(batch).write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
 
-    def close(self) -> None:
-        pass
+    run(stream, write, path)
+    empty = counted(stream.sparkSession.createDataFrame([], stream.schema))
+    return _stored(empty, f"{path}/table").groupBy("window_start", "window_end", event).agg(
+        F.sum("events").alias("events"))
 
 
-def stream_states(events: DataFrame, allowed=None) -> DataFrame:
-    """Job states of an event stream (job_id, state, ts, seq); one row per key and batch."""
-    use_rocksdb(events.sparkSession)
-    pairs = set(rule_rows(vocab.TRANSITIONS if allowed is None else allowed, ("from", "to")))
-    return events.select("job_id", "state", "ts", "seq").groupBy("job_id").transformWithStateInPandas(
-        StateMachine(pairs), "job_id string, state string, accepted long, rejected long",
-        "update", "none")
+def job_sessions(stream: DataFrame, path: str, gap: str = "30 minutes", ts: str = "ts",
+                 key: str = "job_id") -> DataFrame:
+    """Bursts of activity per job, ended by ``gap`` without an event.
 
+    Sessions of micro-batches are stored; those of a job that overlap are one session.
+    """
+    def sessions(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(
+            F.count("*").alias("events")).select(
+            key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
-class FailureStreak(StatefulProcessor):
-    """Failures since the last healthy heartbeat of a worker."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sessions(batch).write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("streak", "failures long")
+    run(stream, write, path)
+    parts = _stored(sessions(stream.sparkSession.createDataFrame([], stream.schema)), f"{path}/table")
+    order = Window.partitionBy(key).orderBy("session_start", "session_end")
+    before = F.max("session_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(before <= F.col("session_start"), F.lit(True)).cast("int")
+    island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return parts.withColumn("opens", opens).withColumn("island", island).groupBy(key, "island").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+        F.sum("events").alias("events")).drop("island")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures = (self.value.get() or (0,))[0]
-        last = None
-        for health in _in_order(rows)["health"]:
-            failures = 0 if health == "healthy" else failures + 1
-            last = health
-        self.value.update((failures,))
-        yield pd.DataFrame({"worker_id": _texts([key[0]]), "health": _texts([last]),
-                            "consecutive_failures": [failures]})
 
-    def close(self) -> None:
-        pass
+def drop_replays(events: DataFrame, key: list[str], late: str = BOUND, ts: str = "ts") -> DataFrame:
+    """Drop repeated deliveries of an event that come within ``late`` of event time.
 
+    Ids are kept that long, so ``late`` should be the longest delay of a delivery.
+    """
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
-def stream_streaks(beats: DataFrame) -> DataFrame:
-    """Failure streaks of a heartbeat stream (worker_id, health, ts, seq)."""
-    use_rocksdb(beats.sparkSession)
-    return beats.select("worker_id", "health", "ts", "seq").groupBy("worker_id") \
-        .transformWithStateInPandas(
-            FailureStreak(), "worker_id string, health string, consecutive_failures long",
-            "update", "none")
 
+# --- jobs that need order --------------------------------------------------------------
 
-class StaleDetector(StatefulProcessor):
-    """Reports every silent period of an in-flight job that reaches the limit.
+class InOrder:
+    """Applies the rows of a stream in the order of event time.
 
-    A period inside the data shows when the job's next event arrives; an open one is reported
-    by a timer once the watermark has passed it. So the result does not depend on how the
-    stream was cut into batches.
+    ``step(state, rows)`` gives the new state and, or ``None``, rows to report; ``state`` is
+    ``None`` at first. A row waits until the newest event time is ``bound`` ahead of it. Rows
+    that come after their turn are in ``late()`` and take no part. ``state()`` and ``reports()``
+    include the rows that still wait, so they describe all that has arrived in time.
     """
 
-    def __init__(self, micros: int, in_flight: tuple[str, ...]):
-        self.micros = micros
-        self.in_flight = in_flight
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value = handle.getValueState("last", "state string, ts_us long")
-
-    def _report(self, key, found) -> pd.DataFrame:
-        return pd.DataFrame({
-            "job_id": _texts(key[0] for _ in found),
-            "previous_state": _texts(state for state, _ in found),
-            "state": _texts("RECOVERY_REQUIRED" for _ in found),
-            "last_event": pd.to_datetime([ts for _, ts in found], unit="us")})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
-        last, found = self.value.get(), []
-        for state, ts in zip(frame["state"], frame["ts"]):
-            now = ts.value // 1000
-            if last and last[0] in self.in_flight and now - last[1] >= self.micros:
-                found.append(last)
-            last = (state, now)
-        self.value.update(last)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if last[0] in self.in_flight:
-            self.handle.registerTimer((last[1] + self.micros) // 1000)
-        yield self._report(key, found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.value.get()
-        if last:
-            yield self._report(key, [last])
-            self.value.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def stream_stale(events: DataFrame, seconds: int = 300, late: str = "0 seconds",
-                 in_flight: tuple[str, ...] = ("RUNNING", "VALIDATING")) -> DataFrame:
-    """Silent in-flight jobs of an event stream (job_id, state, ts, seq)."""
-    use_rocksdb(events.sparkSession)
-    return (events.select("job_id", "state", "ts", "seq").withWatermark("ts", late)
-            .groupBy("job_id").transformWithStateInPandas(
-                StaleDetector(seconds * 1_000_000, in_flight),
-                "job_id string, previous_state string, state string, last_event timestamp",
-                "append", "eventTime"))
-
+    def __init__(self, stream: DataFrame, path: str, step, bound: str = BOUND, ts: str = "ts"):
+        self.stream, self.path, self.step, self.bound, self.ts = stream, path, step, bound, ts
+        self.spark, self.last = stream.sparkSession, -1
+        run(stream, self._write, path)
+
+    def _at(self, name: str, batch_id: int) -> str:
+        return f"{self.path}/{name}/batch_id={batch_id}"
+
+    def _read(self, name: str, batch_id: int) -> DataFrame | None:
+        return self.spark.read.parquet(self._at(name, batch_id)) if batch_id >= 0 else None
+
+    def _write(self, batch: DataFrame, batch_id: int) -> None:
+        before = batch_id - 1
+        mark = None if before < 0 else self._read("mark", before).first()[0]
+        waiting, state = self._read("waiting", before), self._read("state", before)
+        rows = batch.select(*self.stream.columns)
+        late = F.lit(False) if mark is None else F.coalesce(F.col(self.ts) < F.lit(mark), F.lit(False))
+        rows.where(late).write.mode("overwrite").parquet(self._at("late", batch_id))
+        newest = rows.agg((F.max(self.ts) - F.expr(f"INTERVAL {self.bound}")).alias("mark"))
+        newest = newest.select(F.greatest("mark", F.lit(mark).cast("timestamp")).alias("mark"))
+        newest.write.mode("overwrite").parquet(self._at("mark", batch_id))
+        now = self._read("mark", batch_id).first()[0]
+        held = rows.where(~late)
+        held = held if waiting is None else held.unionByName(waiting)
+        due = F.lit(False) if now is None else F.coalesce(F.col(self.ts) < F.lit(now), F.lit(True))
+        held.where(~due).write.mode("overwrite").parquet(self._at("waiting", batch_id))
+        new, report = self.step(state, held.where(due))
+        new.write.mode("overwrite").parquet(self._at("state", batch_id))
+        if report is not None:
+            report.write.mode("overwrite").parquet(self._at("report", batch_id))
+        self.last = batch_id
+
+    def _to_the_end(self) -> tuple[DataFrame, DataFrame | None]:
+        if self.last < 0:
+            return self.step(None, self.spark.createDataFrame([], self.stream.schema))
+        return self.step(self._read("state", self.last), self._read("waiting", self.last))
+
+    def state(self) -> DataFrame:
+        return self._to_the_end()[0]
+
+    def reports(self) -> DataFrame:
+        rest = self._to_the_end()[1]
+        return rest if self.last < 0 else _stored(rest, f"{self.path}/report").drop("batch_id").unionByName(rest)
+
+    def late(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], self.stream.schema)
+        return _stored(empty, f"{self.path}/late").drop("batch_id")
+
+    def newest(self) -> DataFrame:
+        """The newest event time that has arrived, as one row ``now``."""
+        if self.last < 0:
+            return self.spark.sql("SELECT CAST(NULL AS timestamp) AS now")
+        return self._read("mark", self.last).select((F.col("mark") + F.expr(f"INTERVAL {self.bound}")).alias("now"))
+
+
+def stream_states(events: DataFrame, path: str, allowed=None, bound: str = BOUND) -> InOrder:
+    """Job states of an event stream (job_id, state, ts, seq).
+
+    State: ``job_id, state, accepted, rejected``; a step that is not allowed is rejected.
+    """
+    def step(state, rows):
+        return batch_jobs.replay_states(rows, ["ts", "seq"], allowed, start=state), None
+    return InOrder(events.select("job_id", "state", "ts", "seq"), path, step, bound)
 
-# --- running a stream to its end ----------------------------------------------------------
 
-def drain(stream: DataFrame, path: str, mode: str = "append", key: list[str] | None = None,
-          order: str | None = None) -> DataFrame:
-    """Run a stream over the data that is there now and return what it wrote.
+def stream_streaks(beats: DataFrame, path: str, bound: str = BOUND) -> InOrder:
+    """Failures since the last healthy heartbeat (worker_id, health, ts, seq).
 
-    Output goes to Parquet below ``path``, with the batch number. In update mode the newest
-    row per key is the result.
+    State: ``worker_id, health, consecutive_failures``.
     """
-    table, checkpoint = f"{path}/table", f"{path}/checkpoint"
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # A replayed batch overwrites its own folder.
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
-    out = spark.read.schema(schema).parquet(table)
-    if key:
-        rest = [c for c in stream.columns if c not in key]
-        out = out.groupBy(*key).agg(
-            F.max_by(F.struct(*rest), F.col(order or "batch_id")).alias("_r")).select(
-            *key, *[F.col(f"_r.{c}").alias(c) for c in rest])
-        return out
-    return out.drop("batch_id")
+    def step(state, rows):
+        runs = batch_workers.failure_streaks(rows, ["ts", "seq"])
+        new = runs.groupBy("worker_id").agg(
+            F.max_by(F.struct("health", "consecutive_failures"), F.struct("ts", "seq")).alias("last"),
+            F.max(F.coalesce(F.col("health") == "healthy", F.lit(False))).alias("reset"))
+        if state is None:
+            return new.select("worker_id", "last.*"), None
+        old = state.select(F.col("worker_id").alias("_id"), F.col("health").alias("_health"),
+                           F.col("consecutive_failures").alias("_n"))
+        both = new.join(old, F.col("worker_id").eqNullSafe(F.col("_id")), "full_outer")
+        carried = F.when(F.col("reset"), F.lit(0)).otherwise(F.coalesce("_n", F.lit(0)))
+        return both.select(
+            F.coalesce("worker_id", "_id").alias("worker_id"),
+            F.when(F.col("last").isNull(), F.col("_health")).otherwise(F.col("last.health")).alias("health"),
+            F.when(F.col("last").isNull(), F.col("_n")).otherwise(
+                F.col("last.consecutive_failures") + carried).alias("consecutive_failures")), None
+    return InOrder(beats.select("worker_id", "health", "ts", "seq"), path, step, bound)
+
+
+def stream_stale(events: DataFrame, path: str, seconds: int = 300, bound: str = BOUND,
+                 in_flight: tuple[str, ...] = batch_jobs.IN_FLIGHT) -> DataFrame:
+    """Silent periods of in-flight jobs that reach the limit (job_id, state, ts, seq).
+
+    A period ends with the job's next event, or is open and reaches to the newest event time.
+    """
+    fields = ["job_id", "state", "ts", "seq"]
+
+    def silent(state, start, end):
+        long = F.unix_micros(end) - F.unix_micros(start) >= seconds * 1_000_000
+        return state.isin(*in_flight) & long
+
+    def step(state, rows):
+        all_rows = rows.withColumn("held", F.lit(False)) if state is None else \
+            rows.withColumn("held", F.lit(False)).unionByName(state.withColumn("held", F.lit(True)))
+        steps = previous_value(all_rows.withColumn("here", F.struct("state", "ts")), ["job_id"], ["ts", "seq"], "here")
+        ended = steps.where(~F.col("held") & silent(F.col("previous.state"), F.col("previous.ts"), F.col("ts")))
+        report = ended.select("job_id", F.col("previous.state").alias("previous_state"),
+                              F.lit("RECOVERY_REQUIRED").alias("state"), F.col("previous.ts").alias("last_event"))
+        newest = all_rows.groupBy("job_id").agg(F.max(F.struct("ts", "seq", "state")).alias("l"))
+        return newest.select("job_id", "l.state", "l.ts", "l.seq"), report
+
+    job = InOrder(events.select(*fields), path, step, bound)
+    open_ones = job.state().join(job.newest()).where(silent(F.col("state"), F.col("ts"), F.col("now")))
+    return job.reports().unionByName(open_ones.select(
+        "job_id", F.col("state").alias("previous_state"), F.lit("RECOVERY_REQUIRED").alias("state"),
+        F.col("ts").alias("last_event")))

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from evigraph import vocab
@@ -27,42 +30,68 @@ def events(n=60):
             for i in range(n)]
 
 
-def test_state_machine_over_batches_equals_the_batch_form(spark):
-    rows = sorted(events(), key=lambda r: (r[2], r[3]))
-    stream, path = arrivals(spark, rows, EVENT, 3)
-    got = streams.drain(streams.stream_states(stream), scratch_path(spark, "s"), "update", ["job_id"])
+def mixed(rows, seed=1):
+    out = list(rows)
+    random.Random(seed).shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_states_do_not_depend_on_arrival(spark, batches):
+    stream, path = arrivals(spark, mixed(events()), EVENT, batches)
+    job = streams.stream_states(stream, scratch_path(spark, "s"), bound="10 days")
     want = jobs.replay_states(spark.read.schema(EVENT).parquet(path), ["ts", "seq"])
-    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+    assert job.state().exceptAll(want).isEmpty() and job.state().count() == want.count()
+    assert job.late().isEmpty()
+
 
+@pytest.mark.parametrize("bound", ["10 minutes", "10 days"])
+def test_sorted_arrivals_need_no_bound(spark, bound):
+    stream, path = arrivals(spark, sorted(events(), key=lambda r: (r[2], r[3])), EVENT, 5)
+    job = streams.stream_states(stream, scratch_path(spark, "s"), bound=bound)
+    want = jobs.replay_states(spark.read.schema(EVENT).parquet(path), ["ts", "seq"])
+    assert job.state().exceptAll(want).isEmpty() and job.late().isEmpty()
 
-def test_streaks_over_batches_equal_the_batch_form(spark):
+
+def test_late_rows_go_to_the_side_and_are_counted(spark):
+    rows = sorted(events(), key=lambda r: (r[2], r[3]))
+    early, rest = rows[:6], rows[6:]
+    stream, _ = arrivals(spark, rest[-20:] + rest[:-20] + early, EVENT, 3)
+    job = streams.stream_states(stream, scratch_path(spark, "s"), bound="1 minute")
+    late = job.late().count()
+    assert late > 0
+    done = job.state().selectExpr("sum(accepted + rejected)").first()[0]
+    assert done + late == len(rows)
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_streaks_do_not_depend_on_arrival(spark, batches):
     rows = [(f"w{i % 3}", "healthy" if i % 7 == 0 else "timeout", r[2], i)
             for i, r in enumerate(sorted(events(), key=lambda r: (r[2], r[3])))]
     schema = "worker_id string, health string, ts timestamp, seq long"
-    stream, path = arrivals(spark, rows, schema, 3)
-    got = streams.drain(streams.stream_streaks(stream), scratch_path(spark, "s"), "update", ["worker_id"])
+    stream, path = arrivals(spark, mixed(rows), schema, batches)
+    got = streams.stream_streaks(stream, scratch_path(spark, "s"), "10 days").state()
     batch = workers.failure_streaks(spark.read.schema(schema).parquet(path), ["ts", "seq"])
     want = batch.groupBy("worker_id").agg(F.max_by("consecutive_failures", "seq").alias("n"))
     assert {r["worker_id"]: r["consecutive_failures"] for r in got.collect()} == {
         r["worker_id"]: r["n"] for r in want.collect()}
 
 
-def test_stale_periods_do_not_depend_on_batches(spark):
+def test_stale_periods_do_not_depend_on_arrival(spark):
     rows = sorted(events(), key=lambda r: (r[2], r[3]))
     seen = []
-    for batches in (1, 4):
-        stream, _ = arrivals(spark, rows, EVENT, batches)
-        out = streams.drain(streams.stream_stale(stream, 600), scratch_path(spark, "s"))
+    for arrived, batches, bound in ((rows, 1, "10 minutes"), (rows, 4, "10 minutes"), (mixed(rows), 4, "10 days")):
+        stream, _ = arrivals(spark, arrived, EVENT, batches)
+        out = streams.stream_stale(stream, scratch_path(spark, "s"), 600, bound)
         seen.append(sorted((r["job_id"], r["previous_state"], r["last_event"]) for r in out.collect()))
-    last = {r[0]: r for r in rows}
     now = rows[-1][2]
     want = []
-    for job in last:
+    for job in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == job]
         for a, b in zip(mine, mine[1:] + [(job, None, now, 0)]):
             if a[1] in jobs.IN_FLIGHT and (b[2] - a[2]).total_seconds() >= 600:
                 want.append((job, a[1], a[2]))
-    assert seen[0] == seen[1] == sorted(want)
+    assert seen[0] == seen[1] == seen[2] == sorted(want)
 
 
 def test_ingestion_is_replay_safe(spark):
