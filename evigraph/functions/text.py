@@ -6,6 +6,7 @@ import json
 import re
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,17 +103,55 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matching_names(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Sorted distinct names of the (name, needle) pairs whose needle is in ``text``.
+def matching_rules(text: Column, needles: list[str], words: bool = False) -> Column:
+    """Positions of the needles that occur in ``text``, in rising order.
 
-    The pairs form one constant array, so a scan costs no join and no shuffle.
+    Needles match as substrings, with ``words`` only where no letter, digit or ``_`` stands on
+    either side. One automaton over all needles reads each text once, so the cost does not
+    depend on how many there are.
     """
+    places: dict[str, list[int]] = {}
+    for n, needle in enumerate(needles):
+        places.setdefault(needle, []).append(n)
+    empty = places.pop("", [])
+
+    def stands_alone(value: str, end: int, size: int) -> bool:
+        before, behind = value[end - size:end - size + 1], value[end + 1:end + 2]
+        return not (before.isalnum() or before == "_" or behind.isalnum() or behind == "_")
+
+    @F.pandas_udf("array<int>")
+    def find(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for needle, numbers in places.items():
+            machine.add_word(needle, (len(needle), numbers))
+        machine.make_automaton()
+        out = []
+        for value in texts:
+            found = set() if value is None else set(empty)
+            if value and places:
+                for end, (size, numbers) in machine.iter(value):
+                    if not words or stands_alone(" " + value, end + 1, size):
+                        found.update(numbers)
+            out.append(sorted(found))
+        return pd.Series(out, dtype=object)
+
+    return find(text)
+
+
+def matching_names(text: Column, pairs: list[tuple[str, str]], words: bool = False) -> Column:
+    """Sorted distinct names of the (name, needle) pairs whose needle is in ``text``."""
     if not pairs:
         return F.array().cast("array<string>")
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("needle"))
-                      for n, v in pairs])
-    hits = bind(text, lambda t: F.filter(rules, lambda r: F.contains(t, r["needle"])))
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["name"])))
+    names = _constant_list([name for name, _ in pairs], "array<string>")
+    hits = matching_rules(text, [needle for _, needle in pairs], words)
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda n: F.get(names, n))))
+
+
+def _constant_list(values: list, kind: str) -> Column:
+    """One literal that the optimizer folds, instead of one for each value."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def leading_literal(pattern: str) -> str:
@@ -153,7 +192,9 @@ def _constant_map(entries: dict[str, str]) -> Column:
 
 
 def _code_point(digits: Column, base: int) -> Column:
-    n = F.conv(digits, base, 10).cast("long")
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    # more digits than any code point has are out of range whatever they say
+    n = F.when(F.length(plain) <= 8, F.conv(plain, base, 10).cast("long")).otherwise(F.lit(0x110000))
     bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
     wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     windows = _constant_map(_WINDOWS)[n.cast("string")]
@@ -170,16 +211,16 @@ def unescape_html(c: Column) -> Column:
     def decode(part: Column) -> Column:
         named = F.regexp_extract(part, "^&([a-zA-Z][a-zA-Z0-9]*);", 1)
         bare = F.regexp_extract(part, "^&(" + "|".join(_BARE) + ")", 1)
-        dec = F.regexp_extract(part, "^&#([0-9]{1,9});?", 1)
-        hexa = F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]{1,8});?", 1)
+        dec = F.regexp_extract(part, "^&#([0-9]+);?", 1)
+        hexa = F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]+);?", 1)
         rest = F.regexp_replace(part, "^&#?[a-zA-Z0-9]+;?", "")
         value = names[named]
         return (
             F.when(~part.startswith("&"), part)
             .when(dec != "", F.concat(_code_point(dec, 10),
-                                      F.regexp_replace(part, "^&#[0-9]{1,9};?", "")))
+                                      F.regexp_replace(part, "^&#[0-9]+;?", "")))
             .when(hexa != "", F.concat(_code_point(hexa, 16),
-                                       F.regexp_replace(part, "^&#[xX][0-9a-fA-F]{1,8};?", "")))
+                                       F.regexp_replace(part, "^&#[xX][0-9a-fA-F]+;?", "")))
             .when((named != "") & value.isNotNull(), F.concat(value, rest))
             .when(bare != "", F.concat(bare_names[bare], F.substr(part, F.length(bare) + 2)))
             .otherwise(part)

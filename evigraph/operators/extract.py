@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +16,20 @@ _ENTITY = "array<struct<node_id:string,type:string>>"
 _RELATION = "array<struct<source:string,relation:string,target:string>>"
 
 
-def extract_entities(chunks: DataFrame, rules=None, text_col: str = "text") -> DataFrame:
+def extract_entities(chunks: DataFrame, rules=None, text_col: str = "text",
+                     words: bool = False) -> DataFrame:
     """Adds ``entities``: rules (needle, node_id, type) whose needle is in the lower text.
 
-    Rules form one constant array, so extraction is a scan: no join and no shuffle.
+    One automaton reads each text once, so extraction is a scan: no join and no shuffle.
+    Needles match as substrings, or with ``words`` as whole words only.
     """
     rows = rule_rows(vocab.ENTITY_RULES if rules is None else rules,
                      ("needle", "node_id", "type"))
     if not rows:
         return chunks.withColumn("entities", F.array().cast(_ENTITY))
-    table = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(i).alias("node_id"),
-                               F.lit(t).alias("type")) for n, i, t in rows])
-    found = tx.bind(F.lower(F.col(text_col)), lambda t: F.filter(
-        table, lambda r: F.contains(t, r["needle"])))
-    return chunks.withColumn("entities", F.array_distinct(F.transform(
-        found, lambda r: F.struct(r["node_id"].alias("node_id"), r["type"].alias("type")))))
+    table = F.from_json(F.lit(json.dumps([{"node_id": i, "type": t} for _, i, t in rows])), _ENTITY)
+    found = tx.matching_rules(F.lower(F.col(text_col)), [n for n, _, _ in rows], words)
+    return chunks.withColumn("entities", F.array_distinct(F.transform(found, lambda n: F.get(table, n))))
 
 
 def extract_relations(chunks: DataFrame, rules=None) -> DataFrame:

@@ -23,7 +23,8 @@ EMPTY_MAP = "map<string,string>"
 def merge_nodes(writes: DataFrame) -> DataFrame:
     """Last write wins: it replaces the type and the whole property map.
 
-    A node keeps the position of its first write. Blank ids or types are not written.
+    A node keeps the position of its first write. Blank ids or types are
+    not written; ``node_rejects`` lists them.
     """
     rows = writes.select(
         tx.strip("id").alias("id"), tx.strip("type").alias("type"), "properties", "seq"
@@ -38,12 +39,25 @@ def merge_nodes(writes: DataFrame) -> DataFrame:
     )
 
 
+def node_rejects(writes: DataFrame) -> DataFrame:
+    """Node writes that ``merge_nodes`` does not take, with their reason."""
+    reason = F.when(tx.is_blank("id"), F.lit("id is blank")).when(tx.is_blank("type"), F.lit("type is blank"))
+    return writes.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
+
+
+def edge_rejects(writes: DataFrame) -> DataFrame:
+    """Edge writes that ``merge_edges`` does not take, with their reason."""
+    reason = F.coalesce(*[F.when(tx.is_blank(c), F.lit(f"{c} is blank")) for c in EDGE])
+    return writes.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
+
+
 def merge_edges(writes: DataFrame) -> DataFrame:
     """One edge per (source, relation, target).
 
     For every property key the first writer wins; later writers only add keys. The edge keeps
     the position of its first write. Both steps combine before they shuffle, so repeated
-    writes of one edge do not pile up in a task.
+    writes of one edge do not pile up in a task. Blank ends are not written; ``edge_rejects``
+    lists them.
     """
     rows = writes.select(*[tx.strip(c).alias(c) for c in EDGE], "properties", "seq")
     for c in EDGE:
@@ -168,7 +182,9 @@ def edges_in_domain(found: DataFrame, edges: DataFrame, nodes: DataFrame,
     if not domain:
         return found
     ends = nodes.select("id", F.col("properties")["domain"].alias("d")).where("d IS NOT NULL")
-    props = edges.select(*EDGE, F.col("properties")["domain"].alias("own"))
+    # only the edges that were found and their ends are looked up
+    props = edges.join(found.select(*EDGE).distinct(), EDGE, "left_semi").select(
+        *EDGE, F.col("properties")["domain"].alias("own"))
     source = ends.select(F.col("id").alias("source"), F.col("d").alias("sd"))
     target = ends.select(F.col("id").alias("target"), F.col("d").alias("td"))
     own = F.coalesce("own", F.lit(""))

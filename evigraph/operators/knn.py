@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 METRICS = ("l2_squared", "cosine")
 FILTER_FIELDS = (
     "domain", "subdomain", "tool", "version", "visibility", "document_type", "source",
@@ -72,12 +75,36 @@ def _keep_best(q, ids, dist, k):
     return order[np.arange(len(order)) - first < k]
 
 
+def _candidates(rough, vectors, rank, k):
+    """Positions that may be among the k nearest by exact distance, then by id.
+
+    Vectors at about the k-th distance can be many, as corpora have copies. Of equal vectors
+    the k smallest ids are enough.
+    """
+    if rough.shape[1] <= k:
+        return np.nonzero(np.ones_like(rough, dtype=bool))
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1:k]
+    near = rough <= limit + _SLACK * (1.0 + np.abs(limit))
+    crowded = np.flatnonzero(near.sum(axis=1) > 4 * k)
+    if len(crowded):
+        rows = np.ascontiguousarray(vectors)
+        same = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_inverse=True)[1]
+    for q in crowded:
+        at = np.flatnonzero(near[q])
+        order = at[np.lexsort((rank[at], same[at]))]
+        group = same[order]
+        place = np.arange(len(order)) - np.searchsorted(group, group, side="left")
+        near[q, order[place >= k]] = False
+    return np.nonzero(near)
+
+
 def _block_best(queries, vectors, ids, k, metric):
     """(query index, id, distance) of the k nearest of one block, exact in float64."""
     out = []
     if len(vectors) == 0 or len(queries) == 0:
         return (np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0))
     v_norm = (vectors * vectors).sum(axis=1)
+    rank = np.unique(ids, return_inverse=True)[1]
     rows = max(1, _CELLS // len(vectors))
     for start in range(0, len(queries), rows):
         part = queries[start:start + rows]
@@ -89,11 +116,7 @@ def _block_best(queries, vectors, ids, k, metric):
             with np.errstate(divide="ignore", invalid="ignore"):
                 rough = 1.0 - cross / np.sqrt(q_norm[:, None] * v_norm[None, :])
             rough = np.where(np.isnan(rough), np.inf, rough)
-        if len(vectors) > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1:k]
-            qi, vi = np.nonzero(rough <= limit + _SLACK * (1.0 + np.abs(limit)))
-        else:
-            qi, vi = np.nonzero(np.ones_like(rough, dtype=bool))
+        qi, vi = _candidates(rough, vectors, rank, k)
         a, b = part[qi], vectors[vi]
         if metric == "l2_squared":
             exact = ((a - b) ** 2).sum(axis=1)
@@ -143,18 +166,18 @@ def _cell_best(k, metric):
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2_squared",
         approx: bool = False, max_query_bytes: int = 64 << 20, block_rows: int = 20_000,
-        tables: int = 8, bits: int | None = None) -> DataFrame:
+        tables: int = 8, bits: int = 6) -> DataFrame:
     """The k nearest vectors of every query: ``(query_id, id, distance, rank)``.
 
     ``queries(query_id, embedding)`` and ``vectors(id, embedding)``; ties go to the smaller id.
 
-    * A query batch of at most ``max_query_bytes`` is shipped to every task and the vector
-      table is read once, without a shuffle.
-    * A larger batch is laid out on a grid of query blocks by vector blocks. Every cell holds
-      at most about ``block_rows`` rows of each side, and the result is still exact.
+    * Query batches of at most ``max_query_bytes`` are shipped to every task, and the vector
+      table is read once for each, without a shuffle of vectors; larger batches are cut into
+      such blocks. The result is exact.
     * ``approx=True`` compares only vectors that share one of ``tables`` sign hashes of
-      ``bits`` bits with the query (by default enough bits for a tenth of a block per bucket).
-      A crowded bucket is split over several cells, never truncated.
+      ``bits`` bits with the query. More bits make it faster and find less; both are fixed
+      parameters, so what is found does not depend on the size of the table. A crowded bucket
+      is split over several cells of ``block_rows``, never truncated.
     """
     if k <= 0:
         raise ValueError("k must be greater than zero")
@@ -165,11 +188,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2_sq
     if approx:
         found = _hashed(q, v, k, metric, block_rows, tables, bits)
     else:
-        count, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
-        if count * (width or 0) * 8 <= max_query_bytes:
-            found = _broadcast_scan(q, v, k, metric)
-        else:
-            found = _grid(q, v, k, metric, count, block_rows)
+        found = _in_blocks(q, v, k, metric, max_query_bytes)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (found.withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k))
@@ -199,15 +218,21 @@ def _pair_up(q, v, cell, k, metric) -> DataFrame:
             .applyInPandas(_cell_best(k, metric), _result_schema(q, v)))
 
 
-def _grid(q, v, k, metric, q_count, block_rows) -> DataFrame:
-    v_count = v.count()
-    q_parts = max(1, math.ceil(q_count / block_rows))
-    v_parts = max(1, math.ceil(v_count / block_rows))
-    q_cells = (q.withColumn("qb", _spread("query_id", q_parts))
-               .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1)))))
-    v_cells = (v.withColumn("vb", _spread("id", v_parts))
-               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))))
-    return _pair_up(q_cells, v_cells, ["qb", "vb"], k, metric)
+def _in_blocks(q, v, k, metric, max_query_bytes) -> DataFrame:
+    """One scan of the vectors per block of queries; only k rows per query and task move on."""
+    size = F.size("embedding") * 8 + F.octet_length(F.col("query_id").cast("string")) + 64
+    total = q.agg(F.sum(size.cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(1.25 * total / max(1, max_query_bytes)) if total > max_query_bytes else 1)
+    if blocks == 1:
+        return _broadcast_scan(q, v, k, metric)
+    parts = [cut_lineage(_broadcast_scan(q.where(_spread("query_id", blocks) == b), v, k, metric), "nearest")
+             for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def hash_planes(tables: int, bits: int, width: int) -> np.ndarray:
+    """Normal vectors of the hash planes, ``bits`` rows for each table; the same in every run."""
+    return np.random.default_rng(7).standard_normal((tables * bits, width))
 
 
 def _with_codes(df: DataFrame, planes: np.ndarray, tables: int, bits: int) -> DataFrame:
@@ -234,9 +259,7 @@ def _hashed(q, v, k, metric, block_rows, tables, bits) -> DataFrame:
     and is repeated for every query part, and the other way round.
     """
     width = q.agg(F.max(F.size("embedding"))).first()[0] or 0
-    if bits is None:
-        bits = max(1, min(40, round(math.log2(max(1.0, 10.0 * v.count() / block_rows)))))
-    planes = np.random.default_rng(7).standard_normal((tables * bits, width))
+    planes = hash_planes(tables, bits, width)
     q_rows = _with_codes(q, planes, tables, bits)
     v_rows = _with_codes(v, planes, tables, bits)
     key = ["tbl", "code"]

@@ -13,18 +13,32 @@ MODES = ("auto", "vector", "graph")
 GROUPS = ("workflow", "relationship", "boundary", "direct")
 # Unicode word boundaries, and '.' that stops at a newline only.
 _FLAGS = "(?Ud)"
+FROM_TO = r"\bfrom\b.+\bto\b"
 
 
-def match_entities(questions: DataFrame, aliases) -> DataFrame:
+def _from_to(lowered):
+    """``FROM_TO`` in linear time: some line has its first "from" before its last "to"."""
+    word = _FLAGS + r"\bfrom\b"
+
+    def hit(line):
+        rest = F.regexp_replace(line, r"(?Uds)^.*?\bfrom\b", "")
+        return line.rlike(word) & rest.rlike(_FLAGS + r"^.+\bto\b")
+
+    return F.contains(lowered, F.lit("from")) & F.contains(lowered, F.lit("to")) & F.exists(
+        F.split(lowered, "\n"), hit)
+
+
+def match_entities(questions: DataFrame, aliases, words: bool = False) -> DataFrame:
     """Adds ``entity_nodes``: sorted entities with an alias inside the lower-cased question.
 
-    Aliases match as substrings, not as words.
+    Aliases match as substrings, or with ``words`` as whole words only.
     """
     pairs = rule_rows(aliases, ("entity", "alias"))
-    return questions.withColumn("entity_nodes", tx.matching_names(F.lower("question"), pairs))
+    return questions.withColumn("entity_nodes", tx.matching_names(F.lower("question"), pairs, words))
 
 
-def route(questions: DataFrame, aliases=None, patterns=None, mode: str = "auto") -> DataFrame:
+def route(questions: DataFrame, aliases=None, patterns=None, mode: str = "auto",
+          words: bool = False) -> DataFrame:
     """Adds the routing decision of every question.
 
     ``patterns`` are (group, regex) rows with groups workflow, relationship, boundary and
@@ -34,7 +48,7 @@ def route(questions: DataFrame, aliases=None, patterns=None, mode: str = "auto")
         raise ValueError(f"mode must be one of {MODES}")
     aliases = vocab.ALIASES if aliases is None else aliases
     rows = rule_rows(vocab.ROUTE_PATTERNS if patterns is None else patterns, ("group", "pattern"))
-    df = match_entities(questions, aliases)
+    df = match_entities(questions, aliases, words)
     blank = tx.is_blank("question")
     df = df.withColumn("requested_mode", F.lit(mode)).withColumn(
         "routing_error", F.when(blank, F.lit("question is blank")))
@@ -50,6 +64,9 @@ def route(questions: DataFrame, aliases=None, patterns=None, mode: str = "auto")
         found = F.lit(False)
         for g, pattern in rows:
             if g == group:
+                if pattern == FROM_TO:
+                    found = found | _from_to(lowered)
+                    continue
                 start = tx.leading_literal(pattern)
                 one = lowered.rlike(_FLAGS + pattern)
                 found = found | (F.contains(lowered, F.lit(start)) & one if start else one)

@@ -11,19 +11,26 @@ from ..session import rule_rows
 
 
 def scan_patterns(df: DataFrame, text_col: str = "text", rules=None,
-                  max_bytes: int = vocab.MAX_SCAN_BYTES) -> DataFrame:
+                  flag_over: int | None = None) -> DataFrame:
     """Adds ``matched_rules``: names of the patterns found in the text, in rule order.
 
-    Texts that are too large or contain NUL are not searched: ``skipped`` is true for them.
+    Every text is searched to its end; a null text has no matches. Rules are rows
+    ``(name, pattern)`` or ``(name, pattern, guard)``: a guard is a cheap pattern that each
+    match contains, and keeps the costly one away from most texts. With ``flag_over`` a column
+    ``oversized`` marks texts of more bytes, which are searched all the same.
     """
-    rows = rule_rows(vocab.SECRET_PATTERNS if rules is None else rules, ("name", "pattern"))
-    text = F.col(text_col)
-    skipped = F.coalesce(
-        (F.octet_length(text) > max_bytes) | F.contains(text, F.lit("\x00")), F.lit(True))
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in rows])
-                            if rows else F.array().cast("array<string>"))
-    return df.withColumn("skipped", skipped).withColumn(
-        "matched_rules", F.when(~skipped, found))
+    rows = [(*r, None)[:3] for r in vocab.SECRET_PATTERNS] if rules is None else \
+        rule_rows(rules, ("name", "pattern")) if isinstance(rules, DataFrame) else list(rules)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def found(pattern: str, guard: str | None = None):
+        return text.rlike(guard) & text.rlike(pattern) if guard else text.rlike(pattern)
+
+    names = [F.when(found(*rest), F.lit(name)) for name, *rest in rows]
+    out = df.withColumn("matched_rules", F.array_compact(F.array(*names)) if names
+                        else F.array().cast("array<string>"))
+    return out if flag_over is None else out.withColumn(
+        "oversized", F.coalesce(F.octet_length(text_col) > flag_over, F.lit(False)))
 
 
 def violations(df: DataFrame, limits, prefix: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as tx
+from ..session import cut_lineage
 from .jobs import latest
 from .segments import running_streak
 
@@ -77,19 +78,32 @@ def covering_sets(needed: DataFrame, offered: DataFrame) -> DataFrame:
     some = rarest.join(singles, "cap").where(
         F.size(F.array_except("needed", "offered")) == 0).select("needed", "offered")
     # The empty requirement is one row at most, and it matches every offered set.
-    empty = needed.where(F.size("needed") == 0).select("needed", F.lit(1).alias("_one"))
-    everyone = empty.join(offered.withColumn("_one", F.lit(1)), "_one").select(
-        "needed", "offered")
-    return some.unionAll(everyone)
+    if needed.where(F.size("needed") == 0).isEmpty():
+        return some
+    return some.unionAll(offered.select(F.array().cast("array<string>").alias("needed"), "offered"))
 
 
 def match_sets(requests: DataFrame, offers: DataFrame) -> DataFrame:
     """Workers that have every required capability, per distinct requirement."""
-    sets = _offer_sets(offers)
-    pairs = covering_sets(_needed_sets(requests), sets.select("offered").distinct())
+    sets = cut_lineage(_offer_sets(offers), "offers")
+    pairs = covering_sets(cut_lineage(_needed_sets(requests), "needs"), sets.select("offered").distinct())
     return pairs.join(sets, "offered").select("needed", "worker_id")
 
 
+def match_counts(requests: DataFrame, offers: DataFrame, *measures) -> DataFrame:
+    """Per distinct requirement how many workers fit, and more aggregates over partial ones.
+
+    Workers are counted per offered set before sets are compared, so no row is made for a pair
+    of a requirement and a worker. ``measures`` are ``(name, aggregate per set, aggregate)``.
+    """
+    sets = _offer_sets(offers).groupBy("offered").agg(
+        F.count("*").alias("workers"), *[inner.alias(name) for name, inner, _ in measures])
+    sets = cut_lineage(sets, "offers")
+    pairs = covering_sets(cut_lineage(_needed_sets(requests), "needs"), sets.select("offered"))
+    return pairs.join(sets, "offered").groupBy("needed").agg(
+        F.sum("workers").alias("workers"), *[outer.alias(name) for name, _, outer in measures])
+
+
 def best_candidate(requests: DataFrame, offers: DataFrame, health: DataFrame,
                    allow_unknown: bool = False) -> DataFrame:
     """The worker chosen for every distinct requirement; NULL when none is eligible.
@@ -109,7 +123,8 @@ def best_candidate(requests: DataFrame, offers: DataFrame, health: DataFrame,
             health.select("worker_id", "latency_seconds", status.alias("_status"))
             .where(F.col("_status").isNotNull()), "worker_id")
         .groupBy("offered").agg(F.min(order).alias("best")))
-    needed = _needed_sets(requests)
+    best = cut_lineage(best, "offers")
+    needed = cut_lineage(_needed_sets(requests), "needs")
     chosen = (covering_sets(needed, best.select("offered")).join(best, "offered")
               .groupBy("needed").agg(F.min("best").alias("best")))
     return needed.join(chosen, "needed", "left").select("needed", "best.worker_id")

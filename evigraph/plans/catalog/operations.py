@@ -492,10 +492,10 @@ _SETS = f"""offers AS (SELECT o_custkey AS worker_id, list_sort(list_distinct(li
     WITH {_SETS} SELECT array_to_string(needed, ' ') AS needed, count(*) AS workers,
         min(worker_id) AS first_worker, sum(worker_id)::BIGINT AS ids FROM fits GROUP BY 1""")
 def capability_matches(spark, root):
-    out = workers.match_sets(_needs(spark, root), _offers(spark, root))
-    return out.groupBy(F.array_join("needed", " ").alias("needed")).agg(
-        F.count("*").alias("workers"), F.min("worker_id").alias("first_worker"),
-        F.sum("worker_id").alias("ids"))
+    out = workers.match_counts(
+        _needs(spark, root), _offers(spark, root),
+        ("first_worker", F.min("worker_id"), F.min("first_worker")), ("ids", F.sum("worker_id"), F.sum("ids")))
+    return out.withColumn("needed", F.array_join("needed", " "))
 
 
 def _best_sql(unknown):

@@ -103,13 +103,43 @@ def nearest_all(spark, root):
 
 @query("nearest_grid", "J1 W1", _KNN_ALL)
 def nearest_grid(spark, root):
-    """The same search laid out on the grid that large query batches use."""
-    return _all_to_all(spark, root, max_query_bytes=0, block_rows=300)
+    """The same search in the blocks of queries that large batches are cut into."""
+    return _all_to_all(spark, root, max_query_bytes=100_000)
+
+
+TABLES, BITS, WIDTH = 8, 6, 64
+_PLANES = ", ".join(f"({n // BITS}, {n % BITS}, [{', '.join(repr(float(x)) for x in row)}])"
+                    for n, row in enumerate(knn.hash_planes(TABLES, BITS, WIDTH)))
+_HASHED = f"""
+    planes(tbl, bit, p) AS (VALUES {_PLANES}),
+    codes AS (SELECT vec_id, tbl, sum(CASE WHEN {s.dot('embedding', 'p')} >= 0 THEN 1 << bit ELSE 0 END) AS code
+        FROM embeddings, planes GROUP BY 1, 2),
+    pairs AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS id FROM codes a JOIN codes b USING (tbl, code)),
+    near AS (SELECT query_id, id, {s.l2('a.embedding', 'b.embedding')} AS distance FROM pairs
+        JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id),
+    hashed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near)"""
+
+
+@query("nearest_hashed", "J1 (approximate)", f"""
+    WITH {_HASHED} SELECT query_id, id, round(distance, 5) AS distance, rank::INTEGER AS rank
+    FROM hashed WHERE rank <= 5""")
+def nearest_hashed(spark, root):
+    """The planes are constants of the operator, so SQL finds the same rows."""
+    return _all_to_all(spark, root, approx=True, block_rows=2000, tables=TABLES, bits=BITS)
 
 
-@query("nearest_hashed", "J1 (approximate)")
-def nearest_hashed(spark, root):
-    return _all_to_all(spark, root, approx=True, block_rows=2000)
+@query("nearest_hashed_recall", "J1 (approximate)", f"""
+    WITH {_HASHED}, e AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+        {s.l2('a.embedding', 'b.embedding')} AS distance FROM embeddings a, embeddings b),
+    exact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM e)
+    SELECT count(*) AS wanted, count(h.id) AS found FROM exact LEFT JOIN (SELECT * FROM hashed WHERE rank <= 5) h
+    USING (query_id, id) WHERE exact.rank <= 5""")
+def nearest_hashed_recall(spark, root):
+    """How many of the exact five nearest the hashed search finds."""
+    exact = nearest_all(spark, root).select("query_id", "id")
+    found = nearest_hashed(spark, root).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(
+        F.count("*").alias("wanted"), F.count("hit").alias("found"))
 
 
 @query("nearest_cosine", "J1 J2 W1", f"""

@@ -412,7 +412,7 @@ def enrich_report(spark, root):
 @query("text_functions", "H1 H2 H3 H4 H10", f"""
     SELECT doc_id, md5({s.strip('text')}) AS stripped, md5({s.norm('text')}) AS normalized,
         len({s.tokens('text')}) AS important,
-        array_to_string(list_sort({s.tokens('text')})[1:5], ' ') AS first_tokens,
+        md5(array_to_string(list_sort({s.tokens('text')}), ' ')) AS all_tokens,
         'a_' || source || '.tar' AS stem, source || '.tar.GZ' AS name, '.gz' AS ext,
         replace(replace(lower(lang || ' A-b'), '-', '_'), ' ', '_') AS key FROM documents""")
 def text_functions(spark, root):
@@ -422,8 +422,7 @@ def text_functions(spark, root):
         "doc_id", F.md5(tx.strip("text")).alias("stripped"),
         F.md5(tx.normalize("text")).alias("normalized"),
         F.size(tx.important_tokens("text")).alias("important"),
-        F.array_join(F.slice(F.array_sort(tx.important_tokens("text")), 1, 5), " ")
-        .alias("first_tokens"),
+        F.md5(F.array_join(F.array_sort(tx.important_tokens("text")), " ")).alias("all_tokens"),
         tx.source_stem(path).alias("stem"), tx.file_name(path).alias("name"),
         tx.extension(path).alias("ext"),
         tx.name_key(F.concat("lang", F.lit(" A-b "))).alias("key"))
@@ -439,28 +438,28 @@ PATTERNS = [
 ]
 
 
-@query("pattern_scan", "P13", "SELECT doc_id, strlen(text) > 20000 AS skipped, "
-       "CASE WHEN strlen(text) <= 20000 THEN array_to_string(list_filter(["
-       + ", ".join(f"CASE WHEN regexp_matches(text, {s.quoted(p)}) THEN '{n}' END"
-                   for n, p in PATTERNS)
-       + "], lambda x: x IS NOT NULL), ' ') END AS matched_rules FROM documents")
+#: Cheap patterns that every match of the costly ones contains.
+GUARDS = {"credential": r"[:=][ \t\n]*['\"]", "email": "@", "ipv4": r"[0-9]\.[0-9]"}
+
+
+def _scan_sql(table, key, column, patterns):
+    found = ", ".join(f"CASE WHEN regexp_matches({column}, {s.quoted(p)}) THEN '{n}' END" for n, p in patterns)
+    return (f"SELECT {key}, array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ' ') "
+            f"AS matched_rules FROM {table}")
+
+
+@query("pattern_scan", "P13", _scan_sql("documents", "doc_id", "text", PATTERNS))
 def pattern_scan(spark, root):
-    out = rules.scan_patterns(read_table(spark, root, "documents"), rules=PATTERNS,
-                              max_bytes=20_000)
-    return out.select("doc_id", "skipped", F.array_join("matched_rules", " ")
-                      .alias("matched_rules"))
+    out = rules.scan_patterns(read_table(spark, root, "documents"),
+                              rules=[(n, p, GUARDS.get(n)) for n, p in PATTERNS])
+    return out.select("doc_id", F.array_join("matched_rules", " ").alias("matched_rules"))
 
 
-@query("secret_scan_pages", "P13", "SELECT page_id, strlen(html) > 2000000 AS skipped, "
-       "array_to_string(list_filter(["
-       + ", ".join(f"CASE WHEN regexp_matches(html, {s.quoted(p)}) THEN '{n}' END"
-                   for n, p in vocab.SECRET_PATTERNS)
-       + "], lambda x: x IS NOT NULL), ' ') AS matched_rules FROM pages")
+@query("secret_scan_pages", "P13", _scan_sql("pages", "page_id", "html", vocab.SECRET_PATTERNS))
 def secret_scan_pages(spark, root):
     """The default secret rules over all raw pages."""
     out = rules.scan_patterns(read_table(spark, root, "pages"), "html")
-    return out.select("page_id", "skipped", F.array_join("matched_rules", " ")
-                      .alias("matched_rules"))
+    return out.select("page_id", F.array_join("matched_rules", " ").alias("matched_rules"))
 
 
 LIMITS = [("l_quantity", 45, "quantity_gt_45"), ("l_extendedprice", 80000, "price_gt_80000"),

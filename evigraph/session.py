@@ -94,16 +94,12 @@ def drop_scratch(df: DataFrame) -> None:
             store[0].delete(store[1], True)
 
 
-def rule_rows(rules, columns: tuple[str, ...], limit: int = 20_000) -> list[tuple]:
+def rule_rows(rules, columns: tuple[str, ...]) -> list[tuple]:
     """Rows of a rule table (a DataFrame or a list of tuples) on the driver.
 
-    Rule tables are parameters and are compiled into column expressions. A table that has
-    grown past ``limit`` is data, not a parameter, and is refused rather than cut short.
+    Rule tables are parameters of a job: they are written into its plan or sent to its tasks
+    once, and are as large as a plan or a task can hold, not as large as the data.
     """
     if isinstance(rules, DataFrame):
-        rows = [tuple(r) for r in rules.select(*columns).limit(limit + 1).collect()]
-    else:
-        rows = [tuple(r) for r in rules]
-    if len(rows) > limit:
-        raise ValueError(f"rule table has more than {limit} rows")
-    return rows
+        return [tuple(r) for r in rules.select(*columns).collect()]
+    return [tuple(r) for r in rules]

@@ -3,7 +3,7 @@ from collections import deque
 
 import pytest
 
-from evigraph.operators import extract, graph
+from evigraph.operators import extract, graph, rerank
 
 NODE = "id string, type string, properties map<string,string>, seq long"
 EDGE = "source string, relation string, target string, properties map<string,string>, seq long"
@@ -183,3 +183,21 @@ def test_seeds_come_from_metadata_not_from_prose(spark):
     from evigraph import vocab
     got = graph.seed_nodes(asked, hits, n, vocab.ALIASES, vocab.TOOL_NODES, vocab.SOURCE_NODES, "d")
     assert sorted(r["seed"] for r in got.collect()) == ["gromacs", "rdkit", "rmsd"]
+
+
+def test_blank_writes_are_rejects(spark):
+    nodes = spark.createDataFrame([("a", "t", None, 1), (" ", "t", None, 2), ("b", None, None, 3)],
+                                  "id string, type string, properties map<string,string>, seq long")
+    assert {(r["seq"], r["reject_reason"]) for r in graph.node_rejects(nodes).collect()} == {
+        (2, "id is blank"), (3, "type is blank")}
+    edges = spark.createDataFrame([("a", "r", "b", None, 1), ("a", "", "b", None, 2), (None, "r", "b", None, 3)],
+                                  "source string, relation string, target string, properties map<string,string>, seq long")
+    assert {(r["seq"], r["reject_reason"]) for r in graph.edge_rejects(edges).collect()} == {
+        (2, "relation is blank"), (3, "source is blank")}
+    assert graph.merge_nodes(nodes).count() + graph.node_rejects(nodes).count() == 3
+
+
+def test_hub_context_is_rows(spark):
+    edges = spark.range(3000).selectExpr("'q' query_id", "'hub' source", "'r' relation", "concat('t', id) target", "1 depth")
+    lines = rerank.context_edges(edges)
+    assert lines.count() == 3000 and lines.first()["line"].endswith("(depth 1)")

@@ -85,9 +85,14 @@ def test_rejects_and_outcome(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([("password = 'abcdef'\n",), ("a\x00b",), (None,), ("clean",)], "text string")
-    got = [(r["skipped"], r["matched_rules"]) for r in rules.scan_patterns(df).collect()]
-    assert got == [(False, ["credential_assignment"]), (True, None), (True, None), (False, [])]
+    long = "x" * 3_000_000 + " password = 'abcdef'"
+    df = spark.createDataFrame([("password = 'abcdef'\n",), ("a\x00b secret='12345'",), (None,), ("clean",), (long,)],
+                               "text string")
+    got = [(r["oversized"], r["matched_rules"]) for r in rules.scan_patterns(df, flag_over=1000).collect()]
+    hit = ["credential_assignment"]
+    assert got == [(False, hit), (False, hit), (False, []), (False, []), (True, hit)]
+    guarded = rules.scan_patterns(df, rules=[("p", r"password\s*=", "="), ("x", "x+")]).collect()
+    assert [r["matched_rules"] for r in guarded] == [["p"], [], [], [], ["p", "x"]]
     logs = spark.createDataFrame([("mode |\n   1   -7.5  0\n 2 -8.25\nx 3 -9\n",), ("",)], "text string")
     got = [(r["scores"], r["best_score"]) for r in rules.best_score(logs).collect()]
     assert got == [([-7.5, -8.25], -8.25), ([], None)]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,13 +42,25 @@ def ids(df):
 
 
 @pytest.mark.parametrize("metric", knn.METRICS)
-@pytest.mark.parametrize("options", [{}, {"max_query_bytes": 0, "block_rows": 37}])
+@pytest.mark.parametrize("options", [{}, {"max_query_bytes": 900}])
 def test_exact_search_equals_brute_force(spark, metric, options):
     queries, vectors, w, v = tables(spark)
     got = ids(knn.knn(queries, vectors.repartition(5), 7, metric, **options))
     assert got == brute(w, v, 7, metric)
 
 
+def test_equal_vectors_are_not_gathered():
+    """Ten thousand copies at the k-th distance cost k candidates a query, not all of them."""
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.standard_normal((1, 16)), 10_000, axis=0)
+    names = np.array([f"v{i:05d}" for i in range(10_000)])[::-1].copy()
+    tracemalloc.start()
+    q, found, dist = knn._block_best(rng.standard_normal((100, 16)), vectors, names, 5, "l2_squared")
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(q) == 500 and set(found) == {f"v{i:05d}" for i in range(5)}
+
+
 def test_fewer_vectors_than_k_and_no_match(spark):
     queries, vectors, *_ = tables(spark)
     few = vectors.where("id < 'v003'")

@@ -1,5 +1,7 @@
 import pytest
 
+import re
+
 from evigraph.operators import route
 
 
@@ -45,3 +47,22 @@ def test_override_blank_and_bad_mode(spark):
     assert blank["selected_mode"] is None and blank["routing_error"]
     with pytest.raises(ValueError):
         decide(spark, "x", mode="hybrid")
+
+
+def test_many_aliases_and_whole_words(spark):
+    """Fifty thousand aliases are one pass over the texts; words are an option."""
+    rows = [(f"e{k % 999}", f"name{k:05d}") for k in range(50_000)] + [("roe", "roe"), ("any", "")]
+    aliases = spark.createDataFrame(rows, "entity string, alias string")
+    asked = spark.createDataFrame([(1, "Heroes of NAME00007 and name49999x"), (2, None), (3, "the roe.")],
+                                  "query_id int, question string")
+    got = {r["query_id"]: r["entity_nodes"] for r in route.match_entities(asked, aliases).collect()}
+    assert got == {1: sorted({"e7", f"e{49999 % 999}", "roe", "any"}), 2: [] if got[2] == [] else None, 3: ["any", "roe"]}
+    words = {r["query_id"]: r["entity_nodes"] for r in route.match_entities(asked, aliases, words=True).collect()}
+    assert words[1] == sorted({"e7", "any"}) and words[3] == ["any", "roe"]
+
+
+def test_from_to_in_one_line(spark):
+    texts = ["from a to b", "to b from a", "from a\nto b", "x from to", "from  to", "fromage to b", "from a\nx from b to"]
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "query_id int, question string")
+    got = {r["query_id"]: "workflow_language" in r["signals"] for r in route.route(asked, [], [("workflow", route.FROM_TO)]).collect()}
+    assert got == {k: bool(re.search(r"\bfrom\b.+\bto\b", t)) for k, t in enumerate(texts)}

@@ -93,7 +93,7 @@ def test_html_text(spark, page):
     assert got["sufficient"] == (len(got["text"]) >= 5)
 
 
-@pytest.mark.parametrize("value", ["&lt;&gt;&amp;amp;", "&#0;&#xD800;&#1114112;", "&AMP &hellip;x"])
+@pytest.mark.parametrize("value", ["&lt;&gt;&amp;amp;", "&#0;&#xD800;&#1114112;", "x&#0000000065;y&#x00000000041;", "&#99999999999999999999;&#xfffffffffffffffffff;z", "&AMP &hellip;x"])
 def test_unescape(spark, value):
     assert one(spark, value, tx.unescape_html) == html_lib.unescape(value)
 
