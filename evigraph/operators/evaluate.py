@@ -36,12 +36,13 @@ def score_answers(answers: DataFrame, claims: DataFrame, on: str = "question_id"
     ``claims(question_id, claims array<struct<claim_id, term_groups array<array<string>>>>)``.
     A group passes when any alternative occurs in the answer, a claim when all groups pass;
     both sides are reduced to lower-case ASCII tokens first. Scoring stays inside the row.
+    Answers of questions without claims keep their row with null scores.
     """
     ready = claims.select(on, F.transform("claims", lambda c: F.struct(
         c["claim_id"].alias("claim_id"),
         F.transform(c["term_groups"], lambda g: F.transform(g, tx.normalize)).alias("groups"),
     )).alias("_claims"))
-    df = answers.join(ready, on)
+    df = answers.join(ready, on, "left")
     df = df.withColumn("_marks", tx.bind(
         tx.normalize(F.col("answer")), lambda text: F.transform("_claims", lambda c: F.struct(
             c["claim_id"].alias("claim_id"),

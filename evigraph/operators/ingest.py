@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -158,17 +159,17 @@ def indexing_rate(log: DataFrame, batch: int = 16) -> DataFrame:
 def enrich(df: DataFrame, updates, fields: tuple[str, ...]) -> DataFrame:
     """Set ``fields`` for rows of the listed sources; adds ``needs_update``.
 
-    ``updates`` rows are (source, expected_count, value of each field). They are parameters,
-    so they become constants in the scan: nothing is joined and no source can be a hot key.
+    ``updates`` rows are (source, expected_count, value of each field), a source at most once.
+    They are parameters and become one constant map in the scan: nothing is joined and no
+    source can be a hot key.
     """
     rows = rule_rows(updates, ("source", "expected_count", *fields))
-    hit = F.col("source").isin(*[r[0] for r in rows])
-    new = {}
-    for n, field in enumerate(fields):
-        column = F.lit(None).cast("string")
-        for r in rows:
-            column = F.when(F.col("source") == r[0], F.lit(r[n + 2])).otherwise(column)
-        new[field] = F.when(hit, column).otherwise(F.col(field))
+    record = ", ".join(f"`{n}`: string" for n in range(len(fields)))
+    known = F.from_json(F.lit(json.dumps({r[0]: {str(n): r[n + 2] for n in range(len(fields))} for r in rows})),
+                        f"map<string, struct<{record}>>")
+    hit = F.coalesce(F.map_contains_key(known, F.col("source")), F.lit(False))
+    new = {field: F.when(hit, known[F.col("source")][str(n)]).otherwise(F.col(field))
+           for n, field in enumerate(fields)}
     changed = reduce(lambda a, b: a | b, [~F.col(f).eqNullSafe(new[f]) for f in fields])
     return df.withColumn("needs_update", changed).withColumns(new)
 

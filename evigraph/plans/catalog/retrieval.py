@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import vectors as vx
 from ...operators import evaluate, knn, rerank
 from ...operators.chunking import paged_chunks
-from ...operators.embed import embed
+from ...operators.embed import answer, embed
 from ...session import read_table
 from .. import evidence
 from . import query
@@ -335,19 +335,63 @@ _BODY = f"""body AS (SELECT doc_id, {s.strip('text')} AS text FROM documents),
         {s.strip('substring(text, number * 1000 + 1, 1200)')} AS chunk_text FROM spans)"""
 
 
-@query("embed_chunks", "T14 U1", f"""
-    WITH {_BODY} SELECT 'doc' || doc_id || '.txt::p1::c' || row_number() OVER (
-        PARTITION BY doc_id ORDER BY number) AS chunk_id, length(chunk_text) AS character_count,
-        256 AS dim, CASE WHEN regexp_matches(chunk_text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]') THEN 1.0
-        ELSE 0.0 END::DOUBLE AS length FROM chunks WHERE chunk_text <> ''""")
-def embed_chunks(spark, root):
-    """Hashed embeddings of all document chunks."""
-    return embed(document_chunks(spark, root), "chunk_text").select(
-        "chunk_id", "character_count", F.size("embedding").alias("dim"),
-        F.round(vx.norm(F.col("embedding")), 4).alias("length"))
+def _vectors_sql(name, rows, key, text):
+    """Scaled word counts in 256 buckets, one row per bucket that is not empty."""
+    digit = lambda n: f"(strpos('0123456789abcdef', substr(md5(token), {n}, 1)) - 1)"
+    return f"""{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS token
+            FROM {rows}),
+        {name}_n AS (SELECT {key}, {digit(7)} * 16 + {digit(8)} AS bucket, count(*) AS n FROM {name}_t GROUP BY 1, 2),
+        {name} AS (SELECT {key}, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS w FROM {name}_n)"""
+
 
+_CHUNKS = f"""{_BODY}, pieces AS (SELECT 'doc' || doc_id || '.txt::p1::c' || row_number() OVER (
+        PARTITION BY doc_id ORDER BY number) AS chunk_id, chunk_text FROM chunks WHERE chunk_text <> '')"""
 
-@query("search_embedded_chunks", "T14 J1 W1 P2 W2")
+
+@query("embed_chunks", "T14", f"""
+    WITH {_CHUNKS}, {_vectors_sql('v', 'pieces', 'chunk_id', 'chunk_text')}
+    SELECT p.chunk_id, length(p.chunk_text) AS character_count, 256 AS dim, count(v.bucket) AS filled,
+        coalesce(round(sum(w), 3), 0) AS total, coalesce(round(sum(w * bucket), 2), 0) AS moment
+    FROM pieces p LEFT JOIN v USING (chunk_id) GROUP BY ALL""")
+def embed_chunks(spark, root):
+    """Hashed embeddings of all document chunks; sums over their entries stand for them."""
+    out = embed(document_chunks(spark, root), "chunk_text").withColumn(
+        "e", F.transform("embedding", lambda x: x.cast("double")))
+    add = lambda a, x: a + x
+    return out.select(
+        "chunk_id", "character_count", F.size("e").alias("dim"),
+        F.size(F.filter("e", lambda x: x > 0)).cast("long").alias("filled"),
+        F.round(F.aggregate("e", F.lit(0.0), add), 3).alias("total"),
+        F.round(F.aggregate(F.transform("e", lambda x, i: x * i), F.lit(0.0), add), 2).alias("moment"))
+
+
+@query("embed_with_own_model", "U1", """
+    SELECT doc_id, length(text)::DOUBLE AS letters, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks
+    FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10)) <> ''""")
+def embed_with_own_model(spark, root):
+    """A model of the caller's, here of two numbers."""
+    docs = read_table(spark, root, "documents").select("doc_id", "text")
+    out = embed(docs, model=lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
+    return out.select("doc_id", F.col("embedding")[0].cast("double").alias("letters"),
+                      F.col("embedding")[1].cast("double").alias("blanks"))
+
+
+_EMBEDDED_HITS = f"""{_CHUNKS}, q AS (SELECT c.conv_id::VARCHAR || '-' || c.turn::VARCHAR AS query_id, c.text AS question
+        FROM conversations c JOIN embeddings e ON e.vec_id = c.conv_id WHERE c.role = 'user'),
+    {_vectors_sql('v', 'pieces', 'chunk_id', 'chunk_text')}, {_vectors_sql('u', 'q', 'query_id', 'question')},
+    dots AS (SELECT query_id, chunk_id, sum(u.w * v.w) AS dot FROM u JOIN v USING (bucket) GROUP BY 1, 2),
+    near AS (SELECT q.query_id, p.chunk_id AS id, p.chunk_text AS text,
+        (q.question SIMILAR TO '(?s).*[\\p{{L}}\\p{{N}}_].*')::INT + (p.chunk_text SIMILAR TO '(?s).*[\\p{{L}}\\p{{N}}_].*')::INT
+        - 2 * coalesce(dot, 0) AS distance
+        FROM q CROSS JOIN pieces p LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = p.chunk_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), id) AS rank FROM near),
+    hits AS (SELECT * FROM ranked WHERE rank <= 8 AND distance <= 0.85)"""
+
+
+@query("search_embedded_chunks", "T14 J1 W1 P2 W2", f"""
+    WITH {_EMBEDDED_HITS}, {_RERANK}
+    SELECT query_id, id, round(distance, 4) AS distance, round(rerank_score, 4) AS rerank_score
+    FROM best WHERE rerank <= 4""")
 def search_embedded_chunks(spark, root):
     """Questions and chunks embedded by the same model, searched and reranked."""
     chunks = document_chunks(spark, root)
@@ -357,4 +401,25 @@ def search_embedded_chunks(spark, root):
         asked, vectors, chunks.select(F.col("chunk_id").alias("id"),
                                       F.col("chunk_text").alias("text"), "source"), k=8)
     return rerank.rerank(asked, hits).select(
-        "query_id", "id", F.round("distance", 4).alias("distance"), "rerank_score", "rerank")
+        "query_id", "id", F.round("distance", 4).alias("distance"),
+        F.round("rerank_score", 4).alias("rerank_score"))
+
+
+@query("answered_questions", "U2 A7 A9", f"""
+    WITH {hits_sql()}, context AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
+        FROM hits GROUP BY query_id),
+    answers AS (SELECT query_id, {s.norm("substring(context, 1, 400)")} AS answer FROM context),
+    marks AS (SELECT query_id, contains(answer, 'the') OR contains(answer, 'der') AS a,
+        contains(answer, 'thon') AS b FROM answers)
+    SELECT query_id, (a AND b)::INT::BIGINT AS claims, round((a::INT + b::INT) / 2, 6) AS claim_group_coverage FROM marks""")
+def answered_questions(spark, root):
+    """Retrieve, assemble, answer with a fixed function, score: one plan."""
+    asked = user_questions(spark, root).select("query_id", "question")
+    context = rerank.assemble_context(question_hits(spark, root)).join(asked, "query_id")
+    answers = answer(context, lambda question, text: text[:400])
+    claims = asked.select("query_id", F.from_json(F.lit(
+        '[{"claim_id": "c", "term_groups": [["the", "der"], ["thon"]]}]'),
+        "array<struct<claim_id:string,term_groups:array<array<string>>>>").alias("claims"))
+    return evaluate.score_answers(answers, claims, "query_id").select(
+        "query_id", F.size("claims_passed").cast("long").alias("claims"),
+        F.round("claim_group_coverage", 6).alias("claim_group_coverage"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ... import vocab
 from ...functions import text as tx
 from ...operators import chunking, ingest, rules
-from ...session import read_table, scratch_path
+from ...session import cut_lineage, read_table, scratch_path
 from ...sources import corpus, pages, tables
-from ...streaming.ingest import ingest_stream
+from .. import ingestion
 from . import query
 from . import sqltext as s
 
@@ -599,13 +599,16 @@ def manifest_and_schema(spark, root):
     return tables.add_missing(out, tables.JOB_DEFAULTS).drop("last_failure_type")
 
 
-@query("ingest_stream", "R1 J6 T4", f"""
-    WITH named AS (SELECT DISTINCT source || '.txt' AS source, text,
+_INGESTED = f"""named AS (SELECT DISTINCT source || '.txt' AS source, text,
         sha256(text) AS document_sha256 FROM documents),
     body AS (SELECT source, document_sha256, {s.strip('text')} AS text FROM named),
     {_windows(1200, 200, table='body')},
     c AS (SELECT *, row_number() OVER (PARTITION BY source, document_sha256 ORDER BY number)
-        AS i FROM cut WHERE chunk_text <> '')
+        AS i FROM cut WHERE chunk_text <> '')"""
+
+
+@query("ingest_stream", "R1 J6 J7 J8 T4", f"""
+    WITH {_INGESTED}
     SELECT 'sha256:' || document_sha256 || '::' || source || '::p1::c' || i AS chunk_id,
         length(chunk_text) AS character_count FROM c""")
 def ingest_stream_query(spark, root):
@@ -617,5 +620,70 @@ def ingest_stream_query(spark, root):
         docs.write.mode("append").parquet(f"{path}/in")
         arrivals = (spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(64 << 20))
                     .parquet(f"{path}/in"))
-        ingest_stream(arrivals, f"{path}/chunks", f"{path}/checkpoint").awaitTermination()
+        ingestion.ingest_stream(arrivals, f"{path}/chunks", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/chunks").select("chunk_id", "character_count")
+
+
+@query("ingest_corpus", "S1 S2 S3 P7 T4 J6 J7 J8 T14 S7 A16", f"""
+    WITH body AS (SELECT sha256(text || chr(10)) AS document_sha256, {s.strip('text')} AS text, item_id FROM benchmark),
+    {_windows(200, 50, table='body')},
+    n AS (SELECT document_sha256, count(*) FILTER (WHERE chunk_text <> '') AS chunks FROM cut GROUP BY 1)
+    SELECT run, document_sha256, status, chunks AS chunks_total, CASE WHEN status = 'created' THEN chunks ELSE 0 END
+        AS chunks_indexed, verified FROM n,
+        (VALUES ('1 first', 'created', TRUE), ('2 again', 'duplicate', TRUE), ('3 layout', 'conflict', NULL)) AS r(run, status, verified)
+    WHERE run <> '3 layout' OR chunks > 1""")
+def ingest_corpus(spark, root):
+    """Files written, found, loaded, checked, cut, embedded and stored; run again; run with another layout.
+
+    The second run adds nothing. With the other layout every document of several chunks stops.
+    """
+    path = scratch_path(spark, "corpus")
+    items = read_table(spark, root, "benchmark")
+    items.select(F.lit("bench").alias("area"), F.col("item_id").alias("item"), "text").write.partitionBy("area", "item") \
+        .text(f"{path}/files")
+    listing = corpus.read_corpus(spark, f"{path}/files", domains=("area=bench",))
+    good, _ = corpus.load_documents(corpus.ingest_domain(listing, "area=bench", ("area=bench",)))
+    # Spark names files anew in every write; the folder is what names the document
+    docs = good.select(F.regexp_extract("path", "item=([^/]+)/", 1).alias("source"), "domain", "text")
+    out = []
+    for run, size, overlap in (("1 first", 200, 50), ("2 again", 200, 50), ("3 layout", 400, 50)):
+        done = ingestion.ingest_documents(docs, f"{path}/vectors", size=size, overlap=overlap)
+        known = done.outcome.join(done.verified.select("document_sha256", "verified"), "document_sha256", "left")
+        out.append(cut_lineage(known.select(F.lit(run).alias("run"), "document_sha256", "status", "chunks_total",
+                                            "chunks_indexed", "verified"), "run"))
+    first, again, layout = out
+    stopped = layout.where("status = 'conflict'").select("run", "document_sha256").join(
+        first.select("document_sha256", "chunks_total"), "document_sha256").select(
+        "run", "document_sha256", F.lit("conflict").alias("status"), "chunks_total", F.lit(0).cast("long").alias("chunks_indexed"),
+        F.lit(None).cast("boolean").alias("verified"))
+    return first.unionByName(again).unionByName(stopped)
+
+
+@query("parsed_fields", "A19", """
+    SELECT l_orderkey, count(*) AS numbers, round(sum(l_quantity), 4) AS total, count(*) AS triples,
+        round(sum(l_discount), 4) AS third FROM lineitem GROUP BY 1""")
+def parsed_fields(spark, root):
+    """Field files as a solver writes them, made of the line items of an order, parsed again."""
+    rows = read_table(spark, root, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.concat_ws(" ", F.collect_list(F.col("l_quantity").cast("string"))).alias("s"),
+        F.concat_ws("", F.collect_list(F.format_string("(0 1e0 %s)", F.col("l_discount").cast("string")))).alias("v"))
+    scalars = rules.parse_scalars(F.format_string("internalField   nonuniform List<scalar> %d (%s) ;", "n", "s"))
+    vectors = rules.parse_vectors(F.format_string("internalField nonuniform List<vector> %d\n(%s)\n;", "n", "v"))
+    add = lambda a, x: a + x
+    out = rows.select("l_orderkey", scalars.alias("s"), vectors.alias("v"))
+    return out.select(
+        "l_orderkey", F.size("s").cast("long").alias("numbers"), F.round(F.aggregate("s", F.lit(0.0), add), 4).alias("total"),
+        F.size("v").cast("long").alias("triples"),
+        F.round(F.aggregate(F.transform("v", lambda t: t[2]), F.lit(0.0), add), 4).alias("third"))
+
+
+@query("read_manifest", "S6", "SELECT item_id::VARCHAR AS item, length(text) AS letters FROM benchmark")
+def read_manifest(spark, root):
+    """A manifest written as one JSON array and read back."""
+    path = scratch_path(spark, "manifest")
+    record = F.to_json(F.struct(F.col("item_id").cast("string").alias("item"), "text"))
+    items = read_table(spark, root, "benchmark").agg(F.concat(
+        F.lit("["), F.concat_ws(", ", F.collect_list(record)), F.lit("]")).alias("value"))
+    items.write.mode("append").text(path)
+    return tables.read_manifest(spark, path, "item string, text string").select(
+        "item", F.char_length("text").alias("letters"))

@@ -62,6 +62,14 @@ def _files(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+_MADE: list[str] = []
+
+
+def scratch_made() -> list[str]:
+    """All scratch paths of this process, oldest first."""
+    return list(_MADE)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the application's folder, which goes when the application ends."""
     top = shared_dir(spark)
@@ -69,7 +77,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if store:
         store[0].mkdirs(store[1])
         store[0].deleteOnExit(store[1])
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
@@ -85,6 +95,14 @@ def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path; nothing may read it afterwards."""
+    store = _files(spark, path)
+    if store and path in _MADE:
+        store[0].delete(store[1], True)
+        _MADE.remove(path)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Remove the table behind a result of ``cut_lineage``; nothing may read it afterwards."""
     spark = df.sparkSession

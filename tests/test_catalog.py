@@ -7,7 +7,7 @@ from evigraph.session import TABLES
 from tools.compare import compare
 
 REGISTRY = catalog.load()
-BRUTE_FORCE = {"search_embedded_chunks"}   # compared in test_knn
+BRUTE_FORCE = set()
 
 
 @pytest.fixture(scope="module")

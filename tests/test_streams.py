@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from evigraph import vocab
 from evigraph.operators import jobs, workers
 from evigraph.session import scratch_path
-from evigraph.streaming import ingest as stream_ingest
+from evigraph.plans import ingestion as stream_ingest
 from evigraph.streaming import jobs as streams
 
 EVENT = "job_id string, state string, ts timestamp, seq long"
