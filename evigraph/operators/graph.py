@@ -55,9 +55,11 @@ def merge_edges(writes: DataFrame) -> DataFrame:
     """One edge per (source, relation, target).
 
     For every property key the first writer wins; later writers only add keys. The edge keeps
-    the position of its first write. Both steps combine before they shuffle, so repeated
-    writes of one edge do not pile up in a task. Blank ends are not written; ``edge_rejects``
-    lists them.
+    the position of its first write. Blank ends are not written; ``edge_rejects`` lists them.
+
+    One aggregate settles every edge whose writes all have the same keys, as its first write
+    is the result then; only the writes of other edges are taken apart by key. All steps
+    combine before they shuffle, so repeated writes of one edge do not pile up in a task.
     """
     rows = writes.select(*[tx.strip(c).alias(c) for c in EDGE], "properties", "seq")
     for c in EDGE:
@@ -65,15 +67,23 @@ def merge_edges(writes: DataFrame) -> DataFrame:
     # Ids share long prefixes, which makes sorting by them slow; the hash in front of the
     # grouping key tells almost all of them apart in one comparison.
     key = [F.xxhash64(*EDGE).alias("_hash"), *EDGE]
-    per_key = (
-        rows.select(*key, "seq", F.explode_outer("properties").alias("key", "value"))
-        .groupBy("_hash", *EDGE, "key")
-        .agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
-    )
+    keys = F.coalesce(F.to_json(F.array_sort(F.map_keys("properties"))), F.lit("[]"))
+    merged = cut_lineage(
+        rows.select(*key, "seq", "properties", keys.alias("_keys")).groupBy("_hash", *EDGE).agg(
+            F.min_by("properties", "seq").alias("properties"), F.min("seq").alias("seq"),
+            (F.min("_keys") == F.max("_keys")).alias("_alike")), "edges")
+    empty = F.create_map().cast(EMPTY_MAP)
+    alike = merged.where("_alike").select(*EDGE, F.coalesce("properties", empty).alias("properties"), "seq")
+    others = merged.where("NOT _alike").select(*EDGE)
+    if others.limit(1).isEmpty():
+        return alike
+    apart = rows.join(others, EDGE, "left_semi").select(*key, "seq", F.explode_outer("properties").alias("key", "value"))
+    per_key = apart.groupBy("_hash", *EDGE, "key").agg(
+        F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
     entries = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
-    return per_key.groupBy("_hash", *EDGE).agg(
+    return alike.unionByName(per_key.groupBy("_hash", *EDGE).agg(
         F.map_from_entries(F.array_sort(entries)).alias("properties"),
-        F.min("seq").alias("seq")).drop("_hash")
+        F.min("seq").alias("seq")).drop("_hash"))
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,8 +248,8 @@ def terminal_edges(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
     appearance: as the edge of parent j, or on the way out from an earlier parent.
     """
     seeds = seeds.select("seed").distinct()
-    into = seeds.join(edges, F.col("seed") == F.col("target")).select(
-        "seed", *EDGE, "seq")
+    into = cut_lineage(seeds.join(edges, F.col("seed") == F.col("target")).select(
+        "seed", *EDGE, "seq"), "into")
     found = into.select("seed", *EDGE, "seq", F.lit(0).alias("kind"), F.lit(1).alias("depth"))
     if max_depth > 1:
         out = traverse(into.select(F.col("source").alias("seed")), nodes, edges, max_depth - 1)
@@ -262,6 +272,7 @@ def graph_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
         raise ValueError("max_depth must be greater than zero")
     pairs = seeds.select("query_id", "seed").distinct()
     starts = cut_lineage(pairs.select("seed").distinct())
+    nodes = cut_lineage(nodes.select("id", "properties"), "nodes")
     outward = traverse(starts, nodes, edges, max_depth)
     has_way_out = (edges.select(F.col("source").alias("seed"))
                    .join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi"))

@@ -67,7 +67,7 @@ def star_edge_writes(spark, root):
 
 def star_edges(spark, root):
     """The merged edges as a stored table, which is what graph operators normally read."""
-    return cut_lineage(graph.merge_edges(star_edge_writes(spark, root)), "edges")
+    return graph.merge_edges(star_edge_writes(spark, root))
 
 
 NODES = "nodes AS (" + " UNION ALL ".join(
