@@ -146,17 +146,14 @@ def nearest_hashed_recall(spark, root):
     WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
         1 - {s.dot('a.embedding', 'b.embedding')} /
         sqrt({s.dot('a.embedding', 'a.embedding')} * {s.dot('b.embedding', 'b.embedding')})
-        AS distance FROM embeddings a JOIN documents d ON d.doc_id = a.vec_id
-        JOIN labels l ON l.doc_id = d.doc_id, embeddings b WHERE a.vec_id <> b.vec_id),
+        AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
         FROM near)
     SELECT query_id, id, round(distance, 5) AS distance FROM ranked WHERE rank <= 3""")
 def nearest_cosine(spark, root):
-    """Labelled documents against all vectors, by cosine distance, without the self match."""
+    """All vectors against all, by cosine distance, without the self match."""
     e = read_table(spark, root, "embeddings")
-    labelled = read_table(spark, root, "labels").select(F.col("doc_id").alias("query_id"))
-    q = e.select(F.col("vec_id").alias("query_id"), "embedding").join(
-        labelled, "query_id", "left_semi")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     v = e.select(F.col("vec_id").alias("id"), "embedding")
     # The self match is one of the four nearest unless exact copies precede it.
     hits = knn.knn(q, v, k=4, metric="cosine").where("query_id <> id")

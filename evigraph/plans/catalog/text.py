@@ -162,6 +162,15 @@ def chunk_html_pages(spark, root):
         "chunk_id", "url", "metadata_number", "chunk_size", F.md5("chunk_text").alias("text_md5"))
 
 
+@query("page_rejects", "S5 P7", f"""
+    WITH {HTML} SELECT page_id, length(text) AS characters, 'page has too little text' AS reject_reason
+    FROM texts WHERE length(text) < 500""")
+def page_rejects(spark, root):
+    """The pages that ``chunk_html_pages`` leaves out."""
+    return pages.html_to_text(read_table(spark, root, "pages")).where("NOT sufficient").select(
+        "page_id", F.char_length("text").alias("characters"), F.lit("page has too little text").alias("reject_reason"))
+
+
 @query("chunk_benchmark_window", "T3", f"""
     WITH {_windows(1200, 150)}
     SELECT doc_id, number::INTEGER AS chunk_number, length(chunk_text) AS chunk_size
