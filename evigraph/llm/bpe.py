@@ -30,6 +30,7 @@ from .common import cached, text_of
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO_WORDS = 400_000
 MEMO_PAIRS = 400_000
+MEMO_LENGTH = 64        # longer words are rare and large, so they are not remembered
 FOREVER = 1 << 60
 
 
@@ -176,7 +177,8 @@ class Vocabulary:
             ids = np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
         if len(self.memo) >= MEMO_WORDS:
             self.older, self.memo = self.memo, {}
-        self.memo[word] = ids
+        if len(word) <= MEMO_LENGTH:
+            self.memo[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
