@@ -30,21 +30,27 @@ def source_recall(hits: DataFrame, gold: DataFrame) -> DataFrame:
         "recall", F.col("found") / F.col("gold"))
 
 
-def score_answers(answers: DataFrame, claims: DataFrame, on: str = "question_id") -> DataFrame:
+def score_answers(answers: DataFrame, claims: DataFrame, on: str = "question_id",
+                  words: bool = False) -> DataFrame:
     """Claim and claim-group coverage of every answer.
 
     ``claims(question_id, claims array<struct<claim_id, term_groups array<array<string>>>>)``.
     A group passes when any alternative occurs in the answer, a claim when all groups pass;
     both sides are reduced to lower-case ASCII tokens first. Scoring stays inside the row.
-    Answers of questions without claims keep their row with null scores.
+    Answers of questions without claims keep their row with null scores. Alternatives match as
+    substrings, or with ``words`` as whole words only.
     """
+    def edged(tokens):
+        return F.concat(F.lit(" "), tokens, F.lit(" ")) if words else tokens
+
     ready = claims.select(on, F.transform("claims", lambda c: F.struct(
         c["claim_id"].alias("claim_id"),
-        F.transform(c["term_groups"], lambda g: F.transform(g, tx.normalize)).alias("groups"),
+        F.transform(c["term_groups"], lambda g: F.transform(
+            g, lambda t: edged(tx.normalize(t)))).alias("groups"),
     )).alias("_claims"))
     df = answers.join(ready, on, "left")
     df = df.withColumn("_marks", tx.bind(
-        tx.normalize(F.col("answer")), lambda text: F.transform("_claims", lambda c: F.struct(
+        edged(tx.normalize(F.col("answer"))), lambda text: F.transform("_claims", lambda c: F.struct(
             c["claim_id"].alias("claim_id"),
             F.transform(c["groups"], lambda g: F.exists(
                 g, lambda t: F.contains(text, t))).alias("passed")))))
