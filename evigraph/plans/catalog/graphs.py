@@ -170,6 +170,24 @@ def graph_round_trip(spark, root):
         edges.groupBy(F.concat(F.lit("edge "), "relation")).agg(F.count("*")))
 
 
+@query("graph_json_import", "S9", """
+    SELECT 'nation:' || n_nationkey AS id, 'nation' AS type, n_name AS name, 'region:' || n_regionkey AS target
+    FROM nation""")
+def graph_json_import(spark, root):
+    """Nations and their regions written as one graph document and imported again."""
+    path = scratch_path(spark, "document")
+    n = read_table(spark, root, "nation").select(
+        _id("nation", "n_nationkey").alias("id"), _id("region", "n_regionkey").alias("target"),
+        F.create_map(F.lit("name"), F.col("n_name")).alias("properties"))
+    node = F.struct("id", F.struct("id", F.lit("nation").alias("type"), "properties").alias("n"))
+    edge = F.struct(F.col("id").alias("source"), F.lit("located_in").alias("relation"), "target", "properties")
+    n.agg(F.map_from_entries(F.collect_list(node)).alias("nodes"), F.collect_list(edge).alias("edges")) \
+        .select(F.to_json(F.struct("nodes", "edges")).alias("value")).write.mode("append").text(path)
+    nodes, edges = tables.graph_from_json(spark, path)
+    return nodes.select("id", "type", F.col("properties")["name"].alias("name")).join(
+        edges.select(F.col("source").alias("id"), "target"), "id")
+
+
 # --- neighbours and traversal -------------------------------------------------------------
 
 @query("neighbors_related", "J10", f"""
