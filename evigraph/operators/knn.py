@@ -166,7 +166,7 @@ def _cell_best(k, metric):
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2_squared",
         approx: bool = False, max_query_bytes: int = 64 << 20, block_rows: int = 20_000,
-        tables: int = 8, bits: int = 6) -> DataFrame:
+        tables: int = 20, bits: int = 4) -> DataFrame:
     """The k nearest vectors of every query: ``(query_id, id, distance, rank)``.
 
     ``queries(query_id, embedding)`` and ``vectors(id, embedding)``; ties go to the smaller id.
@@ -175,8 +175,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2_sq
       table is read once for each, without a shuffle of vectors; larger batches are cut into
       such blocks. The result is exact.
     * ``approx=True`` compares only vectors that share one of ``tables`` sign hashes of
-      ``bits`` bits with the query. More bits make it faster and find less; both are fixed
-      parameters, so what is found does not depend on the size of the table. A crowded bucket
+      ``bits`` bits with the query. More bits make it faster and find less, more tables find
+      more; both are fixed parameters, so what is found does not depend on the size of the
+      table. The defaults are chosen for a recall of at least 0.9. A crowded bucket
       is split over several cells of ``block_rows``, never truncated.
     """
     if k <= 0:

@@ -107,7 +107,7 @@ def nearest_grid(spark, root):
     return _all_to_all(spark, root, max_query_bytes=100_000)
 
 
-TABLES, BITS, WIDTH = 8, 6, 64
+TABLES, BITS, WIDTH = 20, 4, 64        # recall@5 of 0.94 or more on all given tables, see README
 _PLANES = ", ".join(f"({n // BITS}, {n % BITS}, [{', '.join(repr(float(x)) for x in row)}])"
                     for n, row in enumerate(knn.hash_planes(TABLES, BITS, WIDTH)))
 _HASHED = f"""

@@ -1,3 +1,4 @@
+import inspect
 import tracemalloc
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import knn
 from evigraph.operators.embed import answer, embed
+from evigraph.plans.catalog import retrieval
 
 
 def tables(spark, seed=1, n=400, q=30, copies=150):
@@ -78,6 +80,26 @@ def test_hashed_search_finds_most_and_invents_nothing(spark):
     assert ids(one_bucket) == exact
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_hashes_reach_the_recall_floor(spark, sf):
+    """With the parameters of ``nearest_hashed``, also without the self match."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    names, v = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    found = {}
+    for r in retrieval.nearest_hashed(spark, f"/root/testdata/{sf}").collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    hits = others = wanted = 0
+    for name, q in zip(names, v):
+        near = set(names[np.lexsort((names, ((v - q) ** 2).sum(axis=1)))[:5]])
+        hits += len(near & found[name])
+        others += len(near & found[name] - {name})
+        wanted += len(near)
+    assert hits >= 0.9 * wanted
+    assert others >= 0.9 * (wanted - len(names))
+    assert inspect.signature(knn.knn).parameters["tables"].default == retrieval.TABLES
+    assert inspect.signature(knn.knn).parameters["bits"].default == retrieval.BITS
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, "chem", "rdkit"), (2, "chem", "vina"), (3, "Chem", "rdkit")],
                                "id int, domain string, tool string")
