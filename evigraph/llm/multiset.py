@@ -11,7 +11,8 @@ paragraph is put in or taken out by adding or subtracting its vector.
 Defined cases: a null text counts as empty, one paragraph without words; equal texts are alike
 to 1.0, a text without words to any other text to 0.0; with one document the next one is itself;
 null ids come after all others in descending order; documents with equal ids follow each other
-in the order of their text hash; an empty table gives an empty result; extra columns are not read.
+in the order of their text hash, repeated rows in an order fixed for the run, and each gives a
+row of its own; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_scratch
 from .common import text_of
 
 EXACT = 8
@@ -112,31 +113,31 @@ def _slices(docs: DataFrame) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, tie, text`` and the same of the next document in descending order of ids.
+    """``row, id, tie, text`` and ``next_row``, ``next_text`` of the next document in descending order of ids.
 
-    Rows are sorted slice by slice. The first document of every slice is also sent to the slice
-    before it, where it follows the last one; only those few texts travel twice.
+    ``row`` numbers the rows of ``docs`` in a stored table, so that repeated rows are told apart
+    and every use sees the same numbers. Rows are sorted slice by slice. The first document of
+    every slice is also sent to the slice before it, where it follows the last one; only those
+    few texts travel twice.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("text", F.lit(1)).alias("tie"))
+    rows = cut_lineage(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text",
+                                   F.xxhash64("text", F.lit(1)).alias("tie")), "numbered")
     sliced = rows.withColumn("slice", _slices(rows))
-    order = [F.col("id").desc_nulls_last(), F.col("tie").desc()]
-    head = F.max(F.struct("id", "tie")).alias("head")
-    heads = cut_lineage(sliced.select("id", "tie", "slice").groupBy("slice").agg(head), "heads")
+    order = [F.col("id").desc_nulls_last(), F.col("tie").desc(), F.col("row").desc()]
+    head = F.max(F.struct("id", "tie", "row")).alias("head")
+    heads = cut_lineage(sliced.select("row", "id", "tie", "slice").groupBy("slice").agg(head), "heads")
     above = F.lead("slice").over(Window.orderBy("slice"))       # at most MOST_SLICES rows
     lowest = F.min("slice").over(Window.partitionBy())
-    guests = heads.select("head.id", "head.tie", F.coalesce(above, lowest).alias("to"))
-    marked = sliced.join(F.broadcast(guests), sliced["id"].eqNullSafe(guests["id"])
-                         & (sliced["tie"] == guests["tie"]), "left") \
-        .select(sliced["id"], sliced["tie"], "text", "slice", "to")
-    dealt = marked.select("id", "tie", "text", F.explode(F.when(F.col("to").isNull(), F.array(
+    guests = heads.select("head.row", F.coalesce(above, lowest).alias("to"))
+    marked = sliced.join(F.broadcast(guests), "row", "left")
+    dealt = marked.select("row", "id", "tie", "text", F.explode(F.when(F.col("to").isNull(), F.array(
         F.struct(F.lit(0).alias("guest"), F.col("slice").alias("slice")))).otherwise(F.array(
             F.struct(F.lit(0).alias("guest"), F.col("slice").alias("slice")),
             F.struct(F.lit(1).alias("guest"), F.col("to").alias("slice"))))).alias("at")) \
-        .select("id", "tie", "text", "at.*")
+        .select("row", "id", "tie", "text", "at.*")
     within = Window.partitionBy("slice").orderBy("guest", *order)
-    return dealt.select("id", "tie", "text", "guest", F.lead("id").over(within).alias("next_id"),
-                        F.lead("tie").over(within).alias("next_tie"),
+    return dealt.select("row", "id", "tie", "text", "guest", F.lead("row").over(within).alias("next_row"),
                         F.lead("text").over(within).alias("next_text")).filter("guest = 0").drop("guest")
 
 
@@ -150,20 +151,18 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     both = pairs.select(
-        "id", "tie", "next_id", "next_tie", n.cast("long").alias("n_chars"), "text", edited.alias("edited")) \
-        .select("id", "tie", "next_id", "next_tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "row", "id", "next_row", n.cast("long").alias("n_chars"), "text", edited.alias("edited")) \
+        .select("row", "id", "next_row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                 F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
                                   F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("b")) \
         .select("*", "b.*").drop("b")
-    keys = ["id", "tie", "next_id", "next_tie", "n_chars", "edited_sha256", "side"]
+    keys = ["row", "id", "next_row", "n_chars", "edited_sha256", "side"]
     lanes = cut_lineage(lanes_of(both, keys, "body"), "lanes")
+    drop_scratch(pairs)
     own, changed = lanes.filter("side = 0").drop("side"), lanes.filter("side = 1")
-    changed = changed.select(F.col("id").alias("c_id"), F.col("tie").alias("c_tie"), F.col("lanes").alias("edited"))
-    after = own.select(F.col("id").alias("a_id"), F.col("tie").alias("a_tie"), F.col("lanes").alias("after")) \
-        .dropDuplicates(["a_id", "a_tie"])
-    changed = changed.dropDuplicates(["c_id", "c_tie"])
-    return own.join(changed, own["id"].eqNullSafe(F.col("c_id")) & (F.col("tie") == F.col("c_tie"))) \
-        .join(after, F.col("next_id").eqNullSafe(F.col("a_id")) & (F.col("next_tie") == F.col("a_tie"))) \
+    changed = changed.select("row", F.col("lanes").alias("edited"))
+    after = own.select(F.col("row").alias("next_row"), F.col("lanes").alias("after"))
+    return own.join(changed, "row").join(after, "next_row") \
         .select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", render(F.col("lanes")).alias("fingerprint"),
                 render(F.col("edited")).alias("edited_fingerprint"),
                 likeness(F.col("lanes"), F.col("edited")).alias("near_edited"),

@@ -176,3 +176,24 @@ def test_multiset_odd_rows(spark):
     assert one["near_next"] == 1.0
     assert multiset.fingerprints_with_edits(empty(spark)).count() == 0
     assert multiset.fingerprints_with_edits(odd(spark)).count() == 11
+
+
+@pytest.mark.parametrize("doc_id", [4, None])
+def test_multiset_repeated_rows_stay_apart(spark, doc_id):
+    """Five rows with one id, or none, and one text, between two others; three more share the id only."""
+    same, other = "one two three four\nfive six\n" * 3, "other words of the same id\n" * 2
+    table = [(9, "the first text of all\nends here"), *[(doc_id, same)] * 5, *[(doc_id, other)] * 3, (1, "the last text")]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    rows = multiset.fingerprints_with_edits(frame).collect()
+    assert len(rows) == len(table)
+    own = {r["doc_id"]: r["fingerprint"] for r in multiset.fingerprints_with_edits(
+        spark.createDataFrame([(0, same), (1, other)], "doc_id long, text string")).collect()}
+    for text, count in ((same, 5), (other, 3)):
+        of_text = [r for r in rows if r["fingerprint"] == own[int(text == other)]]
+        assert len(of_text) == count and {r["n_chars"] for r in of_text} == {len(text)}
+        assert sum(r["near_next"] == 1.0 for r in of_text) == count - 1     # all but the last precede a copy
+    bodies = {t[:len(t) - len(t) // 2] + u[:len(t) // 2] for _, t in table for _, u in table}
+    prints = {hashlib.sha256(b.encode()).hexdigest(): r["lanes"] for b, r in zip(sorted(bodies), sorted(
+        multiset.lanes_of(docs(spark, sorted(bodies)), ["doc_id"]).collect(), key=lambda r: r["doc_id"]))}
+    for r in rows:
+        assert r["edited_fingerprint"] == "".join(f"{x:08x}" for x in prints[r["edited_sha256"]])
