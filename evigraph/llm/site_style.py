@@ -9,8 +9,9 @@ besides those whose element says that they are no article (navigation, footers,
 comments and the like).
 
 If a page has an ``article`` or ``main`` element, the text is what is left of it, else what is
-left of the body. Paragraphs and headings within them are never taken for template text, as
-copied pages would otherwise lose their own content; if nothing is left of a page, only the
+left of the body. Paragraphs and headings within them are never taken for template text, also
+if what is around them is; copies of a page count once for its site, as copied pages would
+otherwise lose their own content. If nothing is left of a page, only the
 elements themselves decide.
 
 Defined cases: null or empty HTML gives an empty text; unclosed elements end with their parent;
@@ -23,14 +24,13 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_scratch
 
 GAMMA = 0.9
 THRESHOLD = 0.25
@@ -60,10 +60,12 @@ _CLOSES_SAME = frozenset("li td th tr dt dd option".split())
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "zone")
+    """``noise`` comes from elements and their names, ``stale`` from the site's template."""
 
-    def __init__(self, tag: str, path: int, noise: bool, zone: int):
-        self.tag, self.path, self.noise, self.zone = tag, path, noise, zone
+    __slots__ = ("tag", "path", "noise", "stale", "zone")
+
+    def __init__(self, tag: str, path: int, noise: bool, stale: bool, zone: int):
+        self.tag, self.path, self.noise, self.stale, self.zone = tag, path, noise, stale, zone
 
 
 class Page:
@@ -75,7 +77,7 @@ class Page:
         self.children: dict[int, list[str]] = {}
         self.content: dict[int, list[str]] = {}
         self.above: dict[int, tuple[int, ...]] = {}
-        self.stack = [_Node("", 0, False, 0)]
+        self.stack = [_Node("", 0, False, False, 0)]
         self.text: list[str] = []
         self._parse(page)
 
@@ -85,7 +87,7 @@ class Page:
             self.text = []
             if words:
                 top = self.stack[-1]
-                self.blocks.append((top.zone, top.noise, words))
+                self.blocks.append((top.zone, top.noise or top.stale, words))
                 if self.survey:
                     self.content.setdefault(top.path, []).append(words)
 
@@ -110,19 +112,21 @@ class Page:
         path = xxhash.xxh64_intdigest(f"{tag}.{names}", above.path) >> 1
         zone = above.zone
         noise = above.noise
+        stale = above.stale or tag not in _PROTECTED and path in self.low
         if tag not in ("html", "body", "article", "main"):
             noise = noise or tag in _NO_ARTICLE or tag == "header" and not zone \
-                or bool(names and _NO_ARTICLE_NAMES.search(names)) \
-                or tag not in _PROTECTED and path in self.low
+                or bool(names and _NO_ARTICLE_NAMES.search(names))
         elif tag == "article" and _COMMENT_NAMES.search(names):
             noise = True                                    # reader comments marked up as articles
         if not noise:
             zone = 2 if tag == "article" else max(zone, 1) if tag == "main" or "main" in names.split() else zone
+        if zone and tag in _PROTECTED:
+            stale = False                                   # however often the site repeats what is around it
         if self.survey and tag not in _INLINE:
             self.children.setdefault(above.path, []).append(tag)
             if path not in self.above:
                 self.above[path] = (*self.above.get(above.path, ()), path)
-        self.stack.append(_Node(tag, path, noise, zone))
+        self.stack.append(_Node(tag, path, noise, stale, zone))
 
     def _parse(self, page: str) -> None:
         at, end = 0, len(page)
@@ -178,39 +182,53 @@ def _site(url: str | None) -> int:
 def survey(pages: DataFrame) -> DataFrame:
     """Counted nodes of all sites: ``site, path, kind, value, n`` and the nodes above a path.
 
-    Kind 0 counts presentations, 1 contents, 2 names the nodes above. Tasks count before they
-    hand rows on, and Spark adds up.
+    Kind 0 counts presentations, 1 contents, 2 names the nodes above. A page's content counts
+    once for a site, however many copies the site has. Tasks hand on the hashes of each page's
+    nodes; Spark drops those of copies, by a digest of the page, and adds up.
     """
+    columns = ["site", "digest", "shape_at", "shape", "text_at", "text", "path", "above"]
+
     def run(batches):
-        seen: Counter = Counter()
         above: dict[tuple[int, int], tuple[int, ...]] = {}
-
-        def out():
-            rows = [(*k, n, None) for k, n in seen.items()] + \
-                   [(site, path, 2, 0, 1, list(up)) for (site, path), up in above.items()]
-            seen.clear()
-            above.clear()
-            return pd.DataFrame(rows, columns=["site", "path", "kind", "value", "n", "above"])
-
         for pdf in batches:
+            rows = []
             for url, page in zip(pdf["url"], pdf["html"]):
                 site, parsed = _site(url), Page(page, survey=True)
+                shape_at, shape = [], []
                 for path, up in parsed.above.items():
                     tags = parsed.children.get(path, [])
                     style = "|".join(t for k, t in enumerate(tags) if not k or tags[k - 1] != t)
-                    seen[site, path, 0, xxhash.xxh64_intdigest(style) >> 1] += 1
+                    shape_at.append(path)
+                    shape.append(xxhash.xxh64_intdigest(style) >> 1)
                     above[site, path] = up
-                for path, parts in parsed.content.items():
-                    seen[site, path, 1, xxhash.xxh64_intdigest("\n".join(parts)) >> 1] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-        if seen:
-            yield out()
-
-    rows = pages.select("url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")) \
-        .mapInPandas(run, "site long, path long, kind int, value long, n long, above array<long>")
-    return cut_lineage(rows.groupBy("site", "path", "kind", "value").agg(
-        F.sum("n").alias("n"), F.max("above").alias("above")), "survey")
+                text = [xxhash.xxh64_intdigest("\n".join(parts)) >> 1 for parts in parsed.content.values()]
+                digest = xxhash.xxh3_128_hexdigest(page.encode("utf-8", "surrogatepass"))
+                rows.append((site, digest, shape_at, shape, list(parsed.content), text, None, None))
+            if len(above) > FLUSH:
+                rows += [(site, None, None, None, None, None, path, list(up)) for (site, path), up in above.items()]
+                above.clear()
+            yield pd.DataFrame(rows, columns=columns).astype({"path": "Int64"})
+        if above:
+            yield pd.DataFrame([(site, None, None, None, None, None, path, list(up))
+                                for (site, path), up in above.items()], columns=columns).astype({"path": "Int64"})
+
+    rows = cut_lineage(pages.select("url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).mapInPandas(
+        run, "site long, digest string, shape_at array<long>, shape array<long>, text_at array<long>, "
+             "text array<long>, path long, above array<long>"), "surveyed")
+    once = rows.filter("digest IS NOT NULL").dropDuplicates(["site", "digest"])
+    entry = F.transform(F.arrays_zip("shape_at", "shape"), lambda x: F.struct(
+        x["shape_at"].alias("path"), F.lit(0).alias("kind"), x["shape"].alias("value")))
+    leaf = F.transform(F.arrays_zip("text_at", "text"), lambda x: F.struct(
+        x["text_at"].alias("path"), F.lit(1).alias("kind"), x["text"].alias("value")))
+    counts = once.select("site", F.explode(F.concat(entry, leaf)).alias("x")).select("site", "x.*") \
+        .groupBy("site", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("above", F.lit(None).cast("array<long>"))
+    ups = rows.filter("above IS NOT NULL").groupBy("site", "path").agg(F.max("above").alias("above")).select(
+        "site", "path", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("value"),
+        F.lit(1).cast("long").alias("n"), "above")
+    nodes = cut_lineage(counts.unionByName(ups), "survey")
+    drop_scratch(rows)
+    return nodes
 
 
 def importance(nodes: DataFrame) -> DataFrame:

@@ -138,6 +138,22 @@ def test_copied_pages_keep_their_text(spark):
     assert {r["text"] for r in site_style.extract(frame).collect()} == {"All of it"}
 
 
+def test_mirrored_host_keeps_wrapped_paragraphs(spark):
+    """Copies of one page, of two pages, and of one page with a number of its own in the footer."""
+    def article(k, foot=""):
+        return page(f"<article><h1>Title {k}</h1><div class=body><p>First {k}</p><ul><li><p>Second</p></li></ul>"
+                    f"<div>Bare {k}</div></div></article><footer>{foot}</footer>")
+    rows = [(k, "http://one.example/", article(0)) for k in range(20)]
+    rows += [(100 + k, "http://two.example/", article(k % 2)) for k in range(20)]
+    rows += [(200 + k, "http://foot.example/", article(0, k)) for k in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in site_style.extract(frame).collect()}
+    for k in range(20):
+        assert got[k] == "Title 0\nFirst 0\nSecond\nBare 0"
+        assert got[100 + k] == f"Title {k % 2}\nFirst {k % 2}\nSecond\nBare {k % 2}"
+        assert got[200 + k].split("\n")[:3] == ["Title 0", "First 0", "Second"]
+
+
 def test_suffix_arrays_and_prefixes():
     rng = np.random.default_rng(1)
     for turn in range(300):
