@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evigraph.llm import dedup_queries, exact_dedup, fuse, multiset, simhash
+from evigraph.llm import dedup_queries, exact_dedup, fuse, multiset, near_copies, simhash
 from evigraph.llm.components import components
 
 from llm_cases import by_id, docs, empty, odd
@@ -197,3 +197,39 @@ def test_multiset_repeated_rows_stay_apart(spark, doc_id):
         multiset.lanes_of(docs(spark, sorted(bodies)), ["doc_id"]).collect(), key=lambda r: r["doc_id"]))}
     for r in rows:
         assert r["edited_fingerprint"] == "".join(f"{x:08x}" for x in prints[r["edited_sha256"]])
+
+
+def test_near_copies_of_given_documents_go(spark):
+    """The stage against brute force over all pairs of the table."""
+    import corpus_pipeline
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    sets, where = [set(near_copies.shingles(t).tolist()) for _, t in rows], {}
+    for k, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(k)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for k, s in enumerate(sets):
+        for j in {j for x in s for j in where[x] if j < k}:
+            both = len(s & sets[j])
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                pairs += 1
+                x, y = find(k), find(j)
+                root[max(x, y)] = min(x, y)
+    assert pairs > 0
+    want = {rows[k][0] for k in range(len(rows)) if find(k) == k}
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in stage(spark, frame, "").collect()}
+    print("pairs", pairs, "documents", len(rows), "to go", len(rows) - len(want), "gone", len(rows) - len(kept))
+    assert kept == want
+    odd_rows = near_copies.representatives(odd(spark))
+    assert odd_rows.columns == odd(spark).columns
+    assert sorted(r["doc_id"] or 0 for r in odd_rows.collect()) == [0, 1, 3, 7, 8, 9]
