@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-MODULES = ("dedup_queries", "classifier_queries", "token_queries", "text_queries", "repeat_queries")
+MODULES = ("dedup_queries", "classifier_queries", "token_queries", "text_queries", "repeat_queries",
+           "audit_queries")
 
 
 def query(name: str, sql: str | None = None):
