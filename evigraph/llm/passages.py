@@ -28,7 +28,6 @@ import itertools
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,6 @@ from .common import cached, text_of
 
 WINDOW = 35
 PERIOD = 21
-MEMO = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _YIELD = 1 << 18
 
@@ -67,14 +65,6 @@ def cover_positions(n: int, window: int, period: int) -> np.ndarray:
     return at[at <= last]
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     tables = cached("passage_powers", dict)
     if lane not in tables or len(tables[lane][0]) < n:
@@ -94,32 +84,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total
+
+
+def _run_hashes(total: np.ndarray, down: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return _mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
 class Runs:
-    """Hashes of any runs of words of one text, from sums over its beginning."""
-
-    def __init__(self, words: list[bytes], lanes: int = 2):
-        memo = cached("passage_words", _Memo)
-        if len(memo) > MEMO:
-            memo.clear()
-        n = len(words)
-        h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=n)
-        self.n, self.sums, self.down = n, [], []
+    """Hashes of any runs of words of one text, from sums over its beginning; words from its bytes."""
+
+    def __init__(self, raw: bytes, lanes: int = 2):
+        data = np.frombuffer(raw, dtype=np.uint8)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        self.n, self.sums, self.down = len(edges) // 2, [], []
+        up, down = _powers(0, len(data) + 1)
+        h = _run_hashes(_sums((data + np.uint64(1)) * up[:len(data)]), down, edges[::2], edges[1::2])
         for lane in range(lanes):
-            up, down = _powers(lane, n + 1)
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((h if lane == 0 else _mix(h)) * up[:n], out=total[1:])
-            self.sums.append(total)
+            up, down = _powers(lane, self.n + 1)
+            self.sums.append(_sums((h if lane == 0 else _mix(h)) * up[:self.n]))
             self.down.append(down)
 
     def hashes(self, lo: np.ndarray, hi: np.ndarray, lane: int = 0) -> np.ndarray:
         """A signed 64-bit hash of the words from ``lo`` to before ``hi`` of each run."""
-        total = self.sums[lane]
-        h = (total[hi] - total[lo]) * self.down[lane][lo] + (hi - lo).astype(np.uint64)
-        return _mix(h).view(np.int64)
+        return _run_hashes(self.sums[lane], self.down[lane], lo, hi).view(np.int64)
 
 
-def words_of(packed: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(packed).split()
+def unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +144,7 @@ def _flat(parts: list[dict], names: tuple[str, ...]) -> pd.DataFrame:
 
 
 def _per_text(texts: DataFrame, work, schema: str) -> DataFrame:
-    """Rows that ``work(row, words, wanted)`` gives for each text, as arrays by column."""
+    """Rows that ``work(row, bytes, wanted)`` gives for each text, as arrays by column."""
     names = tuple(part.split()[0] for part in schema.split(", "))
 
     def run(batches):
@@ -156,8 +152,8 @@ def _per_text(texts: DataFrame, work, schema: str) -> DataFrame:
             parts, size = [], 0
             wanted = pdf["wanted"] if "wanted" in pdf else itertools.repeat(None)
             for row, packed, want in zip(pdf["row"], pdf["packed"], wanted):
-                part = work(row, words_of(packed), want)
-                if part is None or not len(part[names[0]]):
+                part = work(row, unpack(packed), want)
+                if not len(part[names[0]]):
                     continue
                 parts.append(part)
                 size += len(part[names[0]])
@@ -174,11 +170,10 @@ def anchors(live: DataFrame, window: int = WINDOW, period: int = PERIOD) -> Data
     """``anchor, row, at`` of every cover position."""
     gram = window - period + 1
 
-    def work(row, words, _):
-        at = cover_positions(len(words), window, period)
-        if not len(at):
-            return None
-        return {"anchor": Runs(words, 1).hashes(at, at + gram), "row": np.full(len(at), row), "at": at}
+    def work(row, raw, _):
+        runs = Runs(raw, 1)
+        at = cover_positions(runs.n, window, period)
+        return {"anchor": runs.hashes(at, at + gram), "row": np.full(len(at), row), "at": at}
 
     return _per_text(live.select("row", "packed"), work, "anchor long, row long, at long")
 
@@ -187,10 +182,10 @@ def contexts(live: DataFrame, hits: DataFrame, window: int = WINDOW, period: int
     """``anchor, c1, c2, row, first, last``: context hash of each hit and the windows in it."""
     gram = window - period + 1
 
-    def work(row, words, want):
+    def work(row, raw, want):
         at = np.sort(np.array(want, dtype=np.int64))
-        runs = Runs(words)
-        lo, hi = np.maximum(at - period + 1, 0), np.minimum(at + window, len(words))
+        runs = Runs(raw)
+        lo, hi = np.maximum(at - period + 1, 0), np.minimum(at + window, runs.n)
         # where the anchor lies in its context counts, so that one place is never two
         return {"anchor": runs.hashes(at, at + gram), "c1": runs.hashes(lo, hi) ^ (at - lo), "c2": runs.hashes(lo, hi, 1),
                 "row": np.full(len(at), row), "first": lo, "last": hi - window}
@@ -202,13 +197,13 @@ def contexts(live: DataFrame, hits: DataFrame, window: int = WINDOW, period: int
 
 def windows(live: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
     """``w1, w2, row, start`` of the windows that start in the given ranges, each place once."""
-    def work(row, words, want):
-        steps = np.zeros(len(words) + 2, dtype=np.int64)
+    def work(row, raw, want):
+        runs = Runs(raw)
+        steps = np.zeros(runs.n + 2, dtype=np.int64)
         for r in want:
             steps[r["first"]] += 1
             steps[r["last"] + 1] -= 1
         start = np.flatnonzero(np.cumsum(steps) > 0)
-        runs = Runs(words)
         return {"w1": runs.hashes(start, start + window), "w2": runs.hashes(start, start + window, 1),
                 "row": np.full(len(start), row), "start": start}
 
@@ -247,7 +242,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     def cut(packed: pd.Series, spans: pd.Series, twice: pd.Series) -> pd.DataFrame:
         rows = []
         for z, found, whole in zip(packed, spans, twice):
-            words = words_of(z)
+            words = unpack(z).split()
             n = len(words)
             gone = np.zeros(n + 1, dtype=np.int64)
             if whole and n >= window:
