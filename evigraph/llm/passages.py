@@ -135,7 +135,8 @@ def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def copied(staged: DataFrame) -> DataFrame:
     """``row, first`` of all texts that occur more than once; ``first`` marks one of each."""
-    groups = staged.groupBy("digest").agg(F.min("row").alias("one"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = cut_lineage(staged.groupBy("digest").agg(F.min("row").alias("one"), F.count(F.lit(1)).alias("n"))
+                         .filter("n > 1"), "groups")     # stored, so that the join can split a hot digest
     return staged.select("row", "digest").join(groups, "digest").select("row", (F.col("row") == F.col("one")).alias("first"))
 
 
