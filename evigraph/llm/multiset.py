@@ -3,7 +3,7 @@
 A document is the multiset of its paragraphs (lines). Every paragraph stands for a wide vector
 of lanes, and the fingerprint is the sum of the vectors, each lane modulo 2^32. Eight lanes come
 from four 64-bit hashes of the whole paragraph: they decide equality. One lane counts the
-paragraph's runs of up to three words, and 64 lanes sum the bits of a hash of each run: twice a
+paragraph's runs of up to three words, one from every word on, and 64 lanes sum the bits of a hash of each run: twice a
 lane less the count is a sum of signs, and the cosine of two such vectors estimates how much of
 two texts is alike. As all lanes are sums, the order of paragraphs does not matter, and a
 paragraph is put in or taken out by adding or subtracting its vector.
@@ -11,27 +11,29 @@ paragraph is put in or taken out by adding or subtracting its vector.
 Defined cases: a null text counts as empty, one paragraph without words; equal texts are alike
 to 1.0, a text without words to any other text to 0.0; with one document the next one is itself;
 null ids come after all others in descending order; documents with equal ids follow each other
-in the order of their text hash, repeated rows in an order fixed for the run, and each gives a
-row of its own; an empty table gives an empty result; extra columns are not read.
+in the order of their text hash, and repeated rows, which are alike in all that is computed, in any
+order; each gives a row of its own; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, drop_scratch
+from ..session import cut_lineage
 from .common import text_of
 
 EXACT = 8
 SIGNS = 64
 LANES = EXACT + 1 + SIGNS
-RUN = r"\S+(?:[ \t\x0B\f\r]+\S+){0,2}"
+RUN = r"(?<!\S)(?=(\S+(?:[ \t\x0B\f\r]+\S+){0,2}))"
 _LOW = (1 << 32) - 1
 ROWS_PER_SLICE = 256
 MOST_SLICES = 1 << 20
-SEGMENTS = 32
+SEGMENTS = 1024
+_CUTS = 1 << 20         # parts that one id or one slice may be cut into
 
 
 def lanes_of(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -42,7 +44,7 @@ def lanes_of(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataF
     """
     lines = texts.select(*keys, F.explode(F.split(F.col(text_col), "\n")).alias("line"))
     runs = lines.select(*keys, "line", F.posexplode_outer(
-        F.regexp_extract_all("line", F.lit(RUN), F.lit(0))).alias("k", "run"))
+        F.regexp_extract_all("line", F.lit(RUN), F.lit(1))).alias("k", "run"))
     first = F.coalesce(F.col("k"), F.lit(0)) == 0
     hashed = runs.select(
         *keys, F.when(F.col("run").isNotNull(), F.xxhash64("run")).alias("h"),
@@ -92,52 +94,78 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
 
 
-def _slices(docs: DataFrame) -> Column:
-    """A slice number that rises with the id, from quantiles of the ids, linear between them.
+def _part_of_tie(parts: int) -> Column:
+    """The part of the range of hashes a text hash lies in, rising with it."""
+    return F.floor((F.col("tie").cast("double") / float(1 << 64) + 0.5) * parts).cast("long")
 
-    Slices hold some hundred rows each; their number is bounded by ``MOST_SLICES``.
+
+def _slices(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``slice`` that rises with id and text hash, nulls first, of some hundred rows.
+
+    Quantiles of the ids cut the range into segments, which are cut evenly. An id that owns
+    several quantiles, and null ids, are cut by the text hash. Only rows equal in both stay
+    together. The number of slices is bounded by ``MOST_SLICES`` and the quantiles by ``SEGMENTS``.
     """
-    steps = [k / SEGMENTS for k in range(SEGMENTS + 1)]
-    n, bounds = docs.agg(F.count("id"), F.percentile_approx("id", steps, 10_000)).first()
+    n, nulls = rows.agg(F.count("id"), F.count_if(F.col("id").isNull())).first()
     slices = min(MOST_SLICES, max(1, n // ROWS_PER_SLICE))
-    per = max(1, slices // SEGMENTS)
-    number = F.lit(-1).cast("long")
-    bounds = sorted(set(bounds or []))
-    for k, lo in enumerate(bounds):
-        hi = bounds[k + 1] if k + 1 < len(bounds) else lo + 1
-        part = F.floor((F.col("id") - lo).cast("double") / float(hi - lo) * per)
-        inside = F.least(F.lit(per - 1).cast("long"), F.greatest(F.lit(0).cast("long"), part))
-        number = F.when(F.col("id") >= lo, F.lit(k * per).cast("long") + inside).otherwise(number) \
-            if k else F.when(F.col("id").isNotNull(), inside).otherwise(number)
-    return number
+    segments = min(SEGMENTS, slices)
+    bounds = rows.agg(F.percentile_approx("id", [k / segments for k in range(segments)], 10 * segments)).first()[0] or []
+    null_part = _part_of_tie(max(1, min(_CUTS, nulls // ROWS_PER_SLICE)))
+    if not bounds:
+        return rows.withColumn("slice", null_part - F.lit(_CUTS))
+    per = max(1, slices // segments)
+    lows = sorted(set(bounds))
+    value = F.col("id").cast("double")
+    # doubles rise with ids, so slices do, also where several ids are one double
+    starts = sorted({float(x) for x in lows})
+    found = rows.withColumn("_value", value).withColumn("_segment", F.lit(0.0))
+    if len(starts) > 1:
+        found = Bucketizer(splits=[float("-inf"), *starts[1:], float("inf")], inputCol="_value", outputCol="_segment",
+                           handleInvalid="keep").transform(found.drop("_segment"))
+    at = F.col("_segment").cast("int")
+    low = F.element_at(F.array(*[F.lit(x) for x in starts]), at + 1)
+    high = F.element_at(F.array(*[F.lit(x) for x in [*starts[1:], starts[-1] + 1.0]]), at + 1)
+    inside = F.greatest(F.lit(0), F.least(F.lit(per - 1), F.floor((value - low) / (high - low) * per))).cast("long")
+    part = F.lit(0).cast("long")
+    owner = {float(x): x for x in lows if bounds.count(x) > 1}      # the id that owns a segment's start
+    if owner:
+        most = min(_CUTS - 4, max(bounds.count(x) for x in lows) * per)
+        heavy = F.element_at(F.array(*[F.lit(owner.get(x)).cast("long") for x in starts]), at + 1)
+        part = F.when(inside > 0, part).when(F.col("id") == heavy, 1 + _part_of_tie(most)) \
+            .when(F.col("id") > heavy, F.lit(most + 2).cast("long")).otherwise(part)
+    number = (at.cast("long") * per + inside) * _CUTS + part
+    return found.withColumn("slice", F.when(F.col("id").isNull(), null_part - F.lit(_CUTS)).otherwise(number)) \
+        .drop("_value", "_segment")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, id, tie, text`` and ``next_row``, ``next_text`` of the next document in descending order of ids.
+    """``slice, position, id, tie, text`` and ``next_slice, next_position, next_text`` of the next
+    document in descending order of ids.
 
-    ``row`` numbers the rows of ``docs`` in a stored table, so that repeated rows are told apart
-    and every use sees the same numbers. Rows are sorted slice by slice. The first document of
-    every slice is also sent to the slice before it, where it follows the last one; only those
-    few texts travel twice.
+    Rows are sorted slice by slice and numbered there, in the one shuffle of the texts. The first
+    document of every slice is also sent to the slice before it, where it follows the last one;
+    only those few texts travel twice, and the number of the first is known to be one.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = cut_lineage(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text",
-                                   F.xxhash64("text", F.lit(1)).alias("tie")), "numbered")
-    sliced = rows.withColumn("slice", _slices(rows))
-    order = [F.col("id").desc_nulls_last(), F.col("tie").desc(), F.col("row").desc()]
-    head = F.max(F.struct("id", "tie", "row")).alias("head")
-    heads = cut_lineage(sliced.select("row", "id", "tie", "slice").groupBy("slice").agg(head), "heads")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text")) \
+        .select("id", "text", F.xxhash64("text", F.lit(1)).alias("tie"))
+    sliced = _slices(rows)
+    heads = cut_lineage(sliced.groupBy("slice").agg(F.max(F.struct("id", "tie")).alias("head")), "heads")
     above = F.lead("slice").over(Window.orderBy("slice"))       # at most MOST_SLICES rows
     lowest = F.min("slice").over(Window.partitionBy())
-    guests = heads.select("head.row", F.coalesce(above, lowest).alias("to"))
-    marked = sliced.join(F.broadcast(guests), "row", "left")
-    dealt = marked.select("row", "id", "tie", "text", F.explode(F.when(F.col("to").isNull(), F.array(
-        F.struct(F.lit(0).alias("guest"), F.col("slice").alias("slice")))).otherwise(F.array(
-            F.struct(F.lit(0).alias("guest"), F.col("slice").alias("slice")),
-            F.struct(F.lit(1).alias("guest"), F.col("to").alias("slice"))))).alias("at")) \
-        .select("row", "id", "tie", "text", "at.*")
-    within = Window.partitionBy("slice").orderBy("guest", *order)
-    return dealt.select("row", "id", "tie", "text", "guest", F.lead("row").over(within).alias("next_row"),
+    guests = heads.select(F.col("slice").alias("of"), F.col("head.id").alias("head_id"), F.col("head.tie").alias("head_tie"),
+                          F.coalesce(above, lowest).alias("to"))
+    marked = sliced.join(F.broadcast(guests), (F.col("slice") == F.col("of")) & (F.col("tie") == F.col("head_tie"))
+                         & F.col("id").eqNullSafe(F.col("head_id")), "left")
+    here = F.struct(F.lit(0).alias("guest"), F.col("slice").alias("at"))
+    there = F.struct(F.lit(1).alias("guest"), F.col("to").alias("at"))
+    dealt = marked.select("id", "tie", "text", "slice", F.explode(
+        F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")) \
+        .select("id", "tie", "text", "slice", "x.*")
+    within = Window.partitionBy("at").orderBy("guest", F.col("id").desc_nulls_last(), F.col("tie").desc())
+    position = F.row_number().over(within)
+    return dealt.select("guest", "slice", "id", "tie", "text", position.alias("position"),
+                        F.lead("slice").over(within).alias("next_slice"),
+                        F.when(F.lead("guest").over(within) == 1, F.lit(1)).otherwise(position + 1).alias("next_position"),
                         F.lead("text").over(within).alias("next_text")).filter("guest = 0").drop("guest")
 
 
@@ -151,18 +179,17 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     both = pairs.select(
-        "row", "id", "next_row", n.cast("long").alias("n_chars"), "text", edited.alias("edited")) \
-        .select("row", "id", "next_row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "slice", "position", "id", "next_slice", "next_position", n.cast("long").alias("n_chars"), "text", edited.alias("edited")) \
+        .select("slice", "position", "id", "next_slice", "next_position", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                 F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
                                   F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("b")) \
         .select("*", "b.*").drop("b")
-    keys = ["row", "id", "next_row", "n_chars", "edited_sha256", "side"]
+    keys = ["slice", "position", "id", "next_slice", "next_position", "n_chars", "edited_sha256", "side"]
     lanes = cut_lineage(lanes_of(both, keys, "body"), "lanes")
-    drop_scratch(pairs)
     own, changed = lanes.filter("side = 0").drop("side"), lanes.filter("side = 1")
-    changed = changed.select("row", F.col("lanes").alias("edited"))
-    after = own.select(F.col("row").alias("next_row"), F.col("lanes").alias("after"))
-    return own.join(changed, "row").join(after, "next_row") \
+    changed = changed.select("slice", "position", F.col("lanes").alias("edited"))
+    after = own.select(F.col("slice").alias("next_slice"), F.col("position").alias("next_position"), F.col("lanes").alias("after"))
+    return own.join(changed, ["slice", "position"]).join(after, ["next_slice", "next_position"]) \
         .select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", render(F.col("lanes")).alias("fingerprint"),
                 render(F.col("edited")).alias("edited_fingerprint"),
                 likeness(F.col("lanes"), F.col("edited")).alias("near_edited"),

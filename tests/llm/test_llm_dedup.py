@@ -178,6 +178,46 @@ def test_multiset_odd_rows(spark):
     assert multiset.fingerprints_with_edits(odd(spark)).count() == 11
 
 
+def test_multiset_slices_follow_ids_and_hashes(spark):
+    """Null ids, an id that owns a third of the rows and far outliers are cut, and slices rise with the order."""
+    ids = [*range(3000), *[None] * 3000, *[700] * 3000, 1 << 60, (1 << 60) + 1, -(1 << 61)]
+    rows = spark.createDataFrame([(i, (k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)) for k, i in enumerate(ids)],
+                                 "id long, tie long")
+    found = multiset._slices(rows).collect()
+    assert len(found) == len(ids)
+    found.sort(key=lambda r: (r["id"] is not None, r["id"] or 0, r["tie"]))
+    numbers = [r["slice"] for r in found]
+    assert numbers == sorted(numbers)
+    sizes = {}
+    for n in numbers:
+        sizes[n] = sizes.get(n, 0) + 1
+    assert max(sizes.values()) < 700
+
+
+def test_multiset_next_document_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(multiset, "ROWS_PER_SLICE", 3)
+    texts = [f"text number {i % 40} {'x' * (i % 17)}" for i in range(200)]
+    table = [(None if i % 5 == 0 else 50 if i % 3 == 0 else i, t) for i, t in enumerate(texts)]
+    pairs = multiset.with_next(spark.createDataFrame(table, "doc_id long, text string").repartition(5)).collect()
+    at = {(r["slice"], r["position"]): r for r in pairs}
+    assert len(at) == len(pairs) == 200
+    order, now = [], max(pairs, key=lambda r: (r["id"] is not None, r["id"] or 0, r["tie"]))
+    for _ in pairs:
+        order.append(now)
+        after = at[now["next_slice"], now["next_position"]]
+        assert now["next_text"] == after["text"]
+        now = after
+    assert len({(r["slice"], r["position"]) for r in order}) == 200         # one round through all
+    keys = [(r["id"] is not None, r["id"] or 0, r["tie"]) for r in order]
+    assert keys == sorted(keys, reverse=True)
+
+
+def test_multiset_likeness_of_a_word_put_in_front(spark):
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    rows = by_id(multiset.fingerprints_with_edits(docs(spark, [" ".join(words), " ".join(["new", *words]), "others " * 300])))
+    assert rows[1]["near_next"] > 0.9 and rows[2]["near_next"] < 0.5
+
+
 @pytest.mark.parametrize("doc_id", [4, None])
 def test_multiset_repeated_rows_stay_apart(spark, doc_id):
     """Five rows with one id, or none, and one text, between two others; three more share the id only."""
