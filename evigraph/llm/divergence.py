@@ -35,7 +35,7 @@ from .common import text_of
 LEAST_DOCUMENTS = 3
 TOP = 200
 UNIT = 1_000_000_000
-_HELD = 200_000                 # counts a task holds before it hands them on
+_HELD = 400_000                 # counts a task holds before it hands them on
 _BLOCK = 20_000                 # profiles of a language compared in one task
 _CELLS = 1 << 21                # profiles times sources compared at once
 #: Letters A to Z become small, all other ASCII separates terms.
@@ -51,19 +51,21 @@ def _count(batches):
     held, size = {}, 0
 
     def out():
-        rows = [(lang, source, term.decode("utf-8", "surrogatepass"), n, docs[term])
-                for (lang, source), (found, docs) in held.items() for term, n in found.items()]
-        # a group without terms is a group nevertheless
-        rows += [(lang, source, None, 0, 0) for lang, source in held]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+        parts = []
+        for (lang, source), (found, docs) in held.items():
+            # a group without terms is a group nevertheless
+            parts.append(pd.DataFrame({"lang": lang, "source": source,
+                                       "term": [None, *[t.decode("utf-8", "surrogatepass") for t in found]],
+                                       "n": [0, *found.values()], "docs": [0, *map(docs.__getitem__, found)]}))
+        return pd.concat(parts)
 
     for pdf in batches:
         for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"]):
             found, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            words = Counter(terms(text))
+            words = terms(text)
             size -= len(found)
             found.update(words)
-            docs.update(words.keys())
+            docs.update(set(words))
             size += len(found)
             if size > _HELD:
                 yield out()
