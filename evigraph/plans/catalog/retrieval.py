@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import vectors as vx
-from ...operators import evaluate, knn, rerank
+from ...operators import cells, evaluate, knn, rerank
 from ...operators.chunking import paged_chunks
 from ...operators.embed import answer, embed
 from ...session import read_table
@@ -142,6 +142,61 @@ def nearest_hashed_recall(spark, root):
         F.count("*").alias("wanted"), F.count("hit").alias("found"))
 
 
+def _cells_sql() -> str:
+    """The rounds of the partition index, the cells of all vectors and the answers from probed cells."""
+    near = f"arg_min(cell, {{d: {s.l2('embedding', 'c')}, n: cell}})"
+    steps = [f"""sampled AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS n
+        FROM embeddings WHERE embedding IS NOT NULL QUALIFY n < {cells.SAMPLE})""",
+             f"c0 AS (SELECT n AS cell, list_transform(embedding, lambda x: x::DOUBLE) AS c FROM sampled WHERE n < {cells.CELLS})"]
+    for r in range(cells.ROUNDS):
+        steps += [f"a{r} AS (SELECT vec_id, {near} AS cell FROM sampled, c{r} GROUP BY vec_id)",
+                  f"""m{r} AS (SELECT cell, list(x ORDER BY i) AS c FROM (
+            SELECT cell, i, round(avg(embedding[i]::DOUBLE), 6) AS x FROM a{r} JOIN sampled USING (vec_id),
+                   range(1, 65) AS t(i) GROUP BY cell, i) GROUP BY cell)""",
+                  f"c{r + 1} AS (SELECT cell, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (cell))"]
+    return ", ".join([*steps, f"""
+    centres AS MATERIALIZED (SELECT * FROM c{cells.ROUNDS}),
+    stored AS (SELECT vec_id AS id, {near} AS cell FROM embeddings, centres GROUP BY vec_id),
+    asked AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+    probed AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY {s.l2('embedding', 'c')}, cell) AS p
+        FROM asked, centres QUALIFY p <= {cells.PROBES}),
+    near AS (SELECT query_id, id, {s.l2('a.embedding', 'e.embedding')} AS distance FROM probed JOIN stored USING (cell)
+        JOIN asked a USING (query_id) JOIN embeddings e ON e.vec_id = id),
+    found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near)"""])
+
+
+def _asked(spark, root):
+    e = read_table(spark, root, "embeddings")
+    return (e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
+            e.select(F.col("vec_id").alias("id"), "embedding"))
+
+
+@query("nearest_in_cells", "J1 (approximate) W1", f"""
+    WITH {_cells_sql()} SELECT query_id, id, round(distance, 5) AS distance, rank::INTEGER AS rank
+    FROM found WHERE rank <= 5""")
+def nearest_in_cells(spark, root):
+    """Every twentieth vector against a stored partition index of all of them."""
+    asked, every = _asked(spark, root)
+    return cells.search(asked, cells.build(every), every).select(
+        "query_id", "id", F.round("distance", 5).alias("distance"), "rank")
+
+
+@query("nearest_in_cells_recall", "J1 (approximate)", f"""
+    WITH {_cells_sql()}, e AS (SELECT query_id, b.vec_id AS id, {s.l2('a.embedding', 'b.embedding')} AS distance
+        FROM asked a, embeddings b),
+    exact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM e)
+    SELECT count(*) AS wanted, count(f.id) AS found, count(f.id) >= 0.9 * count(*) AS enough
+    FROM exact LEFT JOIN (SELECT * FROM found WHERE rank <= 5) f USING (query_id, id) WHERE exact.rank <= 5""")
+def nearest_in_cells_recall(spark, root):
+    """How many of the exact five nearest the partition index finds."""
+    asked, every = _asked(spark, root)
+    exact = knn.knn(asked, every, k=5).select("query_id", "id")
+    found = nearest_in_cells(spark, root).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(
+        F.count("*").alias("wanted"), F.count("hit").alias("found"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("nearest_cosine", "J1 J2 W1", f"""
     WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
         1 - {s.dot('a.embedding', 'b.embedding')} /
