@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...session import read_table, scratch_path
 from ...streaming import jobs as streams
+from ...streaming import keyed
 from . import query
 from .operations import BEATS, HEALTH, LOG, REPLAY, STATES, TRANSITIONS, _mapped
 
@@ -63,39 +64,40 @@ COUNTS_SQL = """
 
 @query("stream_states", "R2", STATES_SQL)
 def stream_states(spark, root):
-    return streams.stream_states(_jobs(event_stream(spark, root)), scratch_path(spark, "states"), TRANSITIONS).state()
+    return keyed.stream_states(_jobs(event_stream(spark, root)), scratch_path(spark, "states"), TRANSITIONS).latest("job_id")
 
 
 @query("stream_states_unsorted", "R2", STATES_SQL)
 def stream_states_unsorted(spark, root):
-    return streams.stream_states(_jobs(unsorted_stream(spark, root)), scratch_path(spark, "states"),
-                                 TRANSITIONS, MONTH).state()
+    return keyed.stream_states(_jobs(unsorted_stream(spark, root)), scratch_path(spark, "states"),
+                               TRANSITIONS, MONTH).latest("job_id")
 
 
 @query("stream_streaks", "R4", STREAKS_SQL)
 def stream_streaks(spark, root):
-    return streams.stream_streaks(_beats(event_stream(spark, root)), scratch_path(spark, "streaks")).state()
+    return keyed.stream_streaks(_beats(event_stream(spark, root)), scratch_path(spark, "streaks")).latest("worker_id")
 
 
 @query("stream_streaks_unsorted", "R4", STREAKS_SQL)
 def stream_streaks_unsorted(spark, root):
-    return streams.stream_streaks(_beats(unsorted_stream(spark, root)), scratch_path(spark, "streaks"), MONTH).state()
+    return keyed.stream_streaks(_beats(unsorted_stream(spark, root)), scratch_path(spark, "streaks"), MONTH).latest("worker_id")
 
 
-def _stale(spark, stream, bound):
+def _stale(spark, root, stream, bound):
     """Jobs silent in flight for twelve hours of event time."""
-    return streams.stream_stale(_jobs(stream), scratch_path(spark, "stale"), 43200, bound).withColumn(
-        "last_event", F.unix_micros("last_event"))
+    job = keyed.stream_silent(_jobs(stream), scratch_path(spark, "stale"), 43200, bound)
+    newest = read_table(spark, root, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
+    return keyed.silent_periods(job, newest, 43200).withColumn("last_event", F.unix_micros("last_event"))
 
 
 @query("stream_stale", "R3 P11", STALE_SQL)
 def stream_stale(spark, root):
-    return _stale(spark, event_stream(spark, root), streams.BOUND)
+    return _stale(spark, root, event_stream(spark, root), streams.BOUND)
 
 
 @query("stream_stale_unsorted", "R3", STALE_SQL)
 def stream_stale_unsorted(spark, root):
-    return _stale(spark, unsorted_stream(spark, root), MONTH)
+    return _stale(spark, root, unsorted_stream(spark, root), MONTH)
 
 
 def _counts(out):
@@ -150,6 +152,26 @@ def stream_sessions_unsorted(spark, root):
     return _sessions(unsorted_stream(spark, root), scratch_path(spark, "sessions"))
 
 
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("stream_closed_counts", "R5", f"""
+    SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type AS event, count(*) AS events FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1, 2""")
+def stream_closed_counts(spark, root):
+    """Hourly counts of the windows that the watermark, ten minutes behind, has closed."""
+    return _counts(keyed.closed_counts(event_stream(spark, root), scratch_path(spark, "closed"),
+                                       event="event_type").changes())
+
+
+@query("stream_closed_sessions", "R5", f"WITH all_of AS ({SESSIONS_SQL}) SELECT * FROM all_of WHERE session_end <= epoch_us({_CLOSED})")
+def stream_closed_sessions(spark, root):
+    """Sessions that nothing in time can prolong any more."""
+    out = keyed.closed_sessions(event_stream(spark, root), scratch_path(spark, "bursts"), "6 hours", key="user_id").changes()
+    return out.select("user_id", F.unix_micros("session_start").alias("session_start"),
+                      F.unix_micros("session_end").alias("session_end"), "events")
+
+
 @query("stream_without_replays", "R6", """
     SELECT event_type AS event, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events
     GROUP BY 1""")
