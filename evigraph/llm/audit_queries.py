@@ -15,6 +15,7 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id,
      gone AS (SELECT DISTINCT r, unnest(range(i, i + {passages.WINDOW})) AS i FROM h JOIN again USING (h)),
      lost AS (SELECT r, list(i) AS lost, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+       n IS NOT NULL AS has_repeats,
        sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w
               ELSE list_filter(w, lambda x, i: NOT list_contains(lost, i)) END, ' '), '')) AS kept_sha256
 FROM t LEFT JOIN lost USING (r)

@@ -265,4 +265,5 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """The result of ``remove_passages`` with a digest in place of the kept words."""
-    return remove_passages(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_passages(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
+                                                  (F.col("n_removed") > 0).alias("has_repeats"))

@@ -234,4 +234,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, form
 def report(docs: DataFrame, **options) -> DataFrame:
     """The result of ``remove_repeats`` with a digest in place of the kept bytes."""
     return remove_repeats(docs, **options).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeats"))
