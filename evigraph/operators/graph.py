@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage, rule_rows
+from ..sources.buckets import bucketed
 
 EDGE = ["source", "relation", "target"]
 DIRECTIONS = ("outgoing", "incoming", "both")
@@ -129,25 +130,40 @@ def neighbors(ids: DataFrame, edges: DataFrame, direction: str = "related",
     return out.unionByName(into.where(F.col("source") != F.col("target")))
 
 
+def adjacency(edges: DataFrame, direction: str = "outgoing", relation: str | None = None) -> DataFrame:
+    """``(node, next, source, relation, target)``, a stored table bucketed by ``node``.
+
+    The edges are shuffled once, when it is made; every level of a walk shuffles what it has
+    reached and reads the buckets where they are.
+    """
+    edges = _of_relation(edges, relation).select(*EDGE)
+    if direction == "both":
+        forward = edges.select(F.col("source").alias("node"), F.col("target").alias("next"), *EDGE)
+        backward = edges.select(F.col("target").alias("node"), F.col("source").alias("next"), *EDGE)
+        return bucketed(forward.unionAll(backward), ["node"], "adjacency")
+    near, far = ("source", "target") if direction == "outgoing" else ("target", "source")
+    stored = bucketed(edges, [near], "adjacency")
+    return stored.select(F.col(near).alias("node"), F.col(far).alias("next"), *EDGE)
+
+
 def traverse(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 2,
-             direction: str = "outgoing", relation: str | None = None) -> DataFrame:
+             direction: str = "outgoing", relation: str | None = None,
+             steps: DataFrame | None = None) -> DataFrame:
     """Breadth-first edges from every seed: ``(seed, source, relation, target, depth)``.
 
     All seeds advance together, one level per pass. Only node distances are iterated: an
     edge's depth is one more than the distance of its nearest expanding end, so the edges
     themselves are joined once, at the end. A seed that is not a registered node yields
-    nothing; nodes met on the way need not be registered.
+    nothing; nodes met on the way need not be registered. ``steps`` is the ``adjacency`` of
+    the edges, for callers that walk them more than once.
     """
     if max_depth <= 0:
         raise ValueError("max_depth must be greater than zero")
     direction = direction.strip().lower()
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
-    edges = _of_relation(edges, relation).select(*EDGE)
-    forward = edges.select(F.col("source").alias("node"), F.col("target").alias("next"), *EDGE)
-    backward = edges.select(F.col("target").alias("node"), F.col("source").alias("next"), *EDGE)
-    steps = {"outgoing": forward, "incoming": backward,
-             "both": forward.unionAll(backward)}[direction]
+    if steps is None:
+        steps = adjacency(edges, direction, relation)
 
     registered = nodes.select(F.col("id").alias("seed"))
     level = (seeds.select(tx.strip("seed").alias("seed")).distinct()
@@ -241,7 +257,7 @@ def seed_nodes(questions: DataFrame, hits: DataFrame, nodes: DataFrame, aliases,
 
 
 def terminal_edges(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
-                   max_depth: int = 3) -> DataFrame:
+                   max_depth: int = 3, steps: DataFrame | None = None) -> DataFrame:
     """Context of seeds without outgoing edges: step back to the parents, then outward.
 
     Parents are taken in insertion order of their edges. An edge counts at its first
@@ -252,7 +268,7 @@ def terminal_edges(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
         "seed", *EDGE, "seq"), "into")
     found = into.select("seed", *EDGE, "seq", F.lit(0).alias("kind"), F.lit(1).alias("depth"))
     if max_depth > 1:
-        out = traverse(into.select(F.col("source").alias("seed")), nodes, edges, max_depth - 1)
+        out = traverse(into.select(F.col("source").alias("seed")), nodes, edges, max_depth - 1, steps=steps)
         parents = into.select("seed", F.col("source").alias("parent"), "seq")
         onward = out.withColumnRenamed("seed", "parent").join(parents, "parent").select(
             "seed", *EDGE, "seq", F.lit(1).alias("kind"), (F.col("depth") + 1).alias("depth"))
@@ -273,11 +289,13 @@ def graph_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame,
     pairs = seeds.select("query_id", "seed").distinct()
     starts = cut_lineage(pairs.select("seed").distinct())
     nodes = cut_lineage(nodes.select("id", "properties"), "nodes")
-    outward = traverse(starts, nodes, edges, max_depth)
-    has_way_out = (edges.select(F.col("source").alias("seed"))
-                   .join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi"))
-    dead_ends = starts.join(has_way_out, "seed", "left_anti")
-    back = terminal_edges(dead_ends, nodes, edges, max_depth)
+    steps = adjacency(edges)
+    outward = traverse(starts, nodes, edges, max_depth, steps=steps)
+    # a seed that is no node has no way out either
+    walks = steps.join(starts.withColumnRenamed("seed", "node"), "node", "left_semi").select(F.col("node").alias("seed")).distinct()
+    way_out = walks.join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
+    dead_ends = starts.join(way_out, "seed", "left_anti")
+    back = terminal_edges(dead_ends, nodes, edges, max_depth, steps)
     found = edges_in_domain(outward.unionByName(back), edges, nodes, domain)
     # A question has few seeds; their order as a number keeps the large aggregation hashed.
     order = Window.partitionBy("query_id").orderBy("seed")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ... import vocab
 from ...functions import text as tx
-from ...operators import chunking, extract, graph, route
+from ...operators import chunking, extract, graph, rerank, route
 from ...session import cut_lineage, read_table, scratch_path
 from ...sources import tables
 from .. import evidence
@@ -170,22 +170,20 @@ def graph_round_trip(spark, root):
         edges.groupBy(F.concat(F.lit("edge "), "relation")).agg(F.count("*")))
 
 
-@query("graph_json_import", "S9", """
-    SELECT 'nation:' || n_nationkey AS id, 'nation' AS type, n_name AS name, 'region:' || n_regionkey AS target
-    FROM nation""")
+@query("graph_json_import", "S9", f"""
+    WITH {NODES}, {EDGES} SELECT 'node ' || type AS kind, count(*) AS elements, sum(length(id))::BIGINT AS letters FROM nodes GROUP BY 1
+    UNION ALL SELECT 'edge ' || relation, count(*), sum(length(source) + length(target))::BIGINT FROM edges GROUP BY 1""")
 def graph_json_import(spark, root):
-    """Nations and their regions written as one graph document and imported again."""
-    path = scratch_path(spark, "document")
-    n = read_table(spark, root, "nation").select(
-        _id("nation", "n_nationkey").alias("id"), _id("region", "n_regionkey").alias("target"),
-        F.create_map(F.lit("name"), F.col("n_name")).alias("properties"))
-    node = F.struct("id", F.struct("id", F.lit("nation").alias("type"), "properties").alias("n"))
-    edge = F.struct(F.col("id").alias("source"), F.lit("located_in").alias("relation"), "target", "properties")
-    n.agg(F.map_from_entries(F.collect_list(node)).alias("nodes"), F.collect_list(edge).alias("edges")) \
-        .select(F.to_json(F.struct("nodes", "edges")).alias("value")).write.mode("append").text(path)
+    """The whole graph as JSON documents of about a thousand elements, imported again."""
+    path = scratch_path(spark, "documents")
+    nodes, edges = star_nodes(spark, root), star_edges(spark, root)
+    rows = graph.graph_counts(nodes, edges).selectExpr("greatest(node_count, edge_count)").first()[0]
+    tables.write_documents(tables.graph_documents(nodes, edges, rows), path)
     nodes, edges = tables.graph_from_json(spark, path)
-    return nodes.select("id", "type", F.col("properties")["name"].alias("name")).join(
-        edges.select(F.col("source").alias("id"), "target"), "id")
+    return nodes.groupBy(F.concat(F.lit("node "), "type").alias("kind")).agg(
+        F.count("*").alias("elements"), F.sum(F.char_length("id")).alias("letters")).unionAll(
+        edges.groupBy(F.concat(F.lit("edge "), "relation")).agg(
+            F.count("*"), F.sum(F.char_length("source") + F.char_length("target"))))
 
 
 # --- neighbours and traversal -------------------------------------------------------------
@@ -555,6 +553,19 @@ def answer_context(spark, root):
                       "graph_edges", F.md5("context").alias("context_md5"))
 
 
+@query("context_lines", "A7 O3 G2 J5", f"""
+    WITH {hits_sql(2)}, {_ASKED}, {NODES}, {EDGES}, {FORWARD}, {route_sql(ALIASES, PATTERNS)}, {_seeds_sql()},
+    {_context_sql(1)}
+    SELECT query_id, depth, source, relation, target,
+        source || ' ' || relation || ' ' || target || ' (depth ' || depth || ')' AS line FROM context""")
+def context_lines(spark, root):
+    """Graph lines of all questions as rows; a question that meets a hub is many rows, not one value."""
+    hits = cut_lineage(question_hits(spark, root, k=2), "hits")
+    nodes = star_nodes(spark, root)
+    seeds = cut_lineage(graph.seed_nodes(user_questions(spark, root), hits, nodes, ALIASES, TOOLS, SOURCES), "seeds")
+    return rerank.context_edges(graph.graph_context(seeds, nodes, star_edges(spark, root), max_depth=1))
+
+
 # --- extraction --------------------------------------------------------------------------------
 
 ENTITY_RULES = [("tion", "tion", "suffix"), ("thand", "thand", "stem"), ("eaux", "eaux", "stem"),

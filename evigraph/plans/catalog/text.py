@@ -8,7 +8,7 @@ from ... import vocab
 from ...functions import text as tx
 from ...operators import chunking, ingest, rules
 from ...session import cut_lineage, read_table, scratch_path
-from ...sources import corpus, pages, tables
+from ...sources import corpus, pages, stored, tables
 from .. import ingestion
 from . import query
 from . import sqltext as s
@@ -688,11 +688,58 @@ def parsed_fields(spark, root):
 
 @query("read_manifest", "S6", "SELECT item_id::VARCHAR AS item, length(text) AS letters FROM benchmark")
 def read_manifest(spark, root):
-    """A manifest written as one JSON array and read back."""
+    """Manifests written as JSON arrays, one file for each bucket of about a thousand rows, and read back."""
     path = scratch_path(spark, "manifest")
+    items = read_table(spark, root, "benchmark")
     record = F.to_json(F.struct(F.col("item_id").cast("string").alias("item"), "text"))
-    items = read_table(spark, root, "benchmark").agg(F.concat(
-        F.lit("["), F.concat_ws(", ", F.collect_list(record)), F.lit("]")).alias("value"))
-    items.write.mode("append").text(path)
+    documents = tables.json_arrays(items.select("item_id", record.alias("record")), "item_id", "record", items.count())
+    tables.write_documents(documents, path)
     return tables.read_manifest(spark, path, "item string, text string").select(
         "item", F.char_length("text").alias("letters"))
+
+
+@query("open_fields", "H6 S12", """
+    WITH p AS (SELECT event_id, CASE event_type WHEN 'error' THEN left(props, length(props) - 1)
+            WHEN 'view' THEN '[' || event_id || ', {"page": "p' || user_id || '"}]'
+            WHEN 'click' THEN '{"k": "' || event_id || '", "deep": {"list": [1, 2.5, "x"]}}'
+            WHEN 'signup' THEN NULL ELSE props END AS props FROM events)
+    SELECT event_id, CASE WHEN json_valid(props) THEN json_type(props) END AS kind,
+        CASE WHEN json_valid(props) THEN try_cast(props ->> '$.k' AS BIGINT) END AS k,
+        CASE WHEN json_valid(props) THEN props ->> '$[1].page' END AS page,
+        CASE WHEN json_valid(props) THEN try_cast(props ->> '$.deep.list[1]' AS DOUBLE) END AS number,
+        props IS NOT NULL AND NOT coalesce(json_valid(props), false) AS broken FROM p""")
+def open_fields(spark, root):
+    """Fields of JSON without a fixed schema: objects, arrays, nested values, nulls and broken text."""
+    event = F.col("event_type")
+    props = F.when(event == "error", F.expr("left(props, length(props) - 1)")) \
+        .when(event == "view", F.format_string('[%d, {"page": "p%d"}]', "event_id", "user_id")) \
+        .when(event == "click", F.format_string('{"k": "%d", "deep": {"list": [1, 2.5, "x"]}}', "event_id")) \
+        .when(event == "signup", F.lit(None)).otherwise(F.col("props"))
+    v = F.try_parse_json("props")
+    whole = F.schema_of_variant("v")
+    kind = F.when(whole.startswith("OBJECT"), "OBJECT").when(whole.startswith("ARRAY"), "ARRAY")
+    return read_table(spark, root, "events").select("event_id", props.alias("props")).withColumn("v", v).select(
+        "event_id", kind.alias("kind"), F.try_variant_get("v", "$.k", "bigint").alias("k"),
+        F.try_variant_get("v", "$[1].page", "string").alias("page"),
+        F.try_variant_get("v", "$.deep.list[1]", "double").alias("number"),
+        (F.col("props").isNotNull() & F.col("v").isNull()).alias("broken"))
+
+
+@query("stored_vector_upsert", "S7 S8 S12 A21", """
+    WITH one AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 50 = 0
+            UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 90 = 1),
+    two AS (SELECT vec_id, label + 200 AS label FROM embeddings WHERE vec_id % 100 = 0
+            UNION ALL SELECT vec_id + 1000000, label + 300 FROM embeddings WHERE vec_id % 180 = 1),
+    every AS (SELECT vec_id, label, 0 AS seq FROM embeddings UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two)
+    SELECT vec_id, arg_max(label, seq) AS label FROM every GROUP BY vec_id""")
+def stored_vector_upsert(spark, root):
+    """A stored vector table updated in place twice, each time with some rows replaced and some added."""
+    e = read_table(spark, root, "embeddings").select("vec_id", "embedding", "label")
+    table = stored.KeyedTable(spark, scratch_path(spark, "vectors"), e.schema, ("vec_id",))
+    table.upsert(e, "label")
+    new = F.col("vec_id") + 1000000
+    for step, shift, more in ((1, 100, 0), (2, 200, 300)):
+        table.upsert(e.where(f"vec_id % {50 * step} = 0").withColumn("label", (F.col("label") + shift).cast("int")).unionByName(
+            e.where(f"vec_id % {90 * step} = 1").select(new.alias("vec_id"), "embedding", (F.col("label") + more).cast("int").alias("label"))),
+            "label")
+    return table.read().select("vec_id", "label")

@@ -15,6 +15,35 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+ROWS_PER_DOCUMENT = 1000
+
+
+def _bucket(key: str, rows: int):
+    return F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // ROWS_PER_DOCUMENT)))).alias("bucket")
+
+
+def json_arrays(records: DataFrame, key: str, record: str, rows: int) -> DataFrame:
+    """JSON texts of ``rows`` rows in all put together into arrays of about a thousand, by a hash of the key."""
+    return records.groupBy(_bucket(key, rows)).agg(F.concat(
+        F.lit("["), F.concat_ws(", ", F.collect_list(record)), F.lit("]")).alias("value"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Rows ``(bucket, value)`` as one file for each; they are written and read in parallel."""
+    documents.write.mode("append").partitionBy("bucket").text(path)
+
+
+def graph_documents(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+    """``(bucket, value)``: graph documents of about a thousand elements, each with its nodes and edges."""
+    node = F.struct("id", F.struct("id", "type", "properties").alias("n"))
+    some_nodes = nodes.groupBy(_bucket("id", rows)).agg(F.map_from_entries(F.collect_list(node)).alias("nodes"))
+    edge = F.struct("source", "relation", "target", "properties")
+    name = F.concat_ws("\u0001", "source", "relation", "target")
+    some_edges = edges.withColumn("_name", name).groupBy(_bucket("_name", rows)).agg(F.collect_list(edge).alias("edges"))
+    return some_nodes.join(some_edges, "bucket", "full_outer").select(
+        "bucket", F.to_json(F.struct("nodes", "edges")).alias("value"))
+
+
 # --- keyed tables -------------------------------------------------------------------
 
 def append(df: DataFrame, path: str, *partition_by: str) -> None:
