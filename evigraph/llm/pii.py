@@ -3,9 +3,12 @@
 Eight generators propose overlapping spans with a high recall: the strict formats of e-mail
 addresses, IP addresses, card and phone numbers, and a loose variant of each. A span in a strict
 format that passes its check (parts up to 255, Luhn, number of digits) is a base span and always
-stays. Boosted trees learn, from format and context of all proposed spans, which of them look
-like base spans; a proposed span outside the base spans is added where its score reaches the
-threshold of its kind, the lowest with the wanted precision over the corpus.
+stays. Boosted trees learn, from kind, format and context of all proposed spans, which of them hold
+personal data: a span is labelled so if it passes the check of its kind once its disguise is taken
+off, as ``bob [at] host [dot] com`` does. Which generator proposed it is not known to the trees. A
+proposed span that meets no base span is added where its score reaches the threshold of its kind,
+the lowest with the wanted precision among such spans alone, so that the number of base spans in
+the corpus does not decide.
 
 The corpus is read once and no text is shuffled: proposals become rows, positions are running
 sums of the lengths between matches, and a document's spans meet again by its row number.
@@ -43,15 +46,18 @@ GENERATORS = (
 CONTEXT = 24
 HINTS = r"(?i)(mail|tel|phone|call|fax|card|visa|karte|tarjeta|carte|host|addr|contact|kontakt)"
 PRECISION = 0.98
-FEATURES = ("g", "digits", "letters", "marks", "before", "after", "hint", "lead", "head")
+FEATURES = ("kind", "digits", "letters", "marks", "before", "after", "hint", "lead", "head", "luhn", "small")
+
+
+_AT, _DOT = r"\x20?[\[(](?:at|AT)[\])]\x20?", r"\x20?[\[(](?:dot|DOT|\.)[\])]\x20?"
 
 
 def _matches(text: Column, g: int, pattern: str) -> Column:
-    """Matches of one generator, each with the gap before it and the letter behind it."""
+    """Matches of one generator, each with the gap before it and the two letters behind it."""
     def of(gaps: Column) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda match, i: F.struct(
             F.lit(g).alias("g"), i.alias("i"), F.char_length(F.get(gaps, i)).alias("gap"), match.alias("match"),
-            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("pre"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("post")))
+            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("pre"), F.left(F.get(gaps, i + 1), F.lit(2)).alias("post")))
     return bind(F.split(text, pattern, -1), of)
 
 
@@ -81,7 +87,7 @@ def _letter_class(c: Column) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                row: Column | None = None) -> DataFrame:
-    """Proposed spans with positions, features and whether they are base spans or meet one.
+    """Proposed spans with positions, features, label and whether they are base spans or meet one.
 
     Documents without any keep one row with a null ``g``.
     """
@@ -93,19 +99,26 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = F.sum(F.col("gap") + F.char_length("match")).over(before)
     digits = F.regexp_replace("match", "[^0-9]", "")
     n = F.char_length(digits)
-    small = F.forall(F.split("match", r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
-    valid = (F.when(F.col("g") == 0, F.lit(True)).when(F.col("g") == 1, small)
-             .when(F.col("g") == 2, n.between(14, 19) & F.when(n.between(14, 19), _luhn(digits)).otherwise(False))
-             .when(F.col("g") == 3, n.between(10, 15)).otherwise(F.lit(False)))
+    plain = F.when(F.col("g") < 4, F.col("match")).otherwise(
+        F.regexp_replace(F.regexp_replace("match", _AT, "@"), _DOT, "."))
+    address = plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")
+    small = F.forall(F.split(plain, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
+    kind = F.col("g") % 4
+    luhn = F.when(kind != 2, 2).when(n.between(14, 19), _luhn(digits).cast("int")).otherwise(0)
+    earned = (F.when(kind == 0, address).when(kind == 1, small)
+              .when(kind == 2, luhn == 1).when(kind == 3, n.between(10, 15) & (
+                  # loose: not a piece of a longer number
+                  (F.col("g") < 4) | ~F.coalesce(F.col("post"), F.lit("")).rlike(r"^[\x20.-]?[0-9]"))).otherwise(F.lit(False)))
     letters = F.char_length(F.regexp_replace("match", "[^A-Za-z]", ""))
     placed = found.select(
-        "row", "doc_id", "g", (F.col("g") % 4).alias("kind"),
+        "row", "doc_id", "g", kind.alias("kind"), earned.alias("earned"),
         (end - F.char_length("match")).cast("long").alias("start"), end.cast("long").alias("end"),
-        valid.alias("base"), F.least(n, F.lit(20)).alias("digits"), F.least(letters, F.lit(12)).alias("letters"),
+        (earned & (F.col("g") < 4)).alias("base"), F.least(n, F.lit(20)).alias("digits"), F.least(letters, F.lit(12)).alias("letters"),
         F.least(F.char_length("match") - n - letters, F.lit(8)).alias("marks"),
         _letter_class(F.right("pre", F.lit(1))).alias("before"), _letter_class(F.col("post")).alias("after"),
         F.col("pre").rlike(HINTS).cast("int").alias("hint"), F.col("match").rlike(r"^[+(]").cast("int").alias("lead"),
-        F.coalesce(F.left(digits, F.lit(1)).try_cast("int"), F.lit(10)).alias("head"))
+        F.coalesce(F.left(digits, F.lit(1)).try_cast("int"), F.lit(10)).alias("head"),
+        luhn.alias("luhn"), F.when(kind == 1, small.cast("int")).otherwise(2).alias("small"))
     up = Window.partitionBy("row", "kind").orderBy("start", "end", "g").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("row", "kind").orderBy(F.desc("start"), F.desc("end"), F.desc("g")) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -119,16 +132,22 @@ def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[boosting.Model,
 
     The counted combinations are bounded by the feature grid, not by the corpus.
     """
+    def total(c: Column) -> Column:
+        return F.sum(c.cast("long"))
+
+    alone = ~F.col("meets")
     counted = spans.filter("g IS NOT NULL").groupBy(*FEATURES).agg(
-        F.sum(F.col("meets").cast("long")).alias("positive"), F.count(F.lit(1)).alias("n")) \
+        total(F.col("earned")).alias("positive"), F.count(F.lit(1)).alias("n"),
+        total(F.col("earned") & alone).alias("alone_positive"), total(alone).alias("alone")) \
         .orderBy(*FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in counted], dtype=np.int64).reshape(-1, len(FEATURES))
-    positive = np.array([r["positive"] for r in counted], dtype=np.float64)
-    n = np.array([r["n"] for r in counted], dtype=np.float64)
+    positive, n, alone_positive, alone = (np.array([r[c] for r in counted], dtype=np.float64)
+                                          for c in ("positive", "n", "alone_positive", "alone"))
     model = boosting.fit(x, positive, n)
     score = 1 / (1 + np.exp(-model.logits(x))) if len(x) else np.zeros(0)
-    mine = [x[:, 0] % 4 == k for k in range(len(KINDS))]
-    return model, [boosting.threshold(score[m], positive[m], n[m], precision) for m in mine]
+    mine = [(x[:, 0] == k) & (alone > 0) for k in range(len(KINDS))]
+    # Spark adds the trees up in another order than numpy, so equal scores may differ in their last digits
+    return model, [boosting.threshold(score[m], alone_positive[m], alone[m], precision) - 1e-9 for m in mine]
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None,

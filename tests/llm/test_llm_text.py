@@ -56,12 +56,26 @@ def test_pii_odd_texts(spark):
     check_spans(by_id(pii.report(docs(spark, texts))), range(len(texts)), texts)
 
 
-def test_pii_adds_what_looks_like_base_spans(spark):
-    texts = [f"call +1 ({200 + k}) 555-{1000 + k} now" for k in range(300)]
-    texts += ["write to bob (at) mail.example.com", "nothing here 12"]
+DISGUISED = {
+    "mail bob0 [at] host [dot] com today": "email:5:29", "write ann(at)mail.example(dot)org now": "email:6:33",
+    "host 10[.]0[.]0[.]255 is up": "ip:5:21", "card 4111.1111.1111.1111 was used": "card:5:24",
+    "call (964) 555-63601 now": "phone:5:20"}
+CLEAN = ["host 10[.]0[.]0[.]999 is down", "card 4111.1111.1111.1112 is none", "look (at) this and go", "in 1999-2000 12-13 of 100-200-300"]
+
+
+@pytest.mark.parametrize("plain", [10, 1000])
+def test_pii_finds_disguised_forms_in_any_mix(spark, plain):
+    """The same texts give the same spans beside few and beside many base spans."""
+    texts = [*DISGUISED, *CLEAN, *[f"mail a{k}@b{k}.example.com or +1 ({200 + k % 700}) 555-1234 at 10.0.{k % 256}.7 "
+              f"and 10.0.0.{990 if k % 2 else 9}, card 4111 1111 1111 111{1 + k % 2}" for k in range(plain)]]
     got = by_id(pii.report(docs(spark, texts)))
-    assert got[0]["n_phone"] == 1 and got[301]["spans"] == ""
-    assert not any("email" in r["spans"] for k, r in got.items() if k < 300)
+    assert [got[k]["spans"] for k in range(len(DISGUISED))] == list(DISGUISED.values())
+    assert all(got[len(DISGUISED) + k]["spans"] == "" for k in range(len(CLEAN)))
+    assert all(sum(got[k][f"n_{kind}"] for kind in pii.KINDS) == 0 for k in range(len(DISGUISED) + len(CLEAN)))
+
+
+def test_pii_trees_do_not_know_the_generator():
+    assert "g" not in pii.FEATURES
 
 
 def test_redaction(spark):
