@@ -180,17 +180,19 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     both = pairs.select(
         "slice", "position", "id", "next_slice", "next_position", n.cast("long").alias("n_chars"), "text", edited.alias("edited")) \
-        .select("slice", "position", "id", "next_slice", "next_position", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        .select("slice", "position", "id", "next_slice", "next_position", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"),
                 F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
                                   F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("b")) \
         .select("*", "b.*").drop("b")
+    for c in ("id", "next_slice", "next_position", "n_chars", "edited_sha256"):      # once a document is enough
+        both = both.withColumn(c, F.when(F.col("side") == 0, F.col(c)))
     keys = ["slice", "position", "id", "next_slice", "next_position", "n_chars", "edited_sha256", "side"]
     lanes = cut_lineage(lanes_of(both, keys, "body"), "lanes")
     own, changed = lanes.filter("side = 0").drop("side"), lanes.filter("side = 1")
     changed = changed.select("slice", "position", F.col("lanes").alias("edited"))
     after = own.select(F.col("slice").alias("next_slice"), F.col("position").alias("next_position"), F.col("lanes").alias("after"))
     return own.join(changed, ["slice", "position"]).join(after, ["next_slice", "next_position"]) \
-        .select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", render(F.col("lanes")).alias("fingerprint"),
+        .select(F.col("id").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), render(F.col("lanes")).alias("fingerprint"),
                 render(F.col("edited")).alias("edited_fingerprint"),
                 likeness(F.col("lanes"), F.col("edited")).alias("near_edited"),
                 likeness(F.col("lanes"), F.col("after")).alias("near_next"))
