@@ -2,16 +2,18 @@
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour. The leftmost S
 suffixes (LMS) are sorted by their substrings, recursively where substrings repeat; all others
-are induced from them in two linear sweeps. A sweep handles a bucket of equal first letters at a
-time, so its steps are array operations. Strings of names with a large alphabet are sorted by
-doubling prefixes instead, as their buckets would be tiny.
+are induced from them in two linear sweeps. Where buckets of equal first letters are long, as in
+text, a sweep takes a bucket at a time in array operations; where they are short, as in the strings
+of names the recursion sorts, it takes an entry at a time. Both forms give the same order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LARGE_ALPHABET = 4096
+#: Mean bucket length from which a sweep takes a whole bucket at a time. It decides on speed only.
+LONG_BUCKETS = 64
+FEW = 12                # entries that are put in place one by one, as in runs of one letter
 
 
 def _types(x: np.ndarray) -> np.ndarray:
@@ -28,6 +30,11 @@ def _types(x: np.ndarray) -> np.ndarray:
 
 def _append(sa: np.ndarray, at: np.ndarray, who: np.ndarray, letters: np.ndarray, step: int) -> None:
     """Put ``who`` behind (step 1) or before (step -1) what their buckets hold, in order."""
+    if len(who) < FEW:
+        for c, suffix in zip(letters.tolist(), who.tolist()):
+            sa[at[c]] = suffix
+            at[c] += step
+        return
     order = np.argsort(letters, kind="stable")
     letters, who = letters[order], who[order]
     counts = np.bincount(letters, minlength=len(at))
@@ -67,6 +74,8 @@ def _sweep(x, sa, s_type, filled, first, size, step):
 
 def _induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
     """The order of all suffixes from LMS suffixes in the given order."""
+    if len(x) < LONG_BUCKETS * letters:
+        return _induce_by_entry(x, s_type, lms, letters)
     size = np.bincount(x, minlength=letters)
     first = np.cumsum(size) - size
     sa = np.zeros(len(x), dtype=np.int64)
@@ -79,6 +88,29 @@ def _induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, letters: int) ->
     return sa
 
 
+def _induce_by_entry(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
+    """As ``_induce``, an entry at a time; every sweep is one pass over the array."""
+    size = np.bincount(x, minlength=letters)
+    ends = np.cumsum(size)
+    seeded = np.zeros(len(x), dtype=np.int64)
+    _append(seeded, ends - np.bincount(x[lms], minlength=letters), lms, x[lms], 1)
+    letter, smaller, sa = x.tolist(), s_type.tolist(), seeded.tolist()
+    free = (ends - size).tolist()                           # next place of each bucket, from its front
+    for suffix in sa:                                       # the loop meets what it has put ahead of itself
+        if suffix and not smaller[suffix - 1]:
+            bucket = letter[suffix - 1]
+            sa[free[bucket]] = suffix - 1
+            free[bucket] += 1
+    free = (ends - 1).tolist()                              # and from its back
+    for place in range(len(sa) - 1, -1, -1):
+        suffix = sa[place]
+        if suffix and smaller[suffix - 1]:
+            bucket = letter[suffix - 1]
+            sa[free[bucket]] = suffix - 1
+            free[bucket] -= 1
+    return np.array(sa, dtype=np.int64)
+
+
 def _same_substrings(x: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Whether the substrings of those lengths at ``a`` and ``b`` are equal, letter by letter."""
     same = n_a == n_b
@@ -92,28 +124,10 @@ def _same_substrings(x: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarra
     return same
 
 
-def _by_doubling(x: np.ndarray) -> np.ndarray:
-    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    width, n = 1, len(x)
-    while True:
-        behind = np.full(n, -1, dtype=np.int64)
-        behind[:-width] = rank[width:]
-        key = rank * (n + 1) + behind + 1
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        width *= 2
-
-
 def suffix_array(x: np.ndarray, letters: int) -> np.ndarray:
     """Suffix array of ``x``, whose last value must be 0 and occur nowhere else."""
     if len(x) < 3:
         return np.argsort(x, kind="stable")
-    if letters > LARGE_ALPHABET:
-        return _by_doubling(x)
     x = x.astype(np.int64) if letters > 1 << 16 else x.astype(np.uint16)
     s_type = _types(x)
     is_lms = s_type.copy()

@@ -7,6 +7,7 @@ import pytest
 
 from evigraph.llm import boosting, pii, repeats, site_style, text_queries
 from evigraph.llm.anchors import gram_hashes, ranges
+from evigraph.llm import suffixes
 from evigraph.llm.suffixes import permuted_lcp, suffix_array
 
 from llm_cases import by_id, docs, empty, odd
@@ -184,6 +185,30 @@ def test_suffix_arrays_and_prefixes():
             assert common[i] == n and before[i] == j
 
 
+@pytest.mark.parametrize("long_buckets", [0, 64, 1 << 40])
+def test_both_forms_of_the_sweep_sort_alike(monkeypatch, long_buckets):
+    monkeypatch.setattr(suffixes, "LONG_BUCKETS", long_buckets)
+    rng = np.random.default_rng(4)
+    for turn in range(200):
+        x = rng.integers(1, rng.integers(2, 9), size=rng.integers(0, 80))
+        x = np.append(np.repeat(x, 30)[:90] if turn % 5 == 0 else x, 0)
+        rest = [x[i:].tolist() for i in range(len(x))]
+        assert suffix_array(x, 9).tolist() == sorted(range(len(x)), key=rest.__getitem__)
+
+
+def test_a_shard_of_text_is_sorted_by_recursion_on_large_alphabets(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, size=rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    lines = [b" ".join(words[min(2999, int(k))] for k in rng.zipf(1.3, size=40)) for _ in range(300)]
+    text = b"\n".join(lines + lines[:40] + [b"a" * 2000])
+    seen, whole = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda x, letters: seen.append(letters) or whole(x, letters))
+    sa = suffixes.suffix_array(np.append(np.frombuffer(text, dtype=np.uint8), 0), 256)
+    assert max(seen) > 4096 and len(seen) > 2               # names are sorted by the same method, level by level
+    assert sorted(sa.tolist()) == list(range(len(text) + 1))
+    assert all(text[i:i + 200] < text[j:j + 200] or text[i:] < text[j:] for i, j in zip(sa[:-1].tolist(), sa[1:].tolist()))
+
+
 def test_every_window_has_its_leftmost_smallest_anchor():
     rng = np.random.default_rng(2)
     for turn in range(60):
@@ -210,7 +235,7 @@ def plain_removal(texts, length):
                 covered[s:s + length] = [True] * length
         runs = sum(c and not b for b, c in zip([False, *covered], covered))
         kept = bytes(b for b, c in zip(raw, covered) if not c)
-        out.append((len(raw), sum(covered), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((len(raw), sum(covered), runs, hashlib.sha256(kept).hexdigest(), any(covered)))
     return out
 
 
