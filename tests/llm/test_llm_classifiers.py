@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from evigraph.llm import classifier_queries, quality, toxicity
@@ -81,6 +82,36 @@ def test_network_gradient():
     assert loss() < before - 0.1
 
 
+def test_scores_of_a_fixed_network_equal_a_loop():
+    rng = np.random.default_rng(7)
+    texts = ["", "one two", "größe über alle größe", "a b c d e f g h", "unseen", " ".join(["one", "two", "c"] * 40)]
+    words = np.unique(toxicity.word_hashes("one two größe über alle a b c d e f g"))
+    net = toxicity.Network(len(words) + 1, np.zeros(len(words) + 1, dtype=np.float32))
+    net.p = {k: rng.normal(size=v.shape).astype(np.float32) for k, v in net.p.items()}
+    cut = np.array([0.3, -0.2, 0.0, 1.0])
+    got = toxicity._apply(pd.Series(texts), {"words": words, "p": net.p, "cut": cut})
+    place = {int(h): k + 1 for k, h in enumerate(words)}
+    for text, score in zip(texts, got):
+        ids = [place.get(int(h), 0) for h in toxicity.word_hashes(text)]
+        longest, z = max(toxicity.WIDTHS), float(net.p["b"][0])
+        padded = ids + [0] * (2 * longest)
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                z += net.p["u"][k * toxicity.FILTERS + f] * max(
+                    np.tanh(sum(net.p["e"][padded[at + o]] @ net.p[f"w{w}"][o * toxicity.DIM:(o + 1) * toxicity.DIM, f]
+                                for o in range(w)) + net.p[f"c{w}"][f]) for at in range(len(ids) + 1))
+        assert score == pytest.approx(1 / (1 + np.exp(cut[toxicity.language(text)] - z)), rel=1e-4)
+
+
+def test_training_words_are_bounded_in_total():
+    sizes = pd.DataFrame([(k % 2, k, 10 if k else 1000) for k in range(20)], columns=["label", "turn", "n"])
+    taken = toxicity.fitting(sizes, 55)
+    assert [k for label, k in taken if not label] == [2, 4, 6, 8, 10] and [k for label, k in taken if label] == [1, 3, 5, 7, 9]
+    batches = list(toxicity._batches(np.arange(200), np.full(200, 5)))
+    assert [len(b) for b in batches] == [64, 64, 64, 8]
+    assert [len(b) for b in toxicity._batches(np.arange(3), np.array([200_000, 100_000, 60_000]))] == [1, 1, 1]
+
+
 def test_words_and_languages():
     assert len(toxicity.word_hashes("One, two; THREE's é漢 \n")) == 4
     assert [toxicity.LANGUAGES[toxicity.language(t)] for t in ("the and", "größe", "niño está", "été là", "")] == \
