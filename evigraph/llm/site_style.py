@@ -9,10 +9,11 @@ besides those whose element says that they are no article (navigation, footers,
 comments and the like).
 
 If a page has an ``article`` or ``main`` element, the text is what is left of it, else what is
-left of the body. Paragraphs and headings within them are never taken for template text, also
-if what is around them is; copies of a page count once for its site, as copied pages would
-otherwise lose their own content. If nothing is left of a page, only the
-elements themselves decide.
+left of the body. Blocks within them are never taken for template text, however often a site
+repeats them, so a page that is copied with a few changes loses nothing of its article. Pages of
+one text count once for their site. Importance is smoothed towards 1 by ``PRIOR`` pages, so what
+two or three pages share says little and what many share says much. If nothing is left of a page,
+only the elements themselves decide.
 
 Defined cases: null or empty HTML gives an empty text; unclosed elements end with their parent;
 unknown character references stay as they are; pages without a host form a site of their own;
@@ -35,7 +36,7 @@ from ..session import cut_lineage, drop_scratch
 GAMMA = 0.9
 THRESHOLD = 0.25
 SHARE = 0.2             # a node on fewer of a site's pages is no template
-LEAST_PAGES = 5
+PRIOR = 1.0             # pages' worth of belief that a node is important
 FLUSH = 50_000
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -47,7 +48,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                     "q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NO_ARTICLE = frozenset("nav footer aside form button select option dialog menu head fieldset "
                         "object canvas audio video".split())
-_PROTECTED = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_NEVER_STALE = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _NO_ARTICLE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|"
     r"masthead|site-header|page-header|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|"
@@ -112,7 +113,7 @@ class Page:
         path = xxhash.xxh64_intdigest(f"{tag}.{names}", above.path) >> 1
         zone = above.zone
         noise = above.noise
-        stale = above.stale or tag not in _PROTECTED and path in self.low
+        stale = above.stale or tag not in _NEVER_STALE and path in self.low
         if tag not in ("html", "body", "article", "main"):
             noise = noise or tag in _NO_ARTICLE or tag == "header" and not zone \
                 or bool(names and _NO_ARTICLE_NAMES.search(names))
@@ -120,8 +121,8 @@ class Page:
             noise = True                                    # reader comments marked up as articles
         if not noise:
             zone = 2 if tag == "article" else max(zone, 1) if tag == "main" or "main" in names.split() else zone
-        if zone and tag in _PROTECTED:
-            stale = False                                   # however often the site repeats what is around it
+        if zone:
+            stale = False                                   # however often the site repeats it
         if self.survey and tag not in _INLINE:
             self.children.setdefault(above.path, []).append(tag)
             if path not in self.above:
@@ -182,9 +183,9 @@ def _site(url: str | None) -> int:
 def survey(pages: DataFrame) -> DataFrame:
     """Counted nodes of all sites: ``site, path, kind, value, n`` and the nodes above a path.
 
-    Kind 0 counts presentations, 1 contents, 2 names the nodes above. A page's content counts
-    once for a site, however many copies the site has. Tasks hand on the hashes of each page's
-    nodes; Spark drops those of copies, by a digest of the page, and adds up.
+    Kind 0 counts presentations, 1 contents, 2 names the nodes above. Pages whose text is the same
+    as far as elements tell count once for a site, whatever stands around it. Tasks hand on the
+    hashes of each page's nodes; Spark drops those of copies, by a digest of that text, and adds up.
     """
     columns = ["site", "digest", "shape_at", "shape", "text_at", "text", "path", "above"]
 
@@ -202,7 +203,7 @@ def survey(pages: DataFrame) -> DataFrame:
                     shape.append(xxhash.xxh64_intdigest(style) >> 1)
                     above[site, path] = up
                 text = [xxhash.xxh64_intdigest("\n".join(parts)) >> 1 for parts in parsed.content.values()]
-                digest = xxhash.xxh3_128_hexdigest(page.encode("utf-8", "surrogatepass"))
+                digest = xxhash.xxh3_128_hexdigest(parsed.main_text().encode("utf-8", "surrogatepass"))
                 rows.append((site, digest, shape_at, shape, list(parsed.content), text, None, None))
             if len(above) > FLUSH:
                 rows += [(site, None, None, None, None, None, path, list(up)) for (site, path), up in above.items()]
@@ -249,10 +250,11 @@ def importance(nodes: DataFrame) -> DataFrame:
     below = leaves.join(up, ["site", "path"]).groupBy("site", F.col("node").alias("path")).agg(
         (F.sum(F.col("fresh") * F.col("weight")) / F.sum("weight")).alias("below"))
     sites = shape.groupBy("site").agg(F.max("pages").alias("site_pages"))
+    seen = F.when(F.col("below").isNull(), F.col("shape")).otherwise(
+        F.lit(1 - GAMMA) * F.col("shape") + F.lit(GAMMA) * F.col("below"))
     return shape.join(below, ["site", "path"], "left").join(sites, "site").select(
         "site", "path", "pages", "site_pages",
-        F.when(F.col("below").isNull(), F.col("shape")).otherwise(
-            F.lit(1 - GAMMA) * F.col("shape") + F.lit(GAMMA) * F.col("below")).alias("value"))
+        ((F.col("pages") * seen + PRIOR) / (F.col("pages") + PRIOR)).alias("value"))
 
 
 def unimportant(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,8 +263,7 @@ def unimportant(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     The list is bounded by the nodes of a page over ``SHARE``, however many pages a site has.
     """
     low = importance(survey(pages)).filter(
-        (F.col("value") < threshold) & (F.col("site_pages") >= LEAST_PAGES)
-        & (F.col("pages") >= SHARE * F.col("site_pages")))
+        (F.col("value") < threshold) & (F.col("pages") >= SHARE * F.col("site_pages")))
     return cut_lineage(low.groupBy("site").agg(F.collect_list("path").alias("low")), "templates")
 
 
