@@ -273,3 +273,23 @@ def test_near_copies_of_given_documents_go(spark):
     odd_rows = near_copies.representatives(odd(spark))
     assert odd_rows.columns == odd(spark).columns
     assert sorted(r["doc_id"] or 0 for r in odd_rows.collect()) == [0, 1, 3, 7, 8, 9]
+
+
+@pytest.mark.parametrize("block_bytes", [1500, 1 << 24])
+def test_near_copies_in_blocks_equal_all_pairs(spark, monkeypatch, block_bytes):
+    """Chains that drift away from their first text, copies of one text, and texts of their own."""
+    from test_llm_pipeline import plain_near_copies
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(8)
+    texts = []
+    for chain in range(4):
+        words = [f"w{chain}x{k}" for k in range(60)]
+        for step in range(14):
+            words[int(rng.integers(60))] = f"n{chain}y{step}"
+            texts.append(" ".join(words))
+    texts += [t.upper().replace(" ", "  ") for t in texts[5:9]] + texts[:1] * 30 + ["", " ", "one two", "ONE two"]
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    roots = plain_near_copies(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_copies.representatives(frame).collect())
+    assert kept == sorted(set(roots)) and len(kept) < len(texts) // 4
