@@ -20,6 +20,7 @@ from ..operators.embed import embed
 from ..session import cut_lineage
 
 PREFIX = "prefix"
+_DOCUMENT = ["document_sha256", "source"]
 _KEPT = ("chunk_id", "document_sha256", "source", "domain", "page", "chunk_index", "character_count",
          "chunk_text", "embedding")
 
@@ -50,7 +51,9 @@ def ingest_documents(docs: DataFrame, target: str, model: Callable | None = None
     """Store the chunks and vectors of ``docs`` (source, domain, text) that are not stored yet.
 
     Documents that fail a check, or of which another layout is stored, are rejected as a whole;
-    only chunks that are missing are embedded. Running it again adds nothing.
+    only chunks that are missing are embedded. Running it again adds nothing. A document is a
+    content under a source: stored chunks of other documents, also of the same content from
+    another source, say nothing about it.
     """
     spark = docs.sparkSession
     checks = [("text is blank", tx.is_blank("text")), ("domain is blank", tx.is_blank("domain")),
@@ -61,21 +64,22 @@ def ingest_documents(docs: DataFrame, target: str, model: Callable | None = None
     prefix = F.substring("document_sha256", 1, 2)
     touched = [r[0] for r in expected.select(prefix.alias("p")).distinct().collect()]    # 256 at most
 
-    def stored() -> DataFrame:
-        return stored_chunks(spark, target, schema).where(F.col(PREFIX).isin(*touched))
+    def stored(of: DataFrame) -> DataFrame:
+        rows = stored_chunks(spark, target, schema).where(F.col(PREFIX).isin(*touched))
+        return rows.join(of.select(*_DOCUMENT).distinct(), _DOCUMENT, "left_semi")
 
-    before = cut_lineage(stored().select("document_sha256", "chunk_id").distinct(), "stored")
-    conflicts = cut_lineage(ingest.layout_conflicts(expected, before).select("document_sha256").distinct(), "conflicts")
-    accepted = expected.join(conflicts, "document_sha256", "left_anti")
+    before = cut_lineage(stored(expected).select(*_DOCUMENT, "chunk_id").distinct(), "stored")
+    conflicts = cut_lineage(ingest.layout_conflicts(expected, before).select(*_DOCUMENT).distinct(), "conflicts")
+    accepted = expected.join(conflicts, _DOCUMENT, "left_anti")
     outcome = cut_lineage(ingest.ingest_outcome(expected, before), "outcome")
     missing = ingest.missing_chunks(accepted, before)
     embed(missing, "chunk_text", model).select(*_KEPT, prefix.alias(PREFIX)).write.mode("append") \
         .partitionBy(PREFIX).parquet(target)
-    stopped = expected.join(conflicts, "document_sha256", "left_semi").select("source", "domain", "document_sha256") \
+    stopped = expected.join(conflicts, _DOCUMENT, "left_semi").select("source", "domain", "document_sha256") \
         .distinct().withColumn("reject_reason", F.lit("another layout of the document is stored"))
     rejects = bad.select("source", "domain", tx.sha256(F.col("text")).alias("document_sha256"), "reject_reason") \
         .unionByName(stopped)
-    return Ingested(outcome, rejects, ingest.verify_ids(accepted, stored()))
+    return Ingested(outcome, rejects, ingest.verify_ids(accepted, stored(accepted)))
 
 
 def ingest_stream(stream: DataFrame, target: str, checkpoint: str, model: Callable | None = None,

@@ -107,5 +107,18 @@ def test_ingestion_is_replay_safe(spark):
     assert spark.read.parquet(target).count() == first
 
 
+def test_ingestion_in_several_batches(spark):
+    """Later batches meet stored chunks of other documents, and of the same text from another source."""
+    schema = "source string, domain string, text string"
+    rows = [(f"{s}.txt", "d", f"{t} " * 900) for t in range(40) for s in ("a", "b")]
+    path, target = scratch_path(spark, "batches"), scratch_path(spark, "chunks")
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+    stream_ingest.ingest_stream(stream, target, scratch_path(spark, "c3")).awaitTermination()
+    got = {(r["source"], r["document_sha256"]) for r in spark.read.parquet(target).collect()}
+    assert len(got) == len(rows)
+
+
 def test_vocabulary_of_states():
     assert {a for pair in vocab.TRANSITIONS for a in pair} <= set(vocab.JOB_STATES)
