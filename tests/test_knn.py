@@ -154,3 +154,30 @@ def test_embedded_search_equals_brute_force(spark):
                        for i, x in v.items())[:4]
         hits = knn.knn(asked.where(F.col("query_id") == r["query_id"]), vectors, 4)
         assert [h["id"] for h in hits.orderBy("rank").collect()] == [i for _, i in order]
+
+
+def test_large_query_batches_stay_off_the_driver(spark, monkeypatch):
+    queries, vectors, w, v = tables(spark)
+    monkeypatch.setattr(knn, "_broadcast_scan", None)
+    monkeypatch.setattr(knn, "_BLOCK_BYTES", 8 * 4 * 50)
+    monkeypatch.setattr(knn, "_STEP", 16)
+    for metric in knn.METRICS:
+        assert ids(knn.knn(queries, vectors, 7, metric, max_query_bytes=900)) == brute(w, v, 7, metric)
+
+
+def test_single_precision_cut_loses_no_neighbour():
+    """Vectors far from the origin and close together, where rough distances are of little use."""
+    rng = np.random.default_rng(5)
+    for shift in (0.0, 1e3, 1e16, 1e-12):
+        v = rng.standard_normal((500, 16)) * (1e-12 if shift == 1e-12 else 1.0) + (shift if shift > 1 else 0.0)
+        w = v[:20] + rng.standard_normal((20, 16)) * 1e-3
+        q, found, dist = knn._block_best(w, v, np.arange(500), 5, "l2_squared")
+        for i in range(20):
+            d = ((w[i] - v) ** 2).sum(axis=1)
+            assert found[q == i].tolist() == np.lexsort((np.arange(500), d))[:5].tolist()
+
+
+def test_a_model_gets_few_texts_at_a_time(spark):
+    df = spark.range(1500).selectExpr("id", "concat('t', id) AS text").coalesce(1)
+    out = embed(df, model=lambda texts: [[float(len(texts))] for _ in texts])
+    assert max(r["embedding"][0] for r in out.collect()) <= 256
