@@ -201,3 +201,27 @@ def test_hub_context_is_rows(spark):
     edges = spark.range(3000).selectExpr("'q' query_id", "'hub' source", "'r' relation", "concat('t', id) target", "1 depth")
     lines = rerank.context_edges(edges)
     assert lines.count() == 3000 and lines.first()["line"].endswith("(depth 1)")
+
+
+def test_questions_with_the_same_seeds_share_their_context(spark):
+    nodes = spark.createDataFrame([(n, "t", {}, i) for i, n in enumerate("abcd")],
+                                  "id string, type string, properties map<string,string>, seq long")
+    edges = spark.createDataFrame([("a", "r", "b", {}, 1), ("b", "r", "c", {}, 2), ("d", "r", "c", {}, 3)],
+                                  "source string, relation string, target string, properties map<string,string>, seq long")
+    seeds = spark.createDataFrame([(q, s) for q in ("1", "2", None) for s in ("c", "a")] + [("3", "a"), ("4", "d")],
+                                  "query_id string, seed string")
+    members, sets = graph.seed_sets(seeds)
+    assert members.count() == 5 and sets.select("query_id").distinct().count() == 3
+    columns = ["query_id", "source", "relation", "target", "depth"]
+    alone = graph.graph_context(seeds, nodes, edges, max_depth=2).select(*columns).collect()
+    shared = graph.shared_context(seeds, nodes, edges, max_depth=2).select(*columns).collect()
+    assert len(alone) and sorted(alone, key=str) == sorted(shared, key=str)
+
+
+def test_adjacency_of_both_directions_stores_each_end_once(spark):
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "s", "b")], "source string, relation string, target string")
+    steps = graph.adjacency(edges, "both")
+    assert sorted(tuple(r) for r in steps.select("node", "next", "source", "relation", "target").collect()) == [
+        ("a", "b", "a", "r", "b"), ("b", "a", "a", "r", "b"), ("b", "b", "b", "s", "b"), ("b", "b", "b", "s", "b")]
+    stored = spark.read.parquet(steps.inputFiles()[0].rsplit("/", 1)[0])
+    assert [f.name for f in stored.schema if f.dataType.simpleString() == "string"] == ["node", "next", "relation"]
