@@ -113,25 +113,24 @@ def duplicate_ids(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> None:
     """A SQL table function ``chunk_text(text, size, overlap)`` usable with LATERAL.
 
-    It is plain SQL, so Catalyst inlines it into the calling query. A text is cut into parts
-    of 64 windows first, as a substring is counted from the start of its text.
+    It is plain SQL of one generator, so Catalyst inlines it as an explode of the calling row:
+    nested selects would be joined back to the caller by the text. A text is cut into parts of 64
+    windows first, as a substring is counted from the start of its text; an array of one element
+    stands for a value that is used several times.
     """
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(body STRING, size INT, overlap INT)
         RETURNS TABLE (chunk_number INT, chunk_text STRING)
         RETURN
-          SELECT b * {_SLICE} + j, piece FROM (
-            SELECT b, j, btrim(substring(part, j * (size - overlap) + 1, size), {_sql_space()})
-                   AS piece
-            FROM (
-              SELECT b, part, explode(sequence(0, least({_SLICE} - 1, last - b * {_SLICE}))) AS j
-              FROM (
-                SELECT b, last, substring(body, b * {_SLICE} * (size - overlap) + 1,
-                         ({_SLICE} - 1) * (size - overlap) + size) AS part
-                FROM (SELECT last, explode(sequence(0, last DIV {_SLICE})) AS b
-                      FROM (SELECT greatest(0, CAST(ceil((char_length(body) - size)
-                              / (size - overlap)) AS INT)) AS last)))))
-          WHERE piece <> ''
+          SELECT number, piece FROM (SELECT inline(filter(
+            flatten(transform(array(greatest(0, CAST(ceil((char_length(body) - size) / (size - overlap)) AS INT))), last ->
+              flatten(transform(sequence(0, CAST(last DIV {_SLICE} AS INT)), b ->
+                flatten(transform(array(substring(body, b * {_SLICE} * (size - overlap) + 1,
+                                                  ({_SLICE} - 1) * (size - overlap) + size)), part ->
+                  transform(sequence(0, least({_SLICE} - 1, last - b * {_SLICE})), j -> struct(
+                    b * {_SLICE} + j AS number,
+                    btrim(substring(part, j * (size - overlap) + 1, size), {_sql_space()}) AS piece)))))))),
+            w -> w.piece <> '')) AS (number, piece))
     """)
 
 

@@ -70,3 +70,13 @@ def test_chunking_does_not_shuffle(spark, data):
     plan = chunking.chunk(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert chunking.duplicate_ids(docs.select(F.lit("a").alias("chunk_id"))).first()["copies"] > 1
+
+
+def test_chunk_function_in_sql_moves_no_text(spark):
+    chunking.register_chunk_function(spark)
+    docs = spark.createDataFrame([(1, "ab " * 9000), (2, None), (3, " "), (4, "ab " * 9000)], "id int, text string")
+    out = spark.sql("SELECT d.id, c.chunk_number, c.chunk_text FROM {docs} d, LATERAL chunk_text(d.text, 100, 10) c", docs=docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want = chunking.chunk(docs, 100, 10).select("id", "chunk_number", "chunk_text").collect()
+    assert len(want) == 600 and sorted(out.collect()) == sorted(want)
