@@ -1,6 +1,8 @@
 """Near copies by similarity: Jaccard of five-word shingle sets of at least 0.8.
 
-Min-hashes of the shingle sets are cut into bands; texts that share a band are candidates. With
+Texts whose SimHash fingerprints over the shingles link (at most ``simhash.RADIUS`` bits apart, found
+by covering masks) are candidates. Texts of that similarity often differ in more bits, so min-hashes
+of the shingle sets are cut into bands as well; texts that share a band are candidates too. With
 ``BANDS`` bands of ``ROWS`` a pair of similarity 0.8 is missed with probability 0.004, one of 0.9
 with less than 1e-7. Candidates only say what is compared: within each component of candidates
 texts are linked by the similarity of their whole shingle sets.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import text_of
 from .components import components
+from .simhash import fingerprint_udf
+from .simhash import links as fingerprint_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -153,6 +157,15 @@ def _bands_udf():
     return of
 
 
+def _simhash_candidates(entries: DataFrame) -> DataFrame:
+    """Candidates ``a, b``: rows to the first one of their fingerprint, and firsts of linked fingerprints."""
+    points = cut_lineage(entries.groupBy("fp").agg(F.min("row").alias("first")), "points")
+    same = entries.join(points, "fp").filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    end = lambda name: points.select(F.col("fp").alias(f"_{name}"), F.col("first").alias(name))
+    linked = fingerprint_links(points).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return same.unionByName(linked.join(end("a"), "_a").join(end("b"), "_b").select("a", "b"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, the one with the smallest id, with all its columns.
 
@@ -162,16 +175,17 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         *[F.col(f"`{c}`") for c in docs.columns]).alias("rec")), "numbered")
     texts = numbered.select("row", F.col(f"rec.`{id_col}`").alias("id"), F.col(f"rec.`{text_col}`").alias("text")) \
         .select("row", "id", text_of().alias("text"))
-    signed = cut_lineage(texts.select("row", _bands_udf()("text").alias("bands")), "bands")
+    signed = cut_lineage(texts.select("row", _bands_udf()("text").alias("bands"),
+                                      fingerprint_udf(SHINGLE)("text").alias("fp")), "bands")
     one = F.slice("bands", BANDS + 1, 2)
     alike = signed.groupBy(one.alias("same")).agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n"))
     equal = cut_lineage(signed.select("row", one.alias("same")).join(alike.filter("n > 1"), "same")
                         .select("row", F.col("b").alias("entry")), "equal")
-    dealt = signed.join(equal.filter("row <> entry").select("row"), "row", "left_anti") \
-        .select("row", F.explode(F.slice("bands", 1, BANDS)).alias("bucket"))
+    entries = signed.join(equal.filter("row <> entry").select("row"), "row", "left_anti")
+    dealt = entries.select("row", F.explode(F.slice("bands", 1, BANDS)).alias("bucket"))
     first = dealt.groupBy("bucket").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = dealt.join(first, "bucket").filter("row <> b").select(F.col("row").alias("a"), "b")
-    roots = components(stars)
+    roots = components(stars.unionByName(_simhash_candidates(entries.select("row", "fp"))))
     linked = cut_lineage(_linked(texts.select("row", "text").join(roots.withColumnRenamed("node", "row"), "row")), "linked")
     copies = equal.join(linked.withColumnRenamed("row", "entry"), "entry", "left") \
         .select("row", F.coalesce("copy_of", "entry").alias("copy_of"))

@@ -293,3 +293,17 @@ def test_near_copies_in_blocks_equal_all_pairs(spark, monkeypatch, block_bytes):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in near_copies.representatives(frame).collect())
     assert kept == sorted(set(roots)) and len(kept) < len(texts) // 4
+
+
+def test_near_copies_are_also_candidates_by_simhash(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, 0), (1, 7), (2, 0), (3, -1), (4, 1 << 40), (5, 0x5555)], "row long, fp long")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in near_copies._simhash_candidates(rows).collect()}
+    root = {n: n for n in range(6)}
+    for a, b in sorted(found):
+        root = {n: root[a] if r == root[b] else r for n, r in root.items()}
+    assert root[0] == root[1] == root[2] == root[4] and len({root[0], root[3], root[5]}) == 3
+    asked, real = [], near_copies.fingerprint_links
+    monkeypatch.setattr(near_copies, "fingerprint_links", lambda points: asked.append(points.columns) or real(points))
+    text = " ".join(f"w{i}" for i in range(400))
+    kept = near_copies.representatives(docs(spark, [text, text + " end", "something else entirely"])).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2] and asked
