@@ -112,6 +112,42 @@ def test_training_words_are_bounded_in_total():
     assert [len(b) for b in toxicity._batches(np.arange(3), np.array([200_000, 100_000, 60_000]))] == [1, 1, 1]
 
 
+def test_toxicity_learns_from_every_training_row(spark):
+    n = 9600                                            # either label has more rows than a sample of 4,000
+    texts = [f"plain word{k // 8} " + ("nasty" if k % 2 else "calm") for k in range(n)]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(n)], LABELS)
+    nobody = toxicity.in_fold("doc_id", 1, 1)
+    for part_bytes in (toxicity.PART_BYTES, 20_000):
+        model = toxicity.fit(docs(spark, texts), labels, "toxic", nobody, part_bytes)
+        assert set(model["words"].tolist()) == {int(h) for t in texts for h in toxicity.word_hashes(t)}
+        scores = toxicity._apply(pd.Series(["plain word7 nasty", "plain word7 calm", "nasty new", "calm new"]), model)
+        assert (scores > 0.5).tolist() == [True, False, True, False]
+
+
+def test_parts_count_words_and_average_changes(spark):
+    texts = ["one two two", "one three", "one", "two \u00e4\u00f6", "three one " * 50, ""]
+    table, labels = docs(spark, texts), spark.createDataFrame([(k, 0, k % 2) for k in range(len(texts))], LABELS)
+    rows, parts = toxicity.training_rows(table, labels, "toxic", toxicity.in_fold("doc_id", 1, 1), 60)
+    assert parts == 9 and rows.count() == len(texts)
+    got = {r.word: (r.n0, r.n1) for r in toxicity.word_counts(rows, 2).itertuples()}
+    one, two, three = toxicity.word_hashes("one two three").tolist()
+    assert got == {one: (3, 1), two: (1, 1), three: (1, 1)}
+
+    net = toxicity.Network(5000, np.zeros(5000, dtype=np.float32))
+    start = {k: v.copy() for k, v in net.p.items()}
+    a, b = (toxicity.Network(5000, np.zeros(5000, dtype=np.float32)) for _ in range(2))
+    a.p["e"][3] += 1
+    b.p["e"][3] += 3
+    b.p["e"][4500] += 2                                 # one part has moved it: its change stands
+    b.p["b"] += 4
+    blocks = pd.concat([toxicity._blocks_of(a, start), toxicity._blocks_of(b, start)])
+    p = toxicity._changed(start, pd.concat([toxicity._mean_change(x) for _, x in blocks.groupby("block")]))
+    moved = p["e"] - start["e"]
+    assert moved[3] == pytest.approx(np.full(toxicity.DIM, 2), rel=1e-5) and moved[4500] == pytest.approx(2, rel=1e-5)
+    assert not np.delete(moved, [3, 4500], axis=0).any() and p["b"][0] == 2
+    assert all((p[k] == start[k]).all() for k in start if k not in ("e", "b"))
+
+
 def test_words_and_languages():
     assert len(toxicity.word_hashes("One, two; THREE's é漢 \n")) == 4
     assert [toxicity.LANGUAGES[toxicity.language(t)] for t in ("the and", "größe", "niño está", "été là", "")] == \
