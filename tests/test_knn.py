@@ -156,6 +156,30 @@ def test_embedded_search_equals_brute_force(spark):
         assert [h["id"] for h in hits.orderBy("rank").collect()] == [i for _, i in order]
 
 
+def test_hashed_search_compares_no_pair_for_each_table(spark, monkeypatch):
+    """Where most pairs share several buckets, rows are not repeated for their tables."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((260, 8)).astype(np.float32)
+    base[200:] = base[:60]                              # copies: ties go by id
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(base)], "id long, embedding array<float>")
+    asked = rows.withColumnRenamed("id", "query_id")
+    for tables, bits, metric, k in ((20, 4, "l2_squared", 5), (2, 3, "cosine", 4), (40, 1, "l2_squared", 300)):
+        codes = (base.astype(np.float64) @ knn.hash_planes(tables, bits, 8).T >= 0).reshape(len(base), tables, bits)
+        code = (codes * (1 << np.arange(bits))).sum(axis=2)
+        share = (code[:, None] == code[None]).any(axis=2)
+        a = base.astype(np.float64)
+        far = ((a[:, None] - a[None]) ** 2).sum(axis=2) if metric == "l2_squared" else \
+            1 - (a @ a.T) / np.sqrt((a * a).sum(axis=1)[:, None] * (a * a).sum(axis=1)[None])
+        want = {(q, int(i)) for q in range(len(a))
+                for i in sorted(np.flatnonzero(share[q]), key=lambda i: (round(far[q, i], 9), i))[:k]}
+        with monkeypatch.context() as m:
+            m.setattr(knn, "_BLOCK_BYTES", 4 * 8 * 70)  # several blocks of 70 vectors
+            if tables > 2:                              # no cells by bucket are made
+                m.setattr(knn, "_pair_up", None)
+            got = knn.knn(asked, rows, k, metric, approx=True, tables=tables, bits=bits, block_rows=50).collect()
+        assert {(r["query_id"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
 def test_large_query_batches_stay_off_the_driver(spark, monkeypatch):
     queries, vectors, w, v = tables(spark)
     monkeypatch.setattr(knn, "_broadcast_scan", None)
