@@ -225,3 +225,21 @@ def test_adjacency_of_both_directions_stores_each_end_once(spark):
         ("a", "b", "a", "r", "b"), ("b", "a", "a", "r", "b"), ("b", "b", "b", "s", "b"), ("b", "b", "b", "s", "b")]
     stored = spark.read.parquet(steps.inputFiles()[0].rsplit("/", 1)[0])
     assert [f.name for f in stored.schema if f.dataType.simpleString() == "string"] == ["node", "next", "relation"]
+
+
+def test_edges_of_a_walk_are_not_searched_again_for_their_domain(spark, monkeypatch):
+    n, e = frames(spark, {"a": {"domain": "x"}, "b": {}, "c": {"domain": "y"}, "d": {"domain": "x"}}, [
+        ("a", "r", "b", {}), ("a", "s", "c", {}), ("a", "own", "c", {"domain": "x"}), ("b", "r", "d", {"domain": "y"}),
+        ("b", "s", "d", {"domain": ""}), ("d", "r", "a", {})])
+    n = n.unionByName(n.where("id = 'd'")).unionByName(n.where("id = 'c'"))
+    searched, search = [], graph.edges_in_domain
+
+    def counted(found, *rest):
+        searched.append(found.count())
+        return search(found, *rest)
+
+    monkeypatch.setattr(graph, "edges_in_domain", counted)
+    seeds = spark.createDataFrame([("q", "a"), ("q", "b")], "query_id string, seed string")
+    got = as_dict(graph.graph_context(seeds, n, e, "x", 2), "query_id")[("q",)]
+    assert got == {("a", "r", "b"): 1, ("a", "own", "c"): 1, ("b", "s", "d"): 2, ("d", "r", "a"): 2}
+    assert searched == [0]                  # no seed is a dead end, so only the walk found edges
