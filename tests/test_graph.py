@@ -136,6 +136,34 @@ def test_merges(spark):
     assert {(r["source"], r["target"]): (r["properties"], r["seq"]) for r in again.collect()} == got
 
 
+def test_merges_of_blank_ends_and_property_keys(spark):
+    writes = spark.createDataFrame([
+        (" ", "r", "b", {"k": "1"}, 1), (None, "r", "b", {"k": "1"}, 2), ("a", None, "b", {}, 3), ("a", "r", "\u3000", {}, 4),
+        ("a", "r", "b", {"x": "1"}, 5), (" a", "r", "b\t", {"y": "2"}, 6), ("a", "r", "c", {"x": "1", "y": "1"}, 9),
+        ("a", "r", "c", {"y": "0", "x": "0"}, 7), ("a", "r", "d", None, 8), ("a", "r", "d", {"[]": "z"}, 10)], EDGE)
+    got = {(r["source"], r["target"]): (r["properties"], r["seq"]) for r in graph.merge_edges(writes).collect()}
+    assert got == {("a", "b"): ({"x": "1", "y": "2"}, 5), ("a", "c"): ({"x": "0", "y": "0"}, 7), ("a", "d"): ({"[]": "z"}, 8)}
+
+
+def test_a_walk_joins_the_edges_once_a_level(spark, monkeypatch):
+    nodes = {f"n{i}": {} for i in range(6)}
+    edges = [("n0", "r", "n1", {}), ("n0", "r", "n0", {}), ("n1", "r", "n2", {}), ("n2", "r", "n0", {}), ("n1", "s", "n3", {}),
+             ("n3", "r", "n4", {}), ("n4", "r", "n5", {})]
+    n, e = frames(spark, nodes, edges)
+    seeds = spark.createDataFrame([("n0",), (" n1",), ("n5",), ("none",), (None,)], "seed string")
+    for direction in ("outgoing", "incoming", "both"):
+        steps = graph.adjacency(e, direction)
+        found = graph.traverse(seeds, n, e, 4, direction, steps=steps)
+        # only the last level still reads the edges, the others are stored
+        if direction != "both":
+            files = set(steps.inputFiles())
+            assert files & set(found.inputFiles()) == files and not files & set(found.where("depth < 4").inputFiles())
+        got = as_dict(found, "seed")
+        for seed in ("n0", "n1", "n5"):
+            assert got.get((seed,), {}) == bfs(nodes, edges, seed, 4, direction, None)
+        assert set(got) <= {("n0",), ("n1",), ("n5",)}
+
+
 def test_neighbors_and_lookup(spark):
     n, e = frames(spark, {"a": {}, "b": {}}, [("a", "r", "a", {}), ("a", "r", "b", {}), ("c", "s", "a", {})])
     ids = spark.createDataFrame([("a",), ("a",)], "id string")
