@@ -152,3 +152,39 @@ def test_words_and_languages():
     assert len(toxicity.word_hashes("One, two; THREE's é漢 \n")) == 4
     assert [toxicity.LANGUAGES[toxicity.language(t)] for t in ("the and", "größe", "niño está", "été là", "")] == \
         ["en", "de", "es", "fr", "en"]
+
+
+def test_every_row_is_learnt_from_in_every_pass(monkeypatch):
+    met, step = [], toxicity.Network.step
+    monkeypatch.setattr(toxicity.Network, "step", lambda net, docs_, *x: (met.extend(len(d) for d in docs_), step(net, docs_, *x)))
+    hashes = [toxicity.word_hashes("same words " * (k + 1)) for k in range(80)]     # a text is known by its length
+    toxicity.train(hashes, np.zeros(80, dtype=np.int64), np.arange(80) % 2, 0.5)
+    assert sorted(np.bincount(met)[2::2].tolist()) == [1] * 10 + [toxicity.EPOCHS] * 70
+
+
+def test_parts_learn_rare_words_in_all_passes(spark, monkeypatch):
+    passes, changed = [], toxicity._changed
+    monkeypatch.setattr(toxicity, "_changed", lambda *x: passes.append(1) or changed(*x))
+    n = 9000
+    texts = [f"plain text {'nasty' if k % 2 else 'calm'}" + " seldom" * (k in (1, 3, 5, 7)) for k in range(n)]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(n)], LABELS)
+    model = toxicity.fit(docs(spark, texts), labels, "toxic", toxicity.in_fold("doc_id", 1, 1), 100_000)
+    assert set(model["words"].tolist()) == {int(h) for h in toxicity.word_hashes("plain text nasty calm seldom")}
+    assert len(passes) == toxicity.EPOCHS + 1
+
+
+def test_a_part_trains_the_rows_of_its_own_words():
+    hashes = [toxicity.word_hashes(t) for t in ("one two", "", "three one odd")]
+    known = np.unique(toxicity.word_hashes("zero one two three four five"))
+    places, numbered = toxicity._own_words(hashes, known)
+    rows = np.append(0, places)
+    assert [rows[d].tolist() for d in numbered] == [toxicity.rows_of(h, known).tolist() for h in hashes]
+    start = toxicity.Network(len(known) + 1, np.ones(len(known) + 1, dtype=np.float32))
+    mine, y = toxicity._part_network(start.p, places), np.array([1, 0, 1])
+    before = {k: v.copy() for k, v in mine.p.items()}
+    for net, texts in ((mine, numbered), (start, [rows[d] for d in numbered])):
+        for _ in range(3):
+            net.step(texts, y, np.ones(3), 0.1)
+    assert (start.p["e"][rows] == mine.p["e"]).all() and all((start.p[k] == mine.p[k]).all() for k in mine.p if k != "e")
+    moved = [np.frombuffer(p, dtype=np.int32) for _, p, _ in toxicity._blocks_of(mine, before, rows).itertuples(index=False)]
+    assert sorted(np.concatenate(moved)) == sorted(places)
