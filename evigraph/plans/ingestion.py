@@ -66,15 +66,18 @@ def ingest_documents(docs: DataFrame, target: str, model: Callable | None = None
 
     def stored(of: DataFrame) -> DataFrame:
         rows = stored_chunks(spark, target, schema).where(F.col(PREFIX).isin(*touched))
-        return rows.join(of.select(*_DOCUMENT).distinct(), _DOCUMENT, "left_semi")
+        # ids are a small share of many files, which a task opens one after the other; a semi-join of
+        # the distinct documents, in a form that is not planned below the coalesce
+        rows = rows.select(*_DOCUMENT, "chunk_id").coalesce(spark.sparkContext.defaultParallelism)
+        return rows.join(of.select(*_DOCUMENT).distinct(), _DOCUMENT)
 
     before = cut_lineage(stored(expected).select(*_DOCUMENT, "chunk_id").distinct(), "stored")
     conflicts = cut_lineage(ingest.layout_conflicts(expected, before).select(*_DOCUMENT).distinct(), "conflicts")
     accepted = expected.join(conflicts, _DOCUMENT, "left_anti")
     outcome = cut_lineage(ingest.ingest_outcome(expected, before), "outcome")
-    missing = ingest.missing_chunks(accepted, before)
-    embed(missing, "chunk_text", model).select(*_KEPT, prefix.alias(PREFIX)).write.mode("append") \
-        .partitionBy(PREFIX).parquet(target)
+    # a folder gets one file, as every later batch opens the files of the folders it touches
+    missing = ingest.missing_chunks(accepted, before).withColumn(PREFIX, prefix).repartition(PREFIX)
+    embed(missing, "chunk_text", model).select(*_KEPT, PREFIX).write.mode("append").partitionBy(PREFIX).parquet(target)
     stopped = expected.join(conflicts, _DOCUMENT, "left_semi").select("source", "domain", "document_sha256") \
         .distinct().withColumn("reject_reason", F.lit("another layout of the document is stored"))
     rejects = bad.select("source", "domain", tx.sha256(F.col("text")).alias("document_sha256"), "reject_reason") \
@@ -88,8 +91,24 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, model: Callab
 
     A replayed batch finds its own chunks stored, so delivering a file or a batch twice adds
     nothing. A batch whose stored ids are not the expected ones stops the stream.
+
+    A batch is planned with the adaptive execution of the caller's session, which streams turn off in
+    theirs: there is no state here whose partitions must stay as they are, and a small batch
+    would otherwise have every step of it in as many tasks as the largest.
     """
+    adaptive = "spark.sql.adaptive.enabled"
+    wanted = stream.sparkSession.conf.get(adaptive)
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession.conf
+        before = own.get(adaptive)
+        own.set(adaptive, wanted)
+        try:
+            store(batch, batch_id)
+        finally:
+            own.set(adaptive, before)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
         done = ingest_documents(batch, target, model, size, overlap)
         done.rejects.write.mode("overwrite").parquet(f"{checkpoint}-rejects/batch_id={batch_id}")
         wrong = done.verified.where(~F.col("verified")).limit(1).collect()

@@ -120,5 +120,19 @@ def test_ingestion_in_several_batches(spark):
     assert len(got) == len(rows)
 
 
+def test_a_batch_writes_one_file_a_folder_and_is_planned_adaptively(spark, monkeypatch):
+    seen, ingest_documents, adaptive = [], stream_ingest.ingest_documents, "spark.sql.adaptive.enabled"
+    monkeypatch.setattr(stream_ingest, "ingest_documents", lambda batch, *x: seen.append(
+        batch.sparkSession.conf.get(adaptive)) or ingest_documents(batch, *x))
+    rows = [(f"{k}.txt", "d", "".join(chr(97 + (k + n * n) % 23) for n in range(30_000))) for k in range(3)]
+    stream, _ = arrivals(spark, rows, "source string, domain string, text string", 1)
+    target = scratch_path(spark, "chunks")
+    stream_ingest.ingest_stream(stream, target, scratch_path(spark, "c4")).awaitTermination()
+    stored = spark.read.parquet(target)
+    assert stored.count() == 90 and stored.select("chunk_id").distinct().count() == 90
+    assert stored.select(F.input_file_name()).distinct().count() == stored.select("prefix").distinct().count()
+    assert seen and set(seen) == {spark.conf.get(adaptive)}
+
+
 def test_vocabulary_of_states():
     assert {a for pair in vocab.TRANSITIONS for a in pair} <= set(vocab.JOB_STATES)
